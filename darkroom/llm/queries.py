@@ -40,5 +40,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {"op2_token_files": op2_token_files, "op7_packing": op7_packing, "op10_token_counts": op10_token_counts}
+#: (action, host/path) as the contract states them.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the row of ``labels`` with its id: good if of quality and not toxic."""
+    from .url_reputation import judge_urls
+
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 WHEN quality IS NOT NULL THEN 0 END").alias("good"))
+    return judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    placed = shard(_table(spark, sf_dir, "documents"), n_shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op7_packing": op7_packing,
+    "op8_url_reputation": op8_url_reputation,
+    "op9_sharding": op9_sharding,
+    "op10_token_counts": op10_token_counts,
+}
 ORACLES: dict[str, str] = {}
