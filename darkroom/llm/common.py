@@ -74,3 +74,20 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def labelled_sample(labels: DataFrame, most: int, where=None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(doc_id, label, draw) of at most ``most`` ids, those with the smallest ``draw``, a hash of the id.
+
+    Ids and labels that are null are left out; an id with several labels takes the least.
+    """
+    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
+    if where is not None:
+        rows = rows.where(where)
+    one = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
+    return one.withColumn("draw", F.xxhash64("doc_id", F.lit(17))).orderBy("draw", "doc_id").limit(most)
+
+
+def crc_mod(id_col, by: int):
+    """crc32 of the id as text, modulo ``by``; 0 for a null id."""
+    return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(by)), F.lit(0)).cast("int")
