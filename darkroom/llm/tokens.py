@@ -32,6 +32,7 @@ class PieceEncoder:
         added = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(added)) if added else None
         self.blank = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE_SPACE}]", chr(c)))
+        self.model, self.id_bytes = self.tokenizer.model, [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.word_and_marks = re.compile(r"(\n?)([^\W\d_]+)([.,;:!?%*#&$|]*)").fullmatch
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level files name by their own character
         self.byte_names = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(printed)))}
@@ -69,6 +70,8 @@ class PieceEncoder:
                 cache[k] = older[k]
             elif isinstance(k, tuple):
                 new.append(k)
+            elif k.isalpha():
+                cache[k] = self._word(" " + k)
             elif not k or k[-1] in self.blank:
                 cache[k] = None
             elif (found := self.word_and_marks(k)) and found[2].isalpha():
@@ -84,8 +87,12 @@ class PieceEncoder:
 
     def _word(self, word: str) -> bytes:
         """The ids of letters, with a space before them or not: for the pre-tokenizer, one unit."""
-        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.byte_names))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        if word.isascii():
+            named = "\u0120" + word[1:] if word[0] == " " else word
+        else:
+            named = word.encode().decode("latin-1").translate(self.byte_names)
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.model.tokenize(named)])
 
     def _literal(self, marks: str) -> bytes:
         if (marks,) not in self.cache:
