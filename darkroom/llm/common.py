@@ -91,3 +91,18 @@ def labelled_sample(labels: DataFrame, most: int, where=None, id_col: str = "doc
 def crc_mod(id_col, by: int):
     """crc32 of the id as text, modulo ``by``; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(by)), F.lit(0)).cast("int")
+
+
+def filtered(docs: DataFrame, accept, text_col: str = "text", max_rows: int = 512) -> DataFrame:
+    """Rows whose texts ``accept`` takes, a function from a list of texts (null: empty) to booleans; all columns stay."""
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, max_rows):
+                part = batch.slice(lo, max_rows)
+                yield part.filter(pa.array(accept([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

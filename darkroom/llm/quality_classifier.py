@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_and_text, labelled_sample, slices
+from .common import crc_mod, filtered, id_and_text, labelled_sample, slices
 
 WORDS, SHAPES, DIM, BLOCK = 1 << 15, 1 << 12, 64, 1 << 10
 REPEATED = 0  # the shape of a word that equals the one before it
@@ -190,8 +190,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
     def score(batches):
         for batch in batches:
             for ids, texts in slices(batch, 4 << 20):
-                s = model[1].score(pooled(*_terms().of(texts), model[0].value)) if model else np.full(len(ids), 0.5)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_scores(model, texts))], ["doc_id", "score"])
 
     scored = id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), by) == left).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _scores(model, texts: list[str]) -> np.ndarray:
+    return model[1].score(pooled(*_terms().of(texts), model[0].value)) if model else np.full(len(texts), 0.5)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out: tuple[int, int] | None = (4, 2), most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows that ``classify`` predicts 1 for, with all their columns; all rows if there are no labels to learn from."""
+    by, left = held_out or (1, -1)
+    model = fit(docs, labels, crc_mod(F.col("doc_id"), by) != left, most_rows, id_col=id_col, text_col=text_col)
+    return filtered(docs, lambda texts: _scores(model, texts) >= threshold, text_col) if model else docs
