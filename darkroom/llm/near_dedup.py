@@ -2,12 +2,15 @@
 
 Documents with equal shingle sets form a class, and its smallest id stands for it. Classes whose signatures
 agree in a band share a bucket. No bucket is expanded into its pairs: its members are compared with one
-leader, links are grouped, and only members of different groups are compared further, with other leaders and
-at last with each other, so that every pair of a bucket ends up verified or in one group.
+leader, links are grouped, and only members of different groups are compared further. Those that still stand
+apart, mostly because a common passage brought them together, are joined on the rarest quarter of their
+shingles, of which two sets that are similar enough share one at least.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -207,7 +210,7 @@ def _grouped(groups: DataFrame, edges: DataFrame) -> DataFrame:
     return written(groups.join(joined, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "groups")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 36, rows: int = 5, leaders: int = 3, most_broadcast: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 36, rows: int = 5, leaders: int = 2, most_broadcast: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     Two documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more are linked. With 36
@@ -218,7 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     rows_in = id_and_text(docs, id_col, text_col)
     signatures = written(signed(rows_in, width, bands, rows), "signatures")
     usable = signatures.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = written(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     members = written(usable.join(classes, "set_key").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.struct("n_shingles", "bands")).alias("own")), "members")
     entries = members.where("own IS NOT NULL").select("rep", F.col("own.n_shingles").alias("size"), F.explode("own.bands").alias("bucket"))
     shared = written(entries.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket"), "buckets")
@@ -238,13 +241,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
             lead = open_.groupBy("bucket").agg(F.min(order).alias("lead"))
             met = open_.join(lead, "bucket").where("root != lead.root").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.size").alias("size_a"), F.col("size").alias("size_b"))
         else:
-            x = open_.select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-            y = open_.select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-            met = x.join(y, "bucket").where("root_a < root_b")
+            met = _sharing_rare(open_.select("rep", "root", "size").distinct(), texts, width, percent, most_broadcast)
         # sets whose sizes differ more can't be similar enough
         met = met.where(F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"))
         pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        if turn == 0:  # the first comparison: with the leader that a class meets in most buckets
+        if turn == 0 and leaders:  # the first comparison: with the leader that a class meets in most buckets
             best = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("best"))
             pairs = best.select((-F.col("best.minus")).alias("a"), "b")
         pairs = pairs.select("a", "b")
@@ -266,3 +267,58 @@ def _open(entries: DataFrame, groups: DataFrame) -> DataFrame:
     labelled = entries.join(groups.withColumnRenamed("node", "rep"), "rep")
     mixed_ = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     return written(labelled.join(mixed_, "bucket"), "open")
+
+
+SKETCH, SKETCH_BLOCK = 1 << 22, 1 << 17
+
+
+def _sharing_rare(apart: DataFrame, texts: DataFrame, width: int, percent: int, most_broadcast: int) -> DataFrame:
+    """(a, b, size_a, size_b): classes (rep, root, size) of different groups that share one of their rarest shingles.
+
+    Of a set of n, the n - ceil(n * percent / 100) + 1 rarest are taken: sets that are similar enough share one of
+    these. How rare a shingle is comes from a table of counts by hash, of a fixed size; any order is right as long as
+    it is the same for all sets.
+    """
+    own = written(only(texts, apart.select(F.col("rep").alias("id")), most_broadcast), "apart")
+
+    def count(batches):
+        total = np.zeros(SKETCH, np.int32)
+        for batch in batches:
+            for _, part in slices(batch, 4 << 20):
+                for s in _shingler(width).sets(part):
+                    total[(s >> U(42)).astype(np.int64)] += 1
+        for lo in range(0, SKETCH, SKETCH_BLOCK):
+            if total[lo : lo + SKETCH_BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([total[lo : lo + SKETCH_BLOCK].tobytes()], pa.binary())], ["block", "counts"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH_BLOCK, np.int64)
+        for batch in batches:
+            for x in batch.column("counts").to_pylist():
+                total += np.frombuffer(x, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["block", "counts"])
+
+    sketch = np.zeros(SKETCH, np.int32)
+    for r in own.select("id", "text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():  # 16 MB in all
+        sketch[r["block"] : r["block"] + SKETCH_BLOCK] = np.frombuffer(r["counts"], np.int32)
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+
+    def rarest(batches):
+        for batch in batches:
+            for ids, part in slices(batch, 2 << 20):
+                out_ids, out = [], []
+                for i, s in zip(ids, _shingler(width).sets(part)):
+                    n = len(s) - -(-percent * len(s) // 100) + 1
+                    rank = shared.value[(s >> U(42)).astype(np.int64)]
+                    take = s[np.lexsort((s, rank))[:n]]
+                    out.append(take)
+                    out_ids.append(np.full(len(take), i, np.int64))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out).view(np.int64))], ["rep", "shingle"])
+
+    rare = written(own.select("id", "text").mapInArrow(rarest, "rep long, shingle long").join(apart, "rep"), "rare")
+    several = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    met = written(rare.join(several, "shingle"), "rare-shared")
+    x = met.select("shingle", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
+    y = met.select("shingle", F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    return x.join(y, "shingle").where("root_a < root_b").select("a", "b", "size_a", "size_b")
