@@ -24,14 +24,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD), lambda w: w != "")
 
 
-def _trimmed_words(text: Column) -> Column:
-    """As ``words_of`` without a lambda, so that it compiles with what follows: separators go from the ends first."""
-    bare = F.btrim(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(SEPARATORS))
+def _raw_words(text: Column) -> Column:
+    """The words as written, without a lambda, so that it compiles with what follows: separators go from the ends first."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, NO_WORD))
 
 
-def _shingle(words: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + i) for i in range(size)])
+def _shingle(words: str, at: str, size: int) -> Column:
+    """A hash that shingles with the same lower-cased words share; ``lower`` takes in all of Unicode, so that more may share it."""
+    return F.expr(f"xxhash64({', '.join(f'lower(get({words}, {at} + {i}))' for i in range(size))})")
 
 
 def windows_of(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -48,9 +49,9 @@ def windows_of(items: DataFrame, window: int, id_col: str = "item_id", text_col:
 
 def _places(docs: DataFrame, keep: list, sizes: list[int]) -> DataFrame:
     """``keep``, words, n_words, at and the shingle's hash for each shingle of each document."""
-    words = docs.select(*keep, _trimmed_words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    words = docs.select(*keep, _raw_words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     each = words.select(*keep, "words", "n_words", F.posexplode("words").alias("at", "word"))
-    frames = [each.withColumn("shingle", _shingle(F.col("words"), F.col("at"), k)).where(F.col("at") <= F.col("n_words") - k).withColumn("size", F.lit(k)) for k in sizes]
+    frames = [each.withColumn("shingle", _shingle("words", "at", k)).where(F.col("at") <= F.col("n_words") - k).withColumn("size", F.lit(k)) for k in sizes]
     out = frames[0]
     for more in frames[1:]:
         out = out.unionByName(more)
@@ -63,7 +64,8 @@ def contained_windows(docs: DataFrame, windows: DataFrame, keep: list[str], bloc
     The windows are joined by broadcast in blocks of at most ``block_rows``; more windows make more blocks.
     """
     shingles = windows.select("window_id", "words", "length", "size", F.posexplode(F.expr("sequence(0, length - size)")).alias("i", "offset"))
-    shingles = written(shingles.select("window_id", "words", "length", "size", "offset", F.expr("CASE size " + " ".join(f"WHEN {k} THEN xxhash64({', '.join(f'words[offset + {j}]' for j in range(k))})" for k in range(1, SHINGLE + 1)) + " END").alias("shingle")), "shingles")
+    hashed = F.coalesce(*[F.when(F.col("size") == k, _shingle("words", "offset", k)) for k in range(1, SHINGLE + 1)])
+    shingles = written(shingles.select("window_id", F.concat_ws(" ", "words").alias("window"), "length", "size", "offset", hashed.alias("shingle")), "shingles")
     sizes = sorted(r[0] for r in shingles.select("size").distinct().collect())  # SHINGLE rows at most
     if not sizes:
         return docs.select(*keep, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("window_id")).limit(0)
@@ -81,13 +83,13 @@ def contained_windows(docs: DataFrame, windows: DataFrame, keep: list[str], bloc
         counts = found if counts is None else counts.unionByName(found)
     rarity = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "shingle", "offset")
     ranked = shingles.join(written(counts, "shingle-counts"), ["shingle", "size"], "left").withColumn("rank", F.row_number().over(rarity))
-    prefixes = written(ranked.where("rank = 1").select("window_id", F.col("words").alias("window_words"), "length", "offset", "shingle", "size"), "prefixes")
+    prefixes = written(ranked.where("rank = 1").select("window_id", "window", "length", "offset", "shingle", "size"), "prefixes")
     places = _places(docs, keep, sizes)
     out = None
     for b in range(blocks):
         pairs = places.join(block(prefixes, "window_id", b), ["shingle", "size"])
         bounded = pairs.where((F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("length") <= F.col("n_words")))
-        found = bounded.where(F.expr("slice(words, at - offset + 1, length) = window_words")).select(*keep, (F.col("at") - F.col("offset")).alias("start"), "length", "window_id")
+        found = bounded.where(ascii_lower(F.concat_ws(" ", F.slice("words", F.col("at") - F.col("offset") + 1, F.col("length")))) == F.col("window")).select(*keep, (F.col("at") - F.col("offset")).alias("start"), "length", "window_id")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -109,7 +111,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     new = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))))
     n_hit = lengths.withColumn("new", new).groupBy("key").agg(F.sum("new").cast("long").alias("n_hit"))
     found = hits.select("key", "window_id").distinct().join(holders, "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    base = keyed.select("doc_id", "key", F.size(_trimmed_words(F.col("text"))).cast("long").alias("n_words"))
+    base = keyed.select("doc_id", "key", F.size(_raw_words(F.col("text"))).cast("long").alias("n_words"))
     out = base.join(n_hit, "key", "left").join(found, "key", "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
