@@ -107,6 +107,10 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_STRENGTH = """1e0 / least(0.5e0, greatest(1e0 / 1001, coalesce(
+    (sum(n * pow(good / n - prior, 2) / (prior * (1 - prior))) FILTER (n > 0 AND prior > 0 AND prior < 1) - count(*) FILTER (n > 0 AND prior > 0 AND prior < 1))
+    / nullif(sum(n - 1) FILTER (n > 0 AND prior > 0 AND prior < 1), 0), 0))) - 1"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -137,4 +141,31 @@ link AS (SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.do
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
 SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
 FROM reach JOIN documents ON doc_id = a LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op8_url_reputation": f"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+d AS (SELECT *, coalesce(nullif(regexp_extract(host, '([^.]+\\.(?:(?:ac|co|com|edu|gov|net|org)\\.[a-z][a-z]|[^.]+))$', 1), ''), host) AS domain FROM u),
+f AS (SELECT *, regexp_extract(domain, '^[^.]*\\.(.*)$', 1) AS suffix FROM d),
+o AS (
+  SELECT doc_id AS page_id, CAST(sum(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS good, CAST(count(*) AS DOUBLE) AS n
+  FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, domain, suffix, coalesce(sum(good), 0) AS good, coalesce(sum(n), 0) AS n FROM f LEFT JOIN o USING (page_id) GROUP BY ALL),
+g AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(g.good) AS good, sum(g.n) AS n, (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM h) AS prior FROM g GROUP BY suffix),
+ss AS (SELECT {_STRENGTH} AS m FROM s),
+g2 AS (SELECT g.*, (ss.m * s.prior + s.good) / (ss.m + s.n) AS prior FROM g JOIN s USING (suffix), ss),
+gs AS (SELECT {_STRENGTH} AS m FROM g2),
+h2 AS (SELECT h.*, (gs.m * g2.prior + g2.good) / (gs.m + g2.n) AS prior FROM h JOIN g2 USING (domain, suffix), gs),
+hs AS (SELECT {_STRENGTH} AS m FROM h2),
+ab AS (SELECT host, hs.m * prior + good AS a, hs.m * (1 - prior) + n - good AS b FROM h2, hs),
+up AS (SELECT host, a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS upper FROM ab),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN up USING (host)""",
 }
