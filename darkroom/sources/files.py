@@ -1,0 +1,96 @@
+"""A Python data source that lists files as they are, names with a leading dot too, once or as a stream of changes.
+
+Spark's own file source hides such names, which backups have, and its stream takes up a path once; this one
+reports a file again when it has been written again. ``spark.dataSource.register(FileListing)``, then
+``spark.read.format("darkroom_files").option("path", folder)`` or ``spark.readStream`` with it.
+"""
+
+from __future__ import annotations
+
+import os
+from datetime import datetime, timezone
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+
+SCHEMA = "path string, length long, mtime timestamp"
+
+
+def _row(path: str):
+    try:
+        s = os.stat(path)
+    except OSError:  # gone meanwhile
+        return None
+    return path, s.st_size, datetime.fromtimestamp(s.st_mtime_ns / 1e9, timezone.utc)
+
+
+def _below(folder: str, recursive: bool):
+    for entry in sorted(os.scandir(folder), key=lambda e: e.name):
+        if entry.is_dir(follow_symlinks=False):
+            if recursive:
+                yield from _below(entry.path, True)
+        elif entry.is_file():
+            yield entry.path
+
+
+class Part(InputPartition):
+    def __init__(self, paths: list[str], folder: str | None):
+        self.paths, self.folder = paths, folder
+
+
+class FileListing(DataSource):
+    @classmethod
+    def name(cls):
+        return "darkroom_files"
+
+    def schema(self):
+        return SCHEMA
+
+    def reader(self, schema):
+        return ListingReader(self.options)
+
+    def simpleStreamReader(self, schema):
+        return ChangeReader(self.options)
+
+
+class ListingReader(DataSourceReader):
+    def __init__(self, options):
+        self.folder, self.recursive = options["path"].removeprefix("file://"), options.get("recursive", "true").lower() == "true"
+
+    def partitions(self):
+        """The folder's own files, and each folder in it, which executors list."""
+        folders = [e.path for e in os.scandir(self.folder) if e.is_dir(follow_symlinks=False)] if self.recursive else []
+        return [Part(list(_below(self.folder, False)), None), *(Part([], f) for f in sorted(folders))]
+
+    def read(self, partition):
+        for path in partition.paths if partition.folder is None else _below(partition.folder, True):
+            if row := _row(path):
+                yield row
+
+
+class ChangeReader(SimpleDataSourceStreamReader):
+    """Files written after the offset, a pair of time and path, in that order."""
+
+    def __init__(self, options):
+        self.folder, self.recursive = options["path"].removeprefix("file://"), options.get("recursive", "true").lower() == "true"
+
+    def initialOffset(self):
+        return {"at": 0, "path": ""}
+
+    def _changes(self, start):
+        found = []
+        for path in _below(self.folder, self.recursive):
+            try:
+                at = os.stat(path).st_mtime_ns
+            except OSError:
+                continue
+            if (at, path) > (start["at"], start["path"]):
+                found.append((at, path))
+        return sorted(found)
+
+    def read(self, start):
+        changes = self._changes(start)
+        end = {"at": changes[-1][0], "path": changes[-1][1]} if changes else start
+        return iter([r for _, p in changes if (r := _row(p))]), end
+
+    def readBetweenOffsets(self, start, end):
+        return iter([r for at, p in self._changes(start) if (at, p) <= (end["at"], end["path"]) and (r := _row(p))])
