@@ -534,3 +534,36 @@ def route_first_match(spark, sf_dir):
 @_query("""WITH l AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events) SELECT event_id, user_id, event_type FROM l WHERE last IS NULL OR event_type <> last""")
 def adjacent_dedup(spark, sf_dir):
     return watch.changed(_events(spark, sf_dir), C("event_type"), "user_id", ["event_time", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+# Pictures: small PNG files made from the catalogue go through a pipeline, and their headers are read back
+
+
+@_query(f"""WITH {FX}, p AS (SELECT file_id, CAST(16 + file_id % 40 AS INT) AS w, CAST(16 + (file_id * 7) % 50 AS INT) AS h FROM able WHERE kind = 'image'),
+c AS (SELECT file_id, greatest(2, least(w, CASE WHEN w * 1e0 / h > 4e0 / 3e0 THEN {_I("h * (4e0 / 3e0)")} ELSE w END)) AS w, greatest(2, least(h, CASE WHEN w * 1e0 / h > 4e0 / 3e0 THEN h ELSE {_I("w / (4e0 / 3e0)")} END)) AS h FROM p)
+SELECT file_id, greatest(1, {_I("w * 0.5e0")}) AS width, greatest(1, {_I("h * 0.5e0")}) AS height, false AS has_alpha FROM c""")
+def png_pipeline(spark, sf_dir):
+    import numpy as np
+    import pyarrow as pa
+
+    from .operators import images
+    from .sources.catalog import png_header
+
+    def draw(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                y, x = np.mgrid[0 : 16 + (i * 7) % 50, 0 : 16 + i % 40]
+                picture = images.encode(np.stack([2 * x, 2 * y, x + y], 2).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([str(i)]), pa.array([picture], pa.binary())], ["path", "content"])
+
+    files = _files(spark, sf_dir).where("kind = 'image'").select("file_id").mapInArrow(draw, "path string, content binary")
+    done = images.run_steps(files, dsl.parse("crop(ratio: 4:3) -> downscale(factor: 50%) -> optimise -> stripExif"))
+    return done.withColumns(png_header(C("content"))).select(C("path").cast("long").alias("file_id"), "width", "height", "has_alpha")
+
+
+_KINDS = ["Image", "images", "VIDEO", "videos", "audio", "audios", "pdf", "other"]
+
+
+@_query(f"SELECT name, CASE lower(name) WHEN 'image' THEN 'image' WHEN 'images' THEN 'image' WHEN 'video' THEN 'video' WHEN 'videos' THEN 'video' WHEN 'audio' THEN 'audio' WHEN 'pdf' THEN 'pdf' END AS kind FROM (SELECT unnest([{_sql_list(_KINDS)}]) AS name)")
+def parse_kinds(spark, sf_dir):
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, _KINDS))).alias("name")).select("name", paths.parse_kind(C("name")).alias("kind"))
