@@ -33,6 +33,8 @@ class PieceEncoder:
         self.added = re.compile("|".join(added)) if added else None
         self.blank = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE_SPACE}]", chr(c)))
         self.model, self.id_bytes = self.tokenizer.model, [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the pieces are cached here
         self.word_and_marks = re.compile(r"(\n?)([^\W\d_]+)([.,;:!?%*#&$|]*)").fullmatch
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level files name by their own character
         self.byte_names = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(printed)))}
@@ -83,6 +85,8 @@ class PieceEncoder:
                 cache[k] = ids + self._literal(marks) if marks else ids
             else:
                 new.append(k)
+        if not new:
+            return
         cache.update(zip(new, self._piece_ids([k[0] if isinstance(k, tuple) else k if k[0] == "\n" else " " + k for k in new])))
 
     def _word(self, word: str) -> bytes:
@@ -100,39 +104,38 @@ class PieceEncoder:
         return self.cache[(marks,)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, text in enumerate(texts) if not self.splits or self.added and self.added.search(text)]
         out: list = [None] * len(texts)
-        if len(self.cache) > self.cache_pieces:
-            self.older, self.cache = self.cache, {}
-        whole, cut, other, get = [], [], [], self.cache.get
-        for i, text in enumerate(texts):
-            if not self.splits or self.added and self.added.search(text):
-                whole.append(i)
-                continue
-            keys = text.replace("\n", " \n").split(" ")  # right unless white space stands before a space or a line's end
-            if keys[0][-1:] in self.blank:
-                other.append(i)
-                continue
-            keys[0] = (keys[0],)
-            found = [get(k) for k in keys]
-            if None in found:
-                cut.append((i, keys, found))
-            else:
-                out[i] = b"".join(found)
-        self._fill({k for _, keys, found in cut for k, x in zip(keys, found) if x is None})
-        for i, keys, found in cut:
-            found = [x or get(k) for k, x in zip(keys, found)]
-            if None in found:
-                other.append(i)
-            else:
-                out[i] = b"".join(found)
-        cut = [(i, [self._key(p) for p in self.pieces(texts[i])]) for i in other]
-        self._fill({k for _, keys in cut for k in keys if k not in self.cache})
-        for i, keys in cut:
-            out[i] = b"".join([get(k) for k in keys])
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]) if whole else []):
             out[i] = ids
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                out[i] = self._joined(text)
         return out
 
+    def _joined(self, text: str) -> bytes:
+        if len(self.cache) > self.cache_pieces:
+            self.older, self.cache = self.cache, {}
+        get = self.cache.get
+        keys: list = text.replace("\n", " \n").split(" ")  # right unless white space stands before a space or a line's end
+        if keys[0][-1:] in self.blank:
+            return self._by_pattern(text)
+        keys[0] = (keys[0],)
+        found = [get(k) for k in keys]
+        if None in found:
+            new = [i for i, x in enumerate(found) if x is None]
+            self._fill({keys[i] for i in new})
+            for i in new:
+                found[i] = get(keys[i])
+                if found[i] is None:
+                    return self._by_pattern(text)
+        return b"".join(found)
+
+    def _by_pattern(self, text: str) -> bytes:
+        keys = [self._key(p) for p in self.pieces(text)]
+        self._fill({k for k in keys if self.cache.get(k) is None})
+        return b"".join([self.cache[k] for k in keys])
+
 
 def encoder(path: str) -> PieceEncoder:
     """The encoder of a worker process, kept from task to task."""
