@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.dims import BUDGET_FACTORS
 from ..plans.dsl import Step
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -151,15 +152,60 @@ def cropped(image: np.ndarray, args: dict) -> np.ndarray:
     return resized(image, cw, _even(at(cw * h / w))) if cw else resized(image, _even(at(ch * w / h)), ch)
 
 
-def apply_step(data: bytes, step: Step) -> bytes:
-    if step.op == "optimise":
-        image = decode(data)
-        tries = [encode(image), stripped(data)]
-        try:
-            tries.append(encode_palette(image))
-        except Unsupported:
-            pass
-        return min(tries, key=len)
+def palette_size(factor: int) -> int:
+    """How many colours a factor leaves: all 256 up to 30, fewer beyond."""
+    return max(2, min(256, round(256 * (100 - (factor - 30) * 75 / 70) / 100)))
+
+
+def optimised(data: bytes, factor: int = 30) -> bytes:
+    """The smallest of a plain, a stripped and a palette encoding."""
+    image = decode(data)
+    tries = [encode(image), stripped(data)]
+    try:
+        tries.append(encode_palette(image, palette_size(factor)))
+    except Unsupported:
+        pass
+    return min(tries, key=len)
+
+
+def within(data: bytes, budget: int) -> bytes:
+    """The first factor's encoding that fits the budget, else the smallest; each try costs an encode, so it stops there."""
+    best = None
+    for factor in BUDGET_FACTORS:
+        tried = optimised(data, factor)
+        best = tried if best is None or len(tried) < len(best) else best
+        if len(tried) <= budget:
+            break
+    return best
+
+
+def watermarked(data: bytes, overlay: bytes, position: str, opacity: float, scale: float) -> bytes:
+    """A PNG blended over another, its width a part of the picture's, ten pixels from the edges or in the middle."""
+    base, mark = decode(data), decode(overlay)
+    w = max(1, int(base.shape[1] * max(0.01, min(1.0, scale)) + 0.5))
+    mark = resized(mark, w, max(1, int(mark.shape[0] * w / mark.shape[1] + 0.5)))
+    mark = mark if mark.shape[2] >= 3 else np.concatenate([np.repeat(mark[:, :, :1], 3, 2), mark[:, :, 1:]], 2)
+    base = base if base.shape[2] >= 3 else np.concatenate([np.repeat(base[:, :, :1], 3, 2), base[:, :, 1:]], 2)
+    where = position.lower().replace("-", "").replace("_", "")
+    free_x, free_y = base.shape[1] - mark.shape[1], base.shape[0] - mark.shape[0]
+    x = free_x // 2 if where in ("center", "centre") else 10 if where.endswith("left") else free_x - 10
+    y = free_y // 2 if where in ("center", "centre") else 10 if where.startswith("top") else free_y - 10
+    x, y = max(0, x), max(0, y)
+    mark = mark[: base.shape[0] - y, : base.shape[1] - x]
+    alpha = (mark[:, :, 3:4] / 255 if mark.shape[2] == 4 else 1.0) * max(0.0, min(1.0, opacity))
+    out = base.astype(float)
+    part = out[y : y + mark.shape[0], x : x + mark.shape[1], :3]
+    part[:] = part * (1 - alpha) + mark[:, :, :3] * alpha
+    return encode(out.round().astype(np.uint8))
+
+
+def apply_step(data: bytes, step: Step, overlays: dict[str, bytes], scripts: dict) -> bytes:
+    """``overlays``: pictures by the name that a watermark step gives. ``scripts``: functions of bytes by the code or path
+    of a runScript step, which leaves the file as it is; no shell is ever started."""
+    if step.op in ("optimise", "adaptive"):
+        return optimised(data)
+    if step.op == "targetSize":
+        return within(data, step.args["bytes"])
     if step.op == "downscale":
         image, f = decode(data), max(0.05, min(1.0, step.args["factor"]))
         return encode(resized(image, max(1, int(image.shape[1] * f + 0.5)), max(1, int(image.shape[0] * f + 0.5))))
@@ -171,10 +217,18 @@ def apply_step(data: bytes, step: Step) -> bytes:
         return encode(decode(data))
     if step.op == "copyToClipboard":
         return data
+    if step.op == "watermark" and step.args["image"] in overlays:
+        return watermarked(data, overlays[step.args["image"]], step.args["position"], step.args["opacity"], step.args["scale"])
+    if step.op == "runScript":
+        name = step.args.get("path", step.args.get("code"))
+        if name not in scripts:
+            raise Unsupported(f"no function stands for the script {name!r}")
+        scripts[name](data)
+        return data
     raise Unsupported(f"{step.op} needs an external encoder")
 
 
-def run_steps(files: DataFrame, steps: list[Step]) -> DataFrame:
+def run_steps(files: DataFrame, steps: list[Step], overlays: dict[str, bytes] | None = None, scripts: dict | None = None) -> DataFrame:
     """(path, old_size, new_size, content, error) of ``files`` (path, content) after all steps; the first error ends a file's run."""
 
     def run(batches):
@@ -183,7 +237,7 @@ def run_steps(files: DataFrame, steps: list[Step]) -> DataFrame:
                 data, error = content, None
                 try:
                     for step in steps:
-                        data = apply_step(data, step)
+                        data = apply_step(data, step, overlays or {}, scripts or {})
                 except (ValueError, KeyError, zlib.error, struct.error, TypeError) as e:
                     data, error = None, f"{path}: {e}"
                 yield pa.RecordBatch.from_arrays(

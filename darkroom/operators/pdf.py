@@ -140,3 +140,21 @@ def edited(files: DataFrame, edit, *args) -> DataFrame:
                 )
 
     return files.select("path", "content").mapInArrow(run, "path string, old_size long, new_size long, content binary, error string")
+
+
+def pages(files: DataFrame) -> DataFrame:
+    """(path, page, box) of each page of ``files`` (path, content): one row in, one row a page out. A file that can't be
+    read gives one row without a page."""
+
+    def each(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    found = objects(content or b"")
+                    boxes = [list(media_box(found, n)) for n in sorted(found) if _is_page(found[n][1])]
+                except (PdfError, ValueError):
+                    boxes = [None]
+                numbers = [None if b is None else i for i, b in enumerate(boxes, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(boxes), pa.string()), pa.array(numbers, pa.int32()), pa.array(boxes, pa.list_(pa.float64()))], ["path", "page", "box"])
+
+    return files.select("path", "content").mapInArrow(each, "path string, page int, box array<double>")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +93,67 @@ def backups_of(files: DataFrame, listed: DataFrame) -> DataFrame:
     """(backup, original) of given files, for those whose backup exists among ``listed`` (path)."""
     named = files.select(backup_name(F.col("path")).alias("backup"), F.col("path").alias("original")).distinct()
     return named.join(listed.select(F.col("path").alias("backup")), "backup", "left_semi")
+
+
+def _applied(rows: DataFrame, columns: list[str], act) -> DataFrame:
+    """(path, error) of each row after ``act`` on its columns. Each action may run again and then finds its work done."""
+
+    def run(batches):
+        for batch in batches:
+            paths, errors = [], []
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                paths.append(values[0])
+                try:
+                    act(*values)
+                    errors.append(None)
+                except OSError as e:
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(errors, pa.string())], ["path", "error"])
+
+    return rows.select(*columns).mapInArrow(run, "path string, error string")
+
+
+def apply_backups(plan: DataFrame) -> DataFrame:
+    """Copies ``path`` to ``backup`` unless that is there: the first original stays."""
+
+    def act(path, backup):
+        if not os.path.exists(backup):
+            shutil.copy2(path, backup + ".part")
+            os.replace(backup + ".part", backup)
+
+    return _applied(plan, ["path", "backup"], act)
+
+
+def apply_restores(pairs: DataFrame) -> DataFrame:
+    """Moves ``backup`` over ``original``; done already if only the original is left."""
+
+    def act(backup, original):
+        if os.path.exists(backup) or not os.path.exists(original):
+            os.replace(backup, original)
+
+    return _applied(pairs, ["backup", "original"], act)
+
+
+def apply_cleaning(pairs: DataFrame) -> DataFrame:
+    """Deletes backups."""
+
+    def act(backup):
+        if os.path.exists(backup):
+            os.remove(backup)
+
+    return _applied(pairs, ["backup"], act)
+
+
+def apply_writes(results: DataFrame, keep_times: bool = True) -> DataFrame:
+    """Writes ``content`` to ``dest`` through a part file, with the time of ``path`` if that is kept."""
+
+    def act(dest, content, path):
+        part = f"{dest}.part"
+        with open(part, "wb") as f:
+            f.write(content)
+        if keep_times and os.path.exists(path):
+            s = os.stat(path)
+            os.utime(part, ns=(s.st_atime_ns, s.st_mtime_ns))
+        os.replace(part, dest)
+
+    return _applied(results, ["dest", "content", "path"], act)

@@ -35,6 +35,11 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True, kinds: list[s
     return collect(read if content else read.drop("content"), kinds)
 
 
+def decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, width, height, nChannels, mode, data) of pictures that Spark's image source reads; others are left out."""
+    return spark.read.format("image").option("dropInvalid", True).load(folder).select(F.col("image.origin").alias("path"), "image.width", "image.height", "image.nChannels", "image.mode", "image.data")
+
+
 def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A media catalogue in integer arithmetic from ``documents``: file_id, path, length, width, height, has_alpha, factor."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars")

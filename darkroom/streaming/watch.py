@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,33 @@ def unseen(events: DataFrame, time: str = "event_time") -> DataFrame:
     return events.withColumn("_seen", F.max("mtime").over(before)).where("_seen IS NULL OR mtime > _seen").drop("_seen")
 
 
+def unseen_live(events: DataFrame) -> DataFrame:
+    """``unseen`` for a stream of (path, mtime, ..): the latest mtime of each path is state, kept over restarts."""
+
+    def fresh(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        for frame in frames:
+            keep = []
+            for i, at in enumerate(frame["mtime"]):
+                now = int(pd.Timestamp(at).value) // 1000
+                if last is None or now > last:
+                    last = now
+                    keep.append(i)
+            yield frame.iloc[keep]
+        if last is not None:
+            state.update((last,))
+
+    return events.groupBy("path").applyInPandasWithState(fresh, events.schema, "last long", "append", "NoTimeout")
+
+
+def start(events: DataFrame, targets: list[tuple[str, str, str]], handle: Callable[[DataFrame, int], None], checkpoint: str):
+    """Starts the watch: files that changed, each with its first target's pipeline, go to ``handle`` batch by batch.
+
+    A batch that fails is handed over again on restart, so that failures are tried again; stop() ends it.
+    """
+    return routed(unseen_live(watchable(events)), targets).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).start()
+
+
 def type_matches(file_type: Column, of: Column) -> Column:
     """Unknown and empty types match everything."""
     return F.when(file_type.isin("image", "video", "audio", "pdf"), of == file_type).otherwise(F.lit(True))

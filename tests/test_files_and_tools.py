@@ -127,3 +127,68 @@ def test_video_commands(spark):
     assert "-vf fps=12 " in got["vp9"]["g"] and "-vf fps=12,scale=640:-1:flags=lanczos " in got["av1"]["g"]
     assert "-vf fps=fps=1 " in got["vp9"]["f"] and "-preset slower " in got["vp9"]["f"]
     assert got["vp9"]["r"] == "-y -i in -c copy -an -hide_banner -nostats out" and got["vp9"]["a"] == "-y -i in -c:a libmp3lame -q:a 5 out"
+
+
+def test_watermark_budget_and_scripts(spark):
+    data, mark = images.encode(gradient()), images.encode(np.full((4, 8, 4), 255, np.uint8))
+    files = spark.createDataFrame([("a.png", data)], "path string, content binary")
+
+    def run(text, **more):
+        return images.run_steps(files, dsl.parse(text), **more).first()
+
+    row = run("watermark(image: m, position: topLeft, scale: 0.25)", overlays={"m": mark})
+    got = images.decode(bytes(row["content"]))
+    assert (got[10:22, 10:34] == 255).all() and (got[40:] == gradient()[40:]).all()
+    assert "external" in run("watermark(image: m)")["error"]
+    sizes = [run(f"targetSize(bytes: {b})")["new_size"] for b in (10**6, 1)]
+    assert sizes[1] <= sizes[0] <= len(data)
+    assert run("runScript(code: look) -> adaptive", scripts={"look": len})["error"] is None and "no function" in run("runScript(code: other)")["error"]
+
+
+def test_backup_restore_and_clean(spark, tmp_path):
+    from darkroom.functions import paths
+    from darkroom.operators import placement
+
+    a = tmp_path / "a.png"
+    a.write_bytes(b"first")
+    files = spark.createDataFrame([(str(a),)], "path string")
+    plan = placement.backups_to_make(files, files.limit(0))
+    for content in (b"second", b"third"):
+        assert placement.apply_backups(plan).first()["error"] is None
+        done = files.select("path", F.col("path").alias("dest"), F.lit(content).alias("content"))
+        assert placement.apply_writes(done).first()["error"] is None and a.read_bytes() == content
+    listed = files.union(files.select(paths.backup_name(F.col("path"))))
+    pairs = placement.restore_pairs(listed)
+    for _ in range(2):
+        assert placement.apply_restores(pairs).first()["error"] is None and a.read_bytes() == b"first"
+    assert placement.apply_backups(plan).first()["error"] is None and placement.apply_cleaning(pairs).first()["error"] is None
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.png"]
+    gone = spark.createDataFrame([(str(tmp_path / "x"), str(tmp_path / "y"))], "backup string, original string")
+    assert placement.apply_restores(gone).first()["error"]
+
+
+def test_image_source(spark, tmp_path):
+    from darkroom.sources.catalog import decoded
+
+    (tmp_path / "a.png").write_bytes(images.encode(gradient(8, 4)))
+    (tmp_path / "b.png").write_bytes(b"no picture")
+    (row,) = decoded(spark, str(tmp_path)).collect()
+    assert (row["width"], row["height"], row["nChannels"]) == (8, 4, 3)
+    assert (np.frombuffer(row["data"], np.uint8).reshape(4, 8, 3)[:, :, ::-1] == gradient(8, 4)).all()
+
+
+def test_live_watch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    a = tmp_path / "in" / "a.png"
+    a.write_bytes(b"1")
+    (tmp_path / "in" / "b.txt").write_bytes(b"1")
+    spark.dataSource.register(FileListing)
+    seen = []
+    events = spark.readStream.format("darkroom_files").option("path", str(tmp_path / "in")).load()
+    query = watch.start(events, [(str(tmp_path / "in"), "image", "optimise")], lambda df, _: seen.extend(map(tuple, df.select("path", "pipeline").collect())), str(tmp_path / "cp"))
+    query.processAllAvailable()
+    time.sleep(0.05)
+    a.write_bytes(b"22")
+    query.processAllAvailable()
+    query.stop()
+    assert seen == [(str(a), "optimise")] * 2

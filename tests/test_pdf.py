@@ -32,6 +32,12 @@ def test_places_in_the_table_are_right():
         assert data[int(row[:10]) :].startswith(b"%d 0 obj" % n)
 
 
+def test_pages(spark):
+    files = spark.createDataFrame([("a.pdf", minimal(False)), ("b.pdf", b"x")], "path string, content binary")
+    got = {r["path"]: (r["page"], r["box"]) for r in pdf.pages(files).collect()}
+    assert got == {"a.pdf": (1, [0.0, 0.0, 200.0, 100.0]), "b.pdf": (None, None)}
+
+
 def test_recompress():
     data = minimal()
     small = pdf.recompressed(data)
