@@ -1,4 +1,17 @@
+import os
+import zlib
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from darkroom.llm.quality_classifier import classify
+from darkroom.llm.quality_rules import judge
+from darkroom.llm.queries import tokenizer_path
+
+from .test_sets import brute_decontamination, shingles
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_stages_on_odd_rows(spark, odd_docs, no_docs, labels, tmp_path):
@@ -15,13 +28,42 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, labels, tmp_path):
     assert kept[1] == 1 and 6 not in kept and kept[5] == 1 and kept[None] == 2
 
 
-def test_run(spark):
-    import os
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_run_against_brute_force(spark):
+    """Every stage, on what its predecessor kept, and the pieces at the end."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+    def table(ids):
+        return spark.createDataFrame([(i, texts[i]) for i in sorted(ids)], "doc_id long, text string")
+
+    ids = {r["doc_id"] for r in classify(docs, labels).where("predicted = 1").collect()}
+    ids = {r["doc_id"] for r in judge(table(ids), labels).where("kept").collect()}
+    sets, root = {i: shingles(texts[i]) for i in ids}, {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    ids = {i for i in ids if find(i) == i}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    ids = {r[0] for r in brute_decontamination([(i, texts[i]) for i in ids], items, 10) if not r[-1]}
 
-    import pytest
+    pieces = sorted(map(tuple, corpus_pipeline.run(spark, SF).select("sequence_id", "offset", "doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
+    assert {p[2] for p in pieces} == ids and len(ids) > 50
+    from tokenizers import Tokenizer
 
-    sf = "/root/testdata/sf0.001"
-    if not os.path.isdir(sf):
-        pytest.skip("no test tables")
-    pieces = corpus_pipeline.run(spark, sf).collect()
-    assert pieces and sum(p["length"] for p in pieces) == sum({p["doc_id"]: p["doc_tokens"] for p in pieces}.values())
+    encode = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode
+    tokens = {i: np.array(encode(texts[i], add_special_tokens=False).ids + [1], "<u4") for i in ids}
+    at = 0
+    for sequence, offset, doc_id, start, length, crc, n in pieces:
+        assert 2048 * sequence + offset == at and n == len(tokens[doc_id])
+        assert crc == zlib.crc32(tokens[doc_id][start : start + length].tobytes())
+        at += length
+    assert at == sum(map(len, tokens.values())) and len({(p[2], p[3]) for p in pieces}) == len(pieces)
