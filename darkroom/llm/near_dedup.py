@@ -233,23 +233,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     groups = _grouped(written(groups.select("node", F.col("node").alias("root")), "groups"), same_id)
     texts = written(only(rows_in.select(F.col("doc_id").alias("id"), "text"), entries.select(F.col("rep").alias("id")).distinct(), most_broadcast), "texts")
 
+    # a class that meets many others is near the middle of a family of copies, and leads
+    crowd = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    middle = entries.join(crowd, "bucket").groupBy("rep").agg((-F.sum("n")).alias("order"))
+    entries = written(entries.join(middle, "rep"), "ordered")
+
     tried = None
     for turn in range(leaders + 1):
         open_ = _open(entries, groups)
         if turn < leaders:
-            order = F.struct(F.col("rep").alias("k") if turn < 2 else F.xxhash64("rep", F.lit(turn)).alias("k"), F.col("rep").alias("rep"), F.col("root").alias("root"), F.col("size").alias("size"))
-            lead = open_.groupBy("bucket").agg(F.min(order).alias("lead"))
-            met = open_.join(lead, "bucket").where("root != lead.root").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.size").alias("size_a"), F.col("size").alias("size_b"))
+            lead = open_.groupBy("bucket").agg(F.min(F.struct("order", "rep", "root", "size")).alias("lead"))
+            met = open_.join(lead, "bucket").where("root != lead.root").select(F.col("lead.rep").alias("lead"), F.col("rep").alias("member"), F.col("lead.size").alias("size_a"), F.col("size").alias("size_b"))
+            # sets whose sizes differ more can't be similar enough
+            met = met.where(F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")).groupBy("lead", "member").agg(F.count(F.lit(1)).alias("n"))
+            if turn == 0:  # the first comparison: with the leader that a class meets in most buckets
+                met = met.groupBy("member").agg(F.max(F.struct("n", (-F.col("lead")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("lead"), "member")
+            pairs = met.select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b")).distinct()
         else:
-            met = _sharing_rare(open_.select("rep", "root", "size").distinct(), texts, width, percent, most_broadcast)
-        # sets whose sizes differ more can't be similar enough
-        met = met.where(F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"))
-        pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        if turn == 0 and leaders:  # the first comparison: with the leader that a class meets in most buckets
-            best = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("best"))
-            pairs = best.select((-F.col("best.minus")).alias("a"), "b")
-        pairs = pairs.select("a", "b")
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = _sharing_rare(open_.select("rep", "root", "size").distinct(), texts, width, percent, most_broadcast)
+        pairs = written(pairs, "met")
+        pairs = pairs if tried is None else written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
         done = verified(pairs, texts, width, percent, most_broadcast)
@@ -273,11 +276,13 @@ SKETCH, SKETCH_BLOCK = 1 << 22, 1 << 17
 
 
 def _sharing_rare(apart: DataFrame, texts: DataFrame, width: int, percent: int, most_broadcast: int) -> DataFrame:
-    """(a, b, size_a, size_b): classes (rep, root, size) of different groups that share one of their rarest shingles.
+    """(a, b): classes (rep, root, size) of different groups that may be similar enough by their rarest shingles.
 
-    Of a set of n, the n - ceil(n * percent / 100) + 1 rarest are taken: sets that are similar enough share one of
-    these. How rare a shingle is comes from a table of counts by hash, of a fixed size; any order is right as long as
-    it is the same for all sets.
+    Of a set of n, the n - ceil(n * percent / 100) + 1 rarest are taken, in an order that is the same for all sets: sets
+    that are similar enough share one of these. At the first that they share, what comes before it in either is
+    not shared, so that the rest of the shorter one must be as large as the overlap that the similarity asks for;
+    this bound, with that on sizes, is part of the join. How rare a shingle is comes from a table of counts by
+    hash, of a fixed size.
     """
     own = written(only(texts, apart.select(F.col("rep").alias("id")), most_broadcast), "apart")
 
@@ -306,19 +311,23 @@ def _sharing_rare(apart: DataFrame, texts: DataFrame, width: int, percent: int,
     def rarest(batches):
         for batch in batches:
             for ids, part in slices(batch, 2 << 20):
-                out_ids, out = [], []
+                out_ids, out, places = [], [], []
                 for i, s in zip(ids, _shingler(width).sets(part)):
                     n = len(s) - -(-percent * len(s) // 100) + 1
                     rank = shared.value[(s >> U(42)).astype(np.int64)]
                     take = s[np.lexsort((s, rank))[:n]]
                     out.append(take)
+                    places.append(np.arange(len(take), dtype=np.int32))
                     out_ids.append(np.full(len(take), i, np.int64))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out).view(np.int64))], ["rep", "shingle"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(places))], ["rep", "shingle", "place"])
 
-    rare = written(own.select("id", "text").mapInArrow(rarest, "rep long, shingle long").join(apart, "rep"), "rare")
+    rare = written(own.select("id", "text").mapInArrow(rarest, "rep long, shingle long, place int").join(apart, "rep"), "rare")
     several = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     met = written(rare.join(several, "shingle"), "rare-shared")
-    x = met.select("shingle", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-    y = met.select("shingle", F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-    return x.join(y, "shingle").where("root_a < root_b").select("a", "b", "size_a", "size_b")
+    x = met.select("shingle", F.col("rep").alias("x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), (F.col("size") - F.col("place")).alias("rest_x"))
+    y = met.select(F.col("shingle").alias("same"), F.col("rep").alias("y"), F.col("root").alias("root_y"), F.col("size").alias("size_y"), (F.col("size") - F.col("place")).alias("rest_y"))
+    sizes = F.expr(f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
+    places = F.expr(f"{100 + percent} * least(rest_x, rest_y) >= {percent} * (size_x + size_y)")
+    both = x.join(y, (F.col("shingle") == F.col("same")) & (F.col("root_x") < F.col("root_y")) & sizes & places)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
