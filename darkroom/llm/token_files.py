@@ -123,7 +123,7 @@ class FrameReader:
         return int(self.ids[i]) if self.valid[i] else None, int(self.before[i]), self.kept[1][start : start + 4 * int(self.counts[i])]
 
 
-def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int | None = 0, frame_tokens: int = 1 << 16, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int | None = 0, frame_tokens: int = 1 << 16, level: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes whole texts and writes them to files in ``out_dir`` in ascending order of the id; returns the manifest.
 
     Null texts are empty; a null id comes first and stays null; rows with the same id are all written, in the

@@ -21,7 +21,7 @@ class PieceEncoder:
     token, and every text if the file asks for more than such a pre-tokenizer, is encoded as one.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 400_000):
+    def __init__(self, path: str, cache_pieces: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -32,7 +32,10 @@ class PieceEncoder:
         added = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(added)) if added else None
         self.blank = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE_SPACE}]", chr(c)))
-        self.model, self.id_bytes = self.tokenizer.model, [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.seen, self.met = bytearray(1 << 22), 0
+        most = max(self.tokenizer.get_vocab(True).values(), default=0)
+        self.kind = "<u2" if most < 1 << 16 else "<u4"  # of ids in the cache
+        self.model, self.id_bytes = self.tokenizer.model, [i.to_bytes(int(self.kind[2]), "little") for i in range(most + 1)]
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # the pieces are cached here
         self.word_and_marks = re.compile(r"(\n?)([^\W\d_]+)([.,;:!?%*#&$|]*)").fullmatch
@@ -49,8 +52,8 @@ class PieceEncoder:
         for lo in range(0, len(pieces), 1000):
             words = pieces[lo : lo + 1000]
             encoding = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(encoding.ids, "<u4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(words)))
+            ids = np.array(encoding.ids, self.kind).tobytes()
+            ends = int(self.kind[2]) * np.cumsum(np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(words)))
             at = 0
             for end in ends.tolist():
                 out.append(ids[at:end])
@@ -61,33 +64,49 @@ class PieceEncoder:
         """The cache's key of a piece that the pattern found."""
         return piece[1:] if piece[:1] == " " and piece[1:2] != "\n" and piece[-1] not in self.blank else (piece,)
 
-    def _fill(self, keys: set) -> None:
-        """Puts keys into the cache: a string stands for itself after a space, or for itself if it starts with a
-        line's end, and a 1-tuple for what it holds. A string that ends in white space or is empty isn't a
-        piece; its value is None. Letters and the marks after them never share a token, so that a word with
-        a mark takes the ids of the word and of the mark."""
-        cache, older, new = self.cache, self.older, []
+    def _new(self, keys: set) -> dict:
+        """Values of keys that the cache doesn't hold: a string stands for itself after a space, or for itself if it
+        starts with a line's end, and a 1-tuple for what it holds. A string that ends in white space or is empty isn't
+        a piece; its value is None. Letters and the marks after them never share a token, so that a word with
+        marks takes the ids of both. A value stays in the cache if its key, or one of the same hash, has been met before:
+        most pieces come once, and would drive out those that come again."""
+        cache, older, seen, out, rest = self.cache, self.older, self.seen, {}, []
         for k in keys:
             if k in older:
-                cache[k] = older[k]
-            elif isinstance(k, tuple):
-                new.append(k)
-            elif k.isalpha():
-                cache[k] = self._word(" " + k)
+                out[k] = cache[k] = older[k]
+                continue
+            if isinstance(k, tuple):
+                rest.append(k)
+                continue
+            if k.isalpha():
+                ids = self._word(" " + k)
             elif not k or k[-1] in self.blank:
-                cache[k] = None
+                out[k] = None
+                continue
             elif (found := self.word_and_marks(k)) and found[2].isalpha():
                 line, word, marks = found.groups()
                 if line:
                     ids = self._literal(line) + self._word(word)
-                elif (ids := cache.get(word) or older.get(word)) is None:
-                    cache[word] = ids = self._word(" " + word)
-                cache[k] = ids + self._literal(marks) if marks else ids
+                else:
+                    ids = cache.get(word) or older.get(word) or self._word(" " + word)
+                ids = ids + self._literal(marks) if marks else ids
             else:
-                new.append(k)
-        if not new:
-            return
-        cache.update(zip(new, self._piece_ids([k[0] if isinstance(k, tuple) else k if k[0] == "\n" else " " + k for k in new])))
+                rest.append(k)
+                continue
+            out[k] = ids
+            at = hash(k) & 0x3FFFFF
+            if seen[at]:
+                cache[k] = ids
+            else:
+                seen[at] = 1
+                self.met += 1
+        if self.met > 1 << 20:
+            self.seen, self.met = bytearray(1 << 22), 0
+        if rest:
+            found = dict(zip(rest, self._piece_ids([k[0] if isinstance(k, tuple) else k if k[0] == "\n" else " " + k for k in rest])))
+            cache.update(found)
+            out.update(found)
+        return out
 
     def _word(self, word: str) -> bytes:
         """The ids of letters, with a space before them or not: for the pre-tokenizer, one unit."""
@@ -110,7 +129,8 @@ class PieceEncoder:
             out[i] = ids
         for i, text in enumerate(texts):
             if out[i] is None:
-                out[i] = self._joined(text)
+                ids = self._joined(text)
+                out[i] = ids if self.kind == "<u4" else np.frombuffer(ids, self.kind).astype("<u4").tobytes()
         return out
 
     def _joined(self, text: str) -> bytes:
@@ -124,17 +144,17 @@ class PieceEncoder:
         found = [get(k) for k in keys]
         if None in found:
             new = [i for i, x in enumerate(found) if x is None]
-            self._fill({keys[i] for i in new})
+            got = self._new({keys[i] for i in new})
+            if None in got.values():
+                return self._by_pattern(text)
             for i in new:
-                found[i] = get(keys[i])
-                if found[i] is None:
-                    return self._by_pattern(text)
+                found[i] = got[keys[i]]
         return b"".join(found)
 
     def _by_pattern(self, text: str) -> bytes:
         keys = [self._key(p) for p in self.pieces(text)]
-        self._fill({k for k in keys if self.cache.get(k) is None})
-        return b"".join([self.cache[k] for k in keys])
+        got = self._new({k for k in keys if k not in self.cache})
+        return b"".join([got[k] if k in got else self.cache[k] for k in keys])
 
 
 def encoder(path: str) -> PieceEncoder:
