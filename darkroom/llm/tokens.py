@@ -34,8 +34,7 @@ class PieceEncoder:
         self.blank = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE_SPACE}]", chr(c)))
         self.seen, self.met = bytearray(1 << 22), 0
         most = max(self.tokenizer.get_vocab(True).values(), default=0)
-        self.kind = "<u2" if most < 1 << 16 else "<u4"  # of ids in the cache
-        self.model, self.id_bytes = self.tokenizer.model, [i.to_bytes(int(self.kind[2]), "little") for i in range(most + 1)]
+        self.model, self.id_bytes = self.tokenizer.model, [i.to_bytes(4, "little") for i in range(most + 1)]
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # the pieces are cached here
         self.word_and_marks = re.compile(r"(\n?)([^\W\d_]+)([.,;:!?%*#&$|]*)").fullmatch
@@ -52,8 +51,8 @@ class PieceEncoder:
         for lo in range(0, len(pieces), 1000):
             words = pieces[lo : lo + 1000]
             encoding = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(encoding.ids, self.kind).tobytes()
-            ends = int(self.kind[2]) * np.cumsum(np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(words)))
+            ids = np.array(encoding.ids, "<u4").tobytes()
+            ends = 4 * np.cumsum(np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(words)))
             at = 0
             for end in ends.tolist():
                 out.append(ids[at:end])
@@ -80,6 +79,8 @@ class PieceEncoder:
                 continue
             if k.isalpha():
                 ids = self._word(" " + k)
+            elif (word := k[:-1]).isalpha() and k[-1] in ".,;:!?":
+                ids = (cache.get(word) or older.get(word) or self._word(" " + word)) + self._literal(k[-1])
             elif not k or k[-1] in self.blank:
                 out[k] = None
                 continue
@@ -129,8 +130,7 @@ class PieceEncoder:
             out[i] = ids
         for i, text in enumerate(texts):
             if out[i] is None:
-                ids = self._joined(text)
-                out[i] = ids if self.kind == "<u4" else np.frombuffer(ids, self.kind).astype("<u4").tobytes()
+                out[i] = self._joined(text)
         return out
 
     def _joined(self, text: str) -> bytes:
