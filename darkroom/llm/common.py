@@ -47,26 +47,24 @@ def ascii_lower(text):
     return F.translate(text, UPPER, LOWER)
 
 
-def slices(batch, max_bytes: int = 8 << 20):
-    """(ids, texts) lists of an Arrow batch with columns (doc_id, text), each about ``max_bytes`` of text at most or one row."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1)
-    lo, n = 0, len(ids)
-    sizes = texts.nbytes
-    if sizes <= max_bytes:
-        if n:
-            yield ids, texts.to_pylist()
-        return
+def cuts(texts, max_bytes: int) -> list[tuple[int, int]]:
+    """(first row, rows) of parts of an Arrow array of texts, each of about ``max_bytes`` at most or one row."""
     import pyarrow.compute as pc
 
-    lengths = pc.binary_length(texts).to_pylist()
-    total = 0
-    for i, k in enumerate(lengths):
+    out, lo, total = [], 0, 0
+    for i, k in enumerate(pc.binary_length(texts).to_pylist()):
         if i > lo and total + (k or 0) > max_bytes:
-            yield ids[lo:i], texts.slice(lo, i - lo).to_pylist()
+            out.append((lo, i - lo))
             lo, total = i, 0
         total += k or 0
-    if lo < n:
-        yield ids[lo:], texts.slice(lo).to_pylist()
+    return [*out, (lo, len(texts) - lo)] if lo < len(texts) else out
+
+
+def slices(batch, max_bytes: int = 8 << 20):
+    """(ids, texts) lists of an Arrow batch with columns (doc_id, text), cut as ``cuts`` does."""
+    for lo, n in cuts(batch.column(1), max_bytes):
+        part = batch.slice(lo, n)
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
 def filesystem(uri: str):
@@ -93,7 +91,7 @@ def crc_mod(id_col, by: int):
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(by)), F.lit(0)).cast("int")
 
 
-def filtered(docs: DataFrame, accept, text_col: str = "text", max_rows: int = 512) -> DataFrame:
+def filtered(docs: DataFrame, accept, text_col: str = "text", max_bytes: int = 2 << 20) -> DataFrame:
     """Rows whose texts ``accept`` takes, a function from a list of texts (null: empty) to booleans; all columns stay."""
     at = docs.columns.index(text_col)
 
@@ -101,8 +99,8 @@ def filtered(docs: DataFrame, accept, text_col: str = "text", max_rows: int = 51
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, max_rows):
-                part = batch.slice(lo, max_rows)
+            for lo, n in cuts(batch.column(at), max_bytes):
+                part = batch.slice(lo, n)
                 yield part.filter(pa.array(accept([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

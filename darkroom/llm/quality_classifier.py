@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, filtered, id_and_text, labelled_sample, slices
 
 WORDS, SHAPES, DIM, BLOCK = 1 << 15, 1 << 12, 64, 1 << 10
+AT_ONCE = 1 << 15  # words whose vectors are held at once
 REPEATED = 0  # the shape of a word that equals the one before it
 _PARTS = re.compile(r"(\W*)(.*?)(\W*)", re.S).fullmatch
 
@@ -61,15 +62,16 @@ def _context_sums(word: np.ndarray, shape: np.ndarray, counts: np.ndarray, index
     """For each term, the sum of the index vectors of the terms next to it."""
     out = np.zeros((WORDS + SHAPES, DIM), np.float32)
     doc = np.repeat(np.arange(len(counts)), counts)
-    both = index[0][word] + index[1][shape]
-    near = np.flatnonzero(doc[1:] == doc[:-1])
-    for here, there in ((near, near + 1), (near + 1, near)):
-        for terms in (word[here], WORDS + shape[here]):
-            order = np.argsort(terms, kind="stable")
-            ranked = terms[order]
-            starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, np.int64)
-            if len(starts):
-                out[ranked[starts]] += np.add.reduceat(both[there][order], starts, axis=0)
+    inside = np.flatnonzero(doc[1:] == doc[:-1])
+    for lo in range(0, len(inside), AT_ONCE):
+        near = inside[lo : lo + AT_ONCE]
+        for here, there in ((near, near + 1), (near + 1, near)):
+            both = index[0][word[there]] + index[1][shape[there]]
+            for terms in (word[here], WORDS + shape[here]):
+                order = np.argsort(terms, kind="stable")
+                ranked = terms[order]
+                starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+                out[ranked[starts]] += np.add.reduceat(both[order], starts, axis=0)
     return out
 
 
@@ -80,12 +82,13 @@ def _normed(v: np.ndarray) -> np.ndarray:
 def pooled(word: np.ndarray, shape: np.ndarray, counts: np.ndarray, vectors: tuple) -> np.ndarray:
     """The mean vector of each text's words and of its shapes, side by side; zeros for a text without words."""
     out = np.zeros((len(counts), 2 * DIM), np.float32)
-    full = np.flatnonzero(counts)
-    starts = (np.cumsum(counts) - counts)[full]
-    if len(full):
+    doc = np.repeat(np.arange(len(counts)), counts)
+    for lo in range(0, len(doc), AT_ONCE):  # however long a text is
+        own = doc[lo : lo + AT_ONCE]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         for k, (terms, table) in enumerate(((word, vectors[0]), (shape, vectors[1]))):
-            out[full, k * DIM : (k + 1) * DIM] = np.add.reduceat(table[terms], starts, axis=0) / counts[full, None]
-    return out
+            out[own[starts], k * DIM : (k + 1) * DIM] += np.add.reduceat(table[terms[lo : lo + AT_ONCE]], starts, axis=0)
+    return out / np.maximum(counts, 1)[:, None].astype(np.float32)
 
 
 class Network:
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, most_rows: int = 20_000,
     def sums(batches):
         total = np.zeros((WORDS + SHAPES, DIM), np.float32)
         for batch in batches:
-            for _, part in slices(batch.select(["draw", "text"]), 4 << 20):
+            for _, part in slices(batch.select(["draw", "text"]), 2 << 20):
                 total += _context_sums(*_terms().of(part), index)
         for lo in range(0, WORDS + SHAPES, BLOCK):
             if total[lo : lo + BLOCK].any():
@@ -166,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, most_rows: int = 20_000,
     def pool(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.concatenate([pooled(*_terms().of(p), shared.value) for _, p in slices(batch.select(["draw", "text"]), 4 << 20)])
+                x = np.concatenate([pooled(*_terms().of(p), shared.value) for _, p in slices(batch.select(["draw", "text"]), 2 << 20)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["draw", "label", "v"])
 
     got = sorted((r["draw"], r["label"], bytes(r["v"])) for r in texts.mapInArrow(pool, "draw long, label int, v binary").collect())  # most_rows at most
@@ -189,7 +192,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
 
     def score(batches):
         for batch in batches:
-            for ids, texts in slices(batch, 4 << 20):
+            for ids, texts in slices(batch, 2 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_scores(model, texts))], ["doc_id", "score"])
 
     scored = id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
