@@ -42,6 +42,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(docs[id_col].cast("long").alias("doc_id"), (F.coalesce(text, F.lit("")) if null_as_empty else text).alias("text"))
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    """What a worker process keeps from task to task: the last thing that an operator made, and nothing of others."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def ascii_lower(text):
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

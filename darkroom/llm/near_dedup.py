@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, id_and_text, slices, written
+from .common import LOWER_TABLE, id_and_text, kept, slices, written
 
 U = np.uint64
 _STEP, _MIX1, _MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -33,7 +33,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed word shingles; words are hashed once while they stay in a cache of bounded size."""
 
-    def __init__(self, width: int = 5, most: int = 400_000):
+    def __init__(self, width: int = 5, most: int = 200_000):
         self.width, self.most, self.hashes = width, most, {}
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
@@ -102,8 +102,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _shingler(width: int) -> Shingler:
-    kept = _shingler.__dict__.setdefault("kept", {})
-    return kept.setdefault(width, Shingler(width))
+    return kept(("shingler", width), lambda: Shingler(width))
 
 
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:

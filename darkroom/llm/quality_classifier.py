@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, filtered, id_and_text, labelled_sample, slices
+from .common import crc_mod, filtered, id_and_text, kept, labelled_sample, slices
 
 WORDS, SHAPES, DIM, BLOCK = 1 << 15, 1 << 12, 64, 1 << 10
 AT_ONCE = 1 << 15  # words whose vectors are held at once
@@ -21,7 +21,7 @@ _PARTS = re.compile(r"(\W*)(.*?)(\W*)", re.S).fullmatch
 class Terms:
     """A word's two terms: what it says, in lower case and without marks, and its shape: case and marks around it."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         self.kept, self.most = {}, most
 
     def _code(self, word: str) -> int:
@@ -130,9 +130,7 @@ class Network:
 
 
 def _terms() -> Terms:
-    if "kept" not in _terms.__dict__:
-        _terms.kept = Terms()
-    return _terms.kept
+    return kept(("terms",), Terms)
 
 
 def fit(docs: DataFrame, labels: DataFrame, where=None, most_rows: int = 20_000, parts: int = 24, id_col: str = "doc_id", text_col: str = "text"):

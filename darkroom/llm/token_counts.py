@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, kept, slices
 
 SPACE = "▁"  # how the model writes a space
 
@@ -71,12 +71,8 @@ class ChunkedCounter:
         return total + len(ends) - skip
 
 
-def counter(path: str, chunk_chars: int, overlap_chars: int) -> ChunkedCounter:
-    kept = counter.__dict__.setdefault("kept", {})
-    key = path, chunk_chars, overlap_chars
-    if key not in kept:
-        kept[key] = ChunkedCounter(*key)
-    return kept[key]
+def counter(*args) -> ChunkedCounter:
+    return kept(("counter", *args), lambda: ChunkedCounter(*args))
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, chunk_chars: int = 32_768, overlap_chars: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

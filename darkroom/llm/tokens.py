@@ -8,6 +8,8 @@ import re
 
 import numpy as np
 
+from .common import kept
+
 #: The characters with the Unicode property White_Space, which the pre-tokenizer's pattern calls \s.
 WHITE_SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -159,7 +161,4 @@ class PieceEncoder:
 
 def encoder(path: str) -> PieceEncoder:
     """The encoder of a worker process, kept from task to task."""
-    kept = encoder.__dict__.setdefault("kept", {})
-    if path not in kept:
-        kept[path] = PieceEncoder(path)
-    return kept[path]
+    return kept(("encoder", path), lambda: PieceEncoder(path))
