@@ -127,19 +127,21 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, most_
     """(a, b, linked) of pairs (a, b), by the full shingle sets of their texts; an id with several texts has them all."""
 
     def verify(batches):
-        last: dict[int, list] = {}
+        import xxhash
+
+        last: dict[tuple, np.ndarray] = {}  # by id and text: rows of an id with several texts are each compared with their own
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows = batch.slice(lo, 256)
-                a, b = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-                missing = {i: t for i, t in zip(a, rows.column(2).to_pylist()) if i not in last}
+                a, b, texts_a = (rows.column(i).to_pylist() for i in range(3))
+                keys = [(i, xxhash.xxh3_128_digest(t)) for i, t in zip(a, texts_a)]
                 if len(last) > 512:
                     last.clear()
-                    missing = dict(zip(a, rows.column(2).to_pylist()))
+                missing = {k: t for k, t in zip(keys, texts_a) if k not in last}
                 last.update(zip(missing, _shingler(width).sets(list(missing.values()))))
                 linked = []
-                for i, y in zip(a, _shingler(width).sets(rows.column(3).to_pylist())):
-                    x = last[i]
+                for k, y in zip(keys, _shingler(width).sets(rows.column(3).to_pylist())):
+                    x = last[k]
                     shared = np.intersect1d(x, y, assume_unique=True).size
                     linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked)], ["a", "b", "linked"])

@@ -111,6 +111,15 @@ def test_near_duplicates(spark, odd_docs, leaders, most_broadcast):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("leaders", [2, 0])
+def test_near_duplicates_of_an_id_with_two_texts(spark, leaders):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = [(7, one), (7, two), (20, one + " end"), (21, two + " end"), (30, "another text that is like none of these")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, leaders=leaders).collect()}
+    assert got == {(7, 7, True), (20, 7, False), (21, 7, False), (30, 30, True)}
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     rows = near_dedup.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
