@@ -14,13 +14,15 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, filesystem, id_and_text, kept, slices, written
 
 U = np.uint64
 END = b"\xff"
+#: Texts with a string from which on its probability is broadcast to them.
+MANY = 50_000
 
 
 def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +206,73 @@ class PartialMatching:
         return out
 
 
+class Frequent:
+    """The log probabilities of the most frequent of the longest strings, by a table by hash; where two meet in it, the
+    more frequent one stays, and the other is looked up in the sorted strings."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, log: np.ndarray):
+        by = np.argsort(gram.view(U))
+        self.keys, self.logs = gram.view(U)[by], log[by]
+        self.bits = max(4, int(len(by) * 2).bit_length())
+        self.slot_keys = np.zeros(1 << self.bits, U)
+        self.slot_keys[0] = 1  # an empty slot holds a string that belongs to another one
+        self.slot_values = np.zeros(1 << self.bits, np.float32)
+        order = np.argsort(n[by], kind="stable")
+        slots = self._slots(self.keys)[order]
+        self.slot_keys[slots] = self.keys[order]
+        self.slot_values[slots] = self.logs[order]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log probabilities, 0 where there is none; places where there is none)."""
+        slots = self._slots(keys)
+        out = self.slot_values[slots].astype(float)
+        rest = np.flatnonzero(self.slot_keys[slots] != keys)
+        out[rest] = 0.0
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys[rest]), len(self.keys) - 1)
+            found = self.keys[at] == keys[rest]
+            out[rest[found]] = self.logs[at[found]]
+            rest = rest[~found]
+        return out, rest
+
+
+def _times(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, key, times) of the distinct pairs, by owner."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))) if len(keys) else np.zeros(0, np.int64)
+    return owner[first], keys[first], np.diff(np.append(first, len(keys)))
+
+
+def by_escape(asked: DataFrame, strings: DataFrame, order: int) -> DataFrame:
+    """``asked`` (gram, texts) with the log probability ``log`` of each string under the whole model ``strings`` (length, gram, n).
+
+    Both are dealt by the last three bytes of the context, which a context shares with all its shorter ones down to three
+    bytes; strings of up to three bytes, whose number the alphabet bounds, are read by every worker. The number of
+    parts follows that of the strings, so that a part doesn't grow with them.
+    """
+    rows = asked.count() + strings.where("length > 3").count()
+    part = F.pmod(F.xxhash64(F.shiftrightunsigned("gram", 8).bitwiseAND((1 << 24) - 1)), F.lit(max(64, rows // 500_000))).alias("part")
+    short = written(strings.where("length <= 3").coalesce(4), "short")
+    files = short.inputFiles()
+    short_dir = files[0].rsplit("/", 1)[0] if files else ""
+    columns = ("length", "gram", "n")
+
+    def score(own, wanted):
+        if not wanted.num_rows:
+            return pa.table({"gram": pa.array([], pa.int64()), "texts": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
+        few = kept(("short", short_dir), lambda: [_read(short_dir).column(c).to_numpy() for c in columns])
+        model = PartialMatching(*(np.concatenate([x, own.column(c).to_numpy()]) for x, c in zip(few, columns)), order)
+        logs = model._by_escape(wanted.column("gram").to_numpy().view(U))
+        return pa.table({"gram": wanted.column("gram"), "texts": wanted.column("texts"), "log": pa.array(logs)})
+
+    dealt = strings.where("length > 3").select(part, F.col("length").cast("long").alias("length"), "gram", "n").groupBy("part")
+    return dealt.cogroup(asked.select(part, "gram", "texts").groupBy("part")).applyInArrow(score, "gram long, texts long, log double")
+
+
 def _read(uri: str) -> pa.Table:
     import pyarrow.parquet as pq
 
@@ -211,25 +280,25 @@ def _read(uri: str) -> pa.Table:
     return pq.read_table(path, filesystem=fs)
 
 
-def _loaded(grams: str, words: str, order: int) -> tuple[PartialMatching, dict]:
-    """The model of a worker process, kept from task to task."""
+def _loaded(grams: str, words: str) -> tuple[Frequent, dict]:
+    """What a worker process looks up, kept from task to task."""
 
     def load():
         g, w = _read(grams), _read(words)
-        model = PartialMatching(*(g.column(c).to_numpy() for c in ("length", "gram", "n")), order)
+        model = Frequent(*(g.column(c).to_numpy() for c in ("gram", "n", "log")))
         return model, dict(zip(w.column("word").to_pylist(), np.log10(w.column("n").to_numpy() + 1.0).tolist()))
 
     return kept(("model", grams, words), load)
 
 
-def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: int = 8_000_000, most_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: int = 8_000_000, most_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, learning from rows where ``train_where``.
 
     Null texts are empty: one token, their end. Repeated rows are learnt from and scored each. Without training
-    texts every byte has the probability 1/256. Byte strings of over 3 bytes count from 2 occurrences on; should
-    there be more than ``most_grams`` of them, so that a worker could not hold them, from the next power of two
-    that leaves no more. The baseline's ``most_words`` most frequent words are looked up in workers; all other words
-    are joined with their counts by a shuffle.
+    texts every byte has the probability 1/256. Byte strings of over 3 bytes count from ``least`` occurrences on,
+    whatever the size of the input; with 1, all count. The ``most_grams`` most frequent of the longest strings are looked
+    up in workers; all others of a text, known or not, are joined with their probabilities by a shuffle, so that the
+    scores don't depend on that number. The same goes for the baseline's ``most_words`` most frequent words.
     """
     rows = id_and_text(docs, id_col, text_col)
     training = rows if train_where is None else rows.where(train_where)
@@ -238,9 +307,12 @@ def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: i
     n_all, v_all, ends = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.expr("CASE WHEN word = X'' THEN n END")), F.lit(0))).first()
 
     suffixes = F.inline(F.array(*[F.struct(F.lit(k).alias("length"), (F.col("gram").bitwiseAND((1 << 8 * k) - 1) if k < 8 else F.col("gram")).alias("gram")) for k in range(1, order + 2)]))
-    strings = written(counts.where("gram IS NOT NULL").select("n", suffixes).groupBy("length", "gram").agg(F.sum("n").alias("n")).where("length <= 3 OR n >= 2"), "strings")
-    least = _least_count(strings.where("length > 3"), most_grams, 2)
-    grams = written(strings.where((F.col("length") <= 3) | (F.col("n") >= least)).coalesce(8), "grams")
+    strings = written(counts.where("gram IS NOT NULL").select("n", suffixes).groupBy("length", "gram").agg(F.sum("n").alias("n")).where(F.expr(f"length <= 3 OR n >= {int(least)}")), "strings")
+    longest = strings.where(F.col("length") == order + 1)
+    frequent = _least_count(longest, most_grams, 1)
+    after = Window.partitionBy(F.shiftrightunsigned("gram", 8))  # the symbols after a context, 256 at most
+    log = (F.log10("n") - F.log10(F.sum("n").over(after) + F.count("n").over(after))).alias("log")
+    grams = written(longest.select("gram", "n", log).where(F.col("n") >= frequent).coalesce(8), "grams")
     often = _least_count(vocabulary, most_words, 1)
     head = written(vocabulary.where(F.col("n") >= often).coalesce(4), "head")
     grams_at, head_at = grams.inputFiles(), head.inputFiles()
@@ -248,12 +320,16 @@ def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: i
 
     def score(batches):
         part, row = TaskContext.get().partitionId(), 0
-        model, known = _loaded(grams_dir, head_dir, order)
+        model, known = _loaded(grams_dir, head_dir)
         for batch in batches:
             for ids, texts in slices(batch, 2 << 20):
                 data = [t.encode() for t in texts]
                 keys, sizes = contexts(data, order)
-                total = np.add.reduceat(model.log_probabilities(keys), np.cumsum(sizes) - sizes)
+                logs_of, missing = model.find(keys)
+                total = np.add.reduceat(logs_of, np.cumsum(sizes) - sizes)
+                owner, rest, times = _times(np.repeat(np.arange(len(ids)), sizes)[missing], keys[missing])
+                strings_at = np.searchsorted(owner, np.arange(len(ids) + 1)).astype(np.int32)
+                others = pa.ListArray.from_arrays(pa.array(strings_at), pa.StructArray.from_arrays([pa.array(rest.view(np.int64)), pa.array(times.astype(np.int32))], ["gram", "times"]))
                 n_words, n_known, sums, rare, rare_n, ends_at = [], [], [], [], [], [0]
                 for d in data:
                     words = d.translate(LOWER_TABLE).split()
@@ -270,15 +346,21 @@ def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: i
                 tails = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(rare_n, pa.int32())], ["word", "times"]))
                 at = part * 2**33 + row + np.arange(len(ids))
                 row += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total), tails], ["row", "doc_id", "n_words", "n_known", "logs", "score", "tail"])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total), tails, others], ["row", "doc_id", "n_words", "n_known", "logs", "score", "tail", "others"])
 
-    scored = written(rows.mapInArrow(score, "row long, doc_id long, n_words long, n_known long, logs double, score double, tail array<struct<word:binary,times:int>>"), "scored")
+    scored = written(rows.mapInArrow(score, "row long, doc_id long, n_words long, n_known long, logs double, score double, tail array<struct<word:binary,times:int>>, others array<struct<gram:long,times:int>>"), "scored")
     rest = scored.select("row", F.inline("tail")).join(vocabulary.where(F.col("n") < often), "word")
     rest = rest.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    out = scored.drop("tail").join(rest, "row", "left")
+    others = scored.select("row", F.inline("others"))
+    found = written(by_escape(written(others.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "asked"), strings, order), "found")
+    # a string that many texts hold would come to one task of the join: such strings are broadcast, a row at most for MANY of the others
+    met = others.join(F.broadcast(found.where(F.col("texts") > MANY).select("gram", F.col("log").alias("many_log"))), "gram", "left")
+    few = met.where("many_log IS NULL").join(found.where(F.col("texts") <= MANY), "gram").select("row", "times", "log")
+    more = met.where("many_log IS NOT NULL").select("row", "times", F.col("many_log").alias("log")).union(few).groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+    out = scored.drop("tail", "others").join(rest, "row", "left").join(more, "row", "left")
     n_tokens = F.col("n_words") + 1
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.log10(F.lit(float(ends + 1)))
     return out.select(
         "doc_id", n_tokens.alias("n_tokens"), (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
-        F.lit(int(n_all)).cast("long").alias("train_tokens"), (logs - n_tokens * F.log10(F.lit(float(n_all + v_all + 1)))).alias("base_score"), "score",
+        F.lit(int(n_all)).cast("long").alias("train_tokens"), (logs - n_tokens * F.log10(F.lit(float(n_all + v_all + 1)))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

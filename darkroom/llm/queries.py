@@ -38,7 +38,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import score_texts
 
     held_out = crc_mod(F.col("doc_id"), 7) == 2
-    scored = score_texts(_table(spark, sf_dir, "documents"), ~held_out)
+    scored = score_texts(_table(spark, sf_dir, "documents"), ~held_out, least=1)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

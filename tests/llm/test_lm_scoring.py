@@ -2,8 +2,10 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from darkroom.llm import lm_scoring
 from darkroom.llm.lm_scoring import PartialMatching, Tally, contexts, score_texts
 
 
@@ -93,3 +95,17 @@ def test_scores_against_brute_force_with_rare_strings_kept_out(spark):
         grams[n] = Counter({g: c for g, c in grams[n].items() if c >= 2})
     got = {r["doc_id"]: r["score"] for r in score_texts(docs).collect()}
     assert all(abs(got[i] - brute(grams, 5, t.encode())) < 1e-4 for i, t in enumerate(texts))
+
+
+@pytest.mark.parametrize("most_grams, many", [(8_000_000, 50_000), (10, 50_000), (0, 1)])
+def test_scores_do_not_depend_on_what_workers_look_up(spark, monkeypatch, most_grams, many):
+    monkeypatch.setattr(lm_scoring, "MANY", many)
+    texts = ["the cat sat", "the cat sat on", "a mat", "the mat", "on the mat", "zebra", "", "été 中文"]
+    other = ["the bat sat on a zebra", "xyz", "the cats", "", "中文字"]
+    docs = spark.createDataFrame(list(enumerate(texts + other)), "doc_id long, text string")
+    for least in (1, 2):
+        grams = counted([t.encode() for t in texts], 5)
+        for n in (4, 5, 6):
+            grams[n] = Counter({g: c for g, c in grams[n].items() if c >= least})
+        got = {r["doc_id"]: r["score"] for r in score_texts(docs, F.col("doc_id") < len(texts), most_grams=most_grams, least=least).collect()}
+        assert all(abs(got[i] - brute(grams, 5, t.encode())) < 1e-4 for i, t in enumerate(texts + other))
