@@ -510,8 +510,8 @@ def _events(spark, sf_dir) -> DataFrame:
 s AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT epoch_us(min(ts)) AS start_us, count(*) AS n_events, count(DISTINCT path) AS n_paths, min(path) AS first_path FROM s GROUP BY session""")
 def debounce_batches(spark, sf_dir):
-    batches = watch.debounced(_events(spark, sf_dir), "300 seconds")
-    return batches.select(F.unix_micros("start").alias("start_us"), "n_events", F.size("paths").cast("long").alias("n_paths"), F.get("paths", F.lit(0)).alias("first_path"))
+    batches = watch.debounced_counts(_events(spark, sf_dir), "300 seconds")
+    return batches.select(F.unix_micros("start").alias("start_us"), "n_events", "n_paths", "first_path")
 
 
 @_query(f"""WITH e AS (SELECT event_id, ts, {_EVENT_PATH} AS path, date_trunc('hour', ts) AS mtime FROM events),

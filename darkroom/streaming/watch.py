@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import in_folder, kind, skipped_by_watch
+from ..operators.placement import stable
 
 
 def watchable(events: DataFrame) -> DataFrame:
@@ -20,13 +21,49 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds", time: str = "eve
     """(start, end, paths, n_events): a batch for each run of events of any path that no quiet time of ``gap`` breaks.
 
     The quiet time is global, as one channel has it. Works on tables and, with a watermark on ``time``, on streams, where
-    a session without a key isn't allowed: hence one that is always 0, and which the optimizer can't fold away.
+    a session without a key isn't allowed: hence one that is always 0, and which the optimizer can't fold away. On
+    tables the runs are found as in ``debounced_counts``; ``paths`` holds a run's paths in one array, which that avoids.
     """
+    if not events.isStreaming:
+        by_path = _by_session_and_path(events, gap, time)
+        return by_path.groupBy("start").agg(_end(gap), F.sort_array(F.collect_list("path")).alias("paths"), F.sum("n").alias("n_events"))
     window = F.session_window(F.col(time), gap)
     grouped = events.groupBy(window, F.pmod(F.hash("path"), F.lit(1)).alias("all")).agg(F.sort_array(F.collect_set("path")).alias("paths"), F.count(F.lit(1)).alias("n_events"))
     return grouped.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "paths", "n_events")
 
 
+def debounced_counts(events: DataFrame, gap: str = "500 milliseconds", time: str = "event_time") -> DataFrame:
+    """(start, end, n_events, n_paths, first_path) of the runs of a table, of any length: no task or array holds a whole run."""
+    by_path = _by_session_and_path(events, gap, time)
+    return by_path.groupBy("start").agg(_end(gap), F.sum("n").alias("n_events"), F.count("path").alias("n_paths"), F.min("path").alias("first_path"))
+
+
+def _end(gap: str) -> Column:
+    return (F.max("last") + F.expr(f"INTERVAL '{gap}'")).alias("end")
+
+
+def _by_session_and_path(events: DataFrame, gap: str, time: str) -> DataFrame:
+    """(start, path, n, last): the events of a path in the run that begins at ``start``, and the last one's time.
+
+    Times are dealt by range; a part takes over the last time and the last start of those before it, so that no
+    task sorts them all. Events without a time are left out.
+    """
+    at = F.col(time).alias("at")
+    times = events.where(F.col(time).isNotNull()).select(at, "path").groupBy("at", "path").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stable(times.repartitionByRange(parts, "at", "path").sortWithinPartitions("at", "path")).withColumn("_seq", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_seq", 33))
+    own = Window.partitionBy("_part").orderBy("_seq")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each part
+    lasts = dealt.groupBy("_part").agg(F.max("at").alias("_last")).select("_part", F.max("_last").over(before).alias("_before"))
+    previous = F.coalesce(F.lag("at").over(own), F.col("_before"))
+    begun = F.when(previous.isNull() | (F.col("at") >= previous + F.expr(f"INTERVAL '{gap}'")), F.col("at"))
+    begun = stable(dealt.join(F.broadcast(lasts), "_part").withColumn("_begun", begun).drop("_before"))
+    starts = begun.groupBy("_part").agg(F.max("_begun").alias("_start")).select("_part", F.max("_start").over(before).alias("_open"))
+    start = F.coalesce(F.last("_begun", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
+    runs = begun.join(F.broadcast(starts), "_part").select(start.alias("start"), "at", "path", "n")
+    return runs.groupBy("start", "path").agg(F.sum("n").alias("n"), F.max("at").alias("last"))
+
+
 def unseen(events: DataFrame, time: str = "event_time") -> DataFrame:
     """Events whose mtime is later than every earlier one of the same path: what was written itself is not taken up again."""
     before = Window.partitionBy("path").orderBy(time, "event_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -115,6 +115,27 @@ def test_watch_rules(spark):
     assert {r["pipeline"] for r in routed.collect()} == {"z"} and routed.count() == 4
 
 
+def test_debounce_deals_a_run_over_tasks(spark):
+    t = [i * 0.4 for i in range(200)] + [80.0] * 3 + [80.5, 80.99, 99.0, 99.499, 200.0]
+    rows = [(f"/in/{i % 7}.png" if i % 11 else None, x) for i, x in enumerate(t)] + [("/in/x.png", None)]
+    events = spark.createDataFrame(rows, "path string, t double").withColumn("event_time", (F.col("t") * 1000).cast("long") * F.expr("INTERVAL 1 MILLISECOND") + F.lit("2024-01-01").cast("timestamp"))
+    runs, last = [], None
+    for (path, x) in sorted(((p, round(x * 1000)) for p, x in rows if x is not None), key=lambda r: r[1]):
+        if last is None or x >= last + 500:
+            runs.append([])
+        runs[-1].append(path)
+        last = x
+    want = sorted((len(r), sorted(set(r) - {None})) for r in runs)
+    got = watch.debounced(events).collect()
+    assert sorted((r["n_events"], r["paths"]) for r in got) == want
+    counts = watch.debounced_counts(events)
+    assert sorted((r["n_events"], r["n_paths"], r["first_path"] or "") for r in counts.collect()) == sorted((n, len(p), min(p, default="")) for n, p in want)
+    assert {(r["start"], r["end"]) for r in counts.collect()} == {(r["start"], r["end"]) for r in got}
+    dealt = watch._by_session_and_path(events, "500 milliseconds", "event_time")
+    assert dealt.where("n > 0").count() == sum(len(set(r)) for r in runs)
+    assert watch.debounced_counts(events.limit(0)).count() == 0
+
+
 def test_debounce_on_a_stream(spark, tmp_path):
     rows = [(f"/in/{i}.png", float(t)) for i, t in enumerate((0, 0.2, 5, 5.3, 60))]
     spark.createDataFrame(rows, "path string, t double").withColumn("event_time", F.col("t").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
