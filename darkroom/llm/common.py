@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -14,19 +17,43 @@ LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one that is set here for local runs."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a
+    temporary folder; on a cluster that is an error, since executors wouldn't see each other's files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir()
     if isinstance(found, str):
         return found.rstrip("/")
     if found is not None and found.isDefined():
         return found.get().rstrip("/")
+    master = spark.sparkContext.master or ""
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="darkroom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_SCRATCH = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables of what is computed inside; it is removed at the end.
+
+    Results read those tables, so write them inside: ``with scratch(spark): near_duplicates(docs).write.parquet(path)``.
+    Without it the tables stay until spark.checkpoint.dir is cleared.
+    """
+    path, outer = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", getattr(_SCRATCH, "path", None)
+    _SCRATCH.path = path
+    try:
+        yield path
+    finally:
+        _SCRATCH.path = outer
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or in ``scratch``'s, that no other call uses."""
+    return f"{getattr(_SCRATCH, 'path', None) or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -36,6 +63,49 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than 1 / HOT_KEYS of all rows, and more than HOT_ROWS, is hot, so that there are fewer such keys than HOT_KEYS.
+HOT_KEYS, HOT_ROWS = 5_000, 200
+
+
+def hot_keys(sizes: DataFrame, key: str) -> DataFrame | None:
+    """(_hot, _salts): the hot keys of a table whose keys have the ``sizes`` (key, n), and over how many salts each is dealt.
+
+    They come to the driver, fewer than HOT_KEYS whatever the size of the table; None if there are none.
+    """
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    part = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if not most or most <= part:
+        return None
+    rows = sizes.where(F.col("n") > part).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / part).cast("long").alias("_salts"))
+    return sizes.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def salted(large: DataFrame, key: str, spread: str, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(``large`` with a column _salt, hot keys): rows of hot keys are dealt over salts by a hash of ``spread``.
+
+    ``sizes`` (key, n) has the rows of each key if they are known; else they are counted.
+    """
+    hot = hot_keys(large.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes, key)
+    if hot is None:
+        return large.withColumn("_salt", F.lit(0).cast("long")), None
+    out = large.join(F.broadcast(hot), large[key] == hot["_hot"], "left")
+    return out.withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1).cast("long")))).drop("_hot", "_salts"), hot
+
+
+def per_salt(small: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``small`` (a few rows a key) with each row once for every _salt of its key; ``hot`` as ``salted`` gave it."""
+    if hot is None:
+        return small.withColumn("_salt", F.lit(0).cast("long"))
+    known = small.join(F.broadcast(hot), small[key] == hot["_hot"], "left")
+    return known.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1))).drop("_hot", "_salts")
+
+
+def spread_join(large: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """``large`` joined with ``small``, which has a row or a few for each key, with hot keys dealt over several tasks."""
+    dealt, hot = salted(large, key, spread, sizes)
+    return large.join(small, key, how) if hot is None else dealt.join(per_salt(small, key, hot), [key, "_salt"], how).drop("_salt")
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_as_empty: bool = True) -> DataFrame:
     """(doc_id, text); other columns, whatever their names, play no part."""
     text = docs[text_col].cast("string")
@@ -78,11 +148,21 @@ def slices(batch, max_bytes: int = 8 << 20):
         yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+#: Schemes by which Spark names a store, and those by which pyarrow does.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(uri: str):
-    """(pyarrow filesystem, path in it) of a path in the shared folder, whatever store it is in."""
+    """(pyarrow filesystem, path in it) of a path in the shared folder.
+
+    Local paths, s3 (s3a), gs, abfs(s) and hdfs; the last needs libhdfs where executors run. Other stores raise an error.
+    """
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, mark, rest = uri.partition("://")
+    if not mark:
+        return fs.FileSystem.from_uri(uri if uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme.lower(), scheme.lower())}://{rest}")
 
 
 def labelled_sample(labels: DataFrame, most: int, where=None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -97,6 +177,13 @@ def labelled_sample(labels: DataFrame, most: int, where=None, id_col: str = "doc
     return one.withColumn("draw", F.xxhash64("doc_id", F.lit(17))).orderBy("draw", "doc_id").limit(most)
 
 
+def one_row_an_id(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Of each ``doc_id`` the row whose text has the least hash, so that a bound on ids is a bound on rows."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    least = F.min_by(F.struct(*rest), F.struct(F.xxhash64(text_col), F.octet_length(text_col))).alias("row")
+    return rows.groupBy("doc_id").agg(least).select("doc_id", "row.*")
+
+
 def crc_mod(id_col, by: int):
     """crc32 of the id as text, modulo ``by``; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(by)), F.lit(0)).cast("int")

@@ -9,14 +9,12 @@ shingles, of which two sets that are similar enough share one at least.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, id_and_text, kept, slices, written
+from .common import LOWER_TABLE, id_and_text, kept, per_salt, salted, slices, spread_join, written
 
 U = np.uint64
 _STEP, _MIX1, _MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -31,10 +29,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of hashed word shingles; words are hashed once while they stay in a cache of bounded size."""
+    """Sets of hashed word shingles; words are hashed once while they stay in a cache of bounded size, in bytes."""
 
-    def __init__(self, width: int = 5, most: int = 200_000):
-        self.width, self.most, self.hashes = width, most, {}
+    def __init__(self, width: int = 5, most_bytes: int = 16 << 20):
+        self.width, self.most, self.hashes, self.held = width, most_bytes, {}, 0
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """Sorted distinct hashes for each text; a shorter text is one shingle, one without words none."""
@@ -45,9 +43,11 @@ class Shingler:
             words = text.encode().translate(LOWER_TABLE).split()
             for w in set(words).difference(kept):
                 kept[w] = digest(w)
+                self.held += len(w) + 64
             h = np.fromiter(map(kept.__getitem__, words), U, len(words))
-            if len(kept) > self.most:
+            if self.held > self.most:
                 kept.clear()
+                self.held = 0
             if not len(h):
                 out.append(h)
                 continue
@@ -147,8 +147,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, most_
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked)], ["a", "b", "linked"])
 
     own = only(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), most_broadcast)
-    with_b = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = spread_join(pairs, own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b", "a")
+    with_both = spread_join(with_b, own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a", "b", sizes=pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     return written(with_both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, linked boolean"), "verified")
 
 
@@ -188,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = stars.union(stars.select("b", "a"))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).distinct()
+        large = spread_join(both.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("root").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("root"))
         small = large.join(low, "a").where("b > root").select(F.col("b").alias("a"), F.col("root").alias("b"))
         stars = written(small.union(low.select("a", F.col("root").alias("b"))).distinct(), "stars")
@@ -206,9 +206,9 @@ def _stars(parent: dict, find) -> pa.RecordBatch:
 def _grouped(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """``groups`` (node, root) after the roots that ``edges`` (a, b of nodes) connect have become one."""
     a, b = groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    between = edges.join(a, "a").join(b, "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    between = spread_join(spread_join(edges, a, "a", "b"), b, "b", "a").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("new"))
-    return written(groups.join(joined, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "groups")
+    return written(spread_join(groups, joined, "root", "node", "left").select("node", F.coalesce("new", "root").alias("root")), "groups")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 36, rows: int = 5, leaders: int = 2, most_broadcast: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,36 +222,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     rows_in = id_and_text(docs, id_col, text_col)
     signatures = written(signed(rows_in, width, bands, rows), "signatures")
     usable = signatures.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = written(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    members = written(usable.join(classes, "set_key").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.struct("n_shingles", "bands")).alias("own")), "members")
+    classes = written(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    own_rep = spread_join(usable, classes.select("set_key", "rep"), "set_key", "doc_id", sizes=classes.select("set_key", "n"))
+    members = written(own_rep.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.struct("n_shingles", "bands")).alias("own")), "members")
     entries = members.where("own IS NOT NULL").select("rep", F.col("own.n_shingles").alias("size"), F.explode("own.bands").alias("bucket"))
-    shared = written(entries.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket"), "buckets")
-    entries = written(entries.join(shared, "bucket").distinct(), "entries")
+    shared = written(entries.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("bucket", "n"), "buckets")
+    dealt, hot = salted(entries, "bucket", "rep", shared)
+    entries = written(dealt.join(per_salt(shared, "bucket", hot), ["bucket", "_salt"]).distinct(), "entries")
 
     one = members.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id", "low")
     same_id = members.join(one, "doc_id").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     groups = entries.select(F.col("rep").alias("node")).union(same_id.select("a")).union(same_id.select("b")).distinct()
-    groups = _grouped(written(groups.select("node", F.col("node").alias("root")), "groups"), same_id)
+    groups = _grouped(written(groups.select("node", F.col("node").alias("root")), "groups"), written(same_id.distinct(), "same-id"))
     texts = written(only(rows_in.select(F.col("doc_id").alias("id"), "text"), entries.select(F.col("rep").alias("id")).distinct(), most_broadcast), "texts")
 
     # a class that meets many others is near the middle of a family of copies, and leads
-    crowd = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    middle = entries.join(crowd, "bucket").groupBy("rep").agg((-F.sum("n")).alias("order"))
-    entries = written(entries.join(middle, "rep"), "ordered")
+    middle = entries.groupBy("rep").agg((-F.sum("n")).alias("order"))
+    entries = written(entries.drop("n").join(middle, "rep"), "ordered")
 
     tried = None
     for turn in range(leaders + 1):
-        open_ = _open(entries, groups)
+        open_ = _open(entries, groups, hot)
         if turn < leaders:
             lead = open_.groupBy("bucket").agg(F.min(F.struct("order", "rep", "root", "size")).alias("lead"))
-            met = open_.join(lead, "bucket").where("root != lead.root").select(F.col("lead.rep").alias("lead"), F.col("rep").alias("member"), F.col("lead.size").alias("size_a"), F.col("size").alias("size_b"))
+            met = open_.join(per_salt(lead, "bucket", hot), ["bucket", "_salt"]).where("root != lead.root").select(F.col("lead.rep").alias("lead"), F.col("rep").alias("member"), F.col("lead.size").alias("size_a"), F.col("size").alias("size_b"))
             # sets whose sizes differ more can't be similar enough
             met = met.where(F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")).groupBy("lead", "member").agg(F.count(F.lit(1)).alias("n"))
             if turn == 0:  # the first comparison: with the leader that a class meets in most buckets
                 met = met.groupBy("member").agg(F.max(F.struct("n", (-F.col("lead")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("lead"), "member")
             pairs = met.select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b")).distinct()
         else:
-            pairs = _sharing_rare(open_.select("rep", "root", "size").distinct(), texts, width, percent, most_broadcast)
+            pairs = _sharing_rare(open_.select("rep", "root").distinct(), texts, width, percent, most_broadcast)
         pairs = written(pairs, "met")
         pairs = pairs if tried is None else written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
@@ -260,75 +261,54 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
         groups = _grouped(groups, done.where("linked").select("a", "b"))
         tried = pairs if tried is None else tried.union(pairs)
 
-    found = members.select("doc_id", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component"))
+    found = spread_join(members.select("doc_id", "rep"), groups.withColumnRenamed("node", "rep"), "rep", "doc_id", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component"))
     out = signatures.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _open(entries: DataFrame, groups: DataFrame) -> DataFrame:
+def _open(entries: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFrame:
     """Entries, with their groups, of buckets in which more than one group meets."""
     labelled = entries.join(groups.withColumnRenamed("node", "rep"), "rep")
     mixed_ = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    return written(labelled.join(mixed_, "bucket"), "open")
-
-
-SKETCH, SKETCH_BLOCK = 1 << 22, 1 << 17
+    return written(labelled.join(per_salt(mixed_, "bucket", hot), ["bucket", "_salt"]), "open")
 
 
 def _sharing_rare(apart: DataFrame, texts: DataFrame, width: int, percent: int, most_broadcast: int) -> DataFrame:
-    """(a, b): classes (rep, root, size) of different groups that may be similar enough by their rarest shingles.
+    """(a, b): classes (rep, root) of different groups that may be similar enough by their rarest shingles.
 
     Of a set of n, the n - ceil(n * percent / 100) + 1 rarest are taken, in an order that is the same for all sets: sets
-    that are similar enough share one of these. At the first that they share, what comes before it in either is
-    not shared, so that the rest of the shorter one must be as large as the overlap that the similarity asks for;
-    this bound, with that on sizes, is part of the join. How rare a shingle is comes from a table of counts by
-    hash, of a fixed size.
+    that are similar enough share one of these. How rare a shingle is, is counted over all these sets. At the
+    first that two share, what comes before it in either is not shared, so that the rest of either one must be as
+    large as the overlap that the similarity asks for. For the smaller of the two this leaves fewer of its rarest
+    ones, its head, so that shingles are joined only from heads to sets that aren't smaller.
     """
-    own = written(only(texts, apart.select(F.col("rep").alias("id")), most_broadcast), "apart")
+    own = only(texts, apart.select(F.col("rep").alias("id")), most_broadcast)
 
-    def count(batches):
-        total = np.zeros(SKETCH, np.int32)
-        for batch in batches:
-            for _, part in slices(batch, 4 << 20):
-                for s in _shingler(width).sets(part):
-                    total[(s >> U(42)).astype(np.int64)] += 1
-        for lo in range(0, SKETCH, SKETCH_BLOCK):
-            if total[lo : lo + SKETCH_BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([total[lo : lo + SKETCH_BLOCK].tobytes()], pa.binary())], ["block", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH_BLOCK, np.int64)
-        for batch in batches:
-            for x in batch.column("counts").to_pylist():
-                total += np.frombuffer(x, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["block", "counts"])
-
-    sketch = np.zeros(SKETCH, np.int32)
-    for r in own.select("id", "text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():  # 16 MB in all
-        sketch[r["block"] : r["block"] + SKETCH_BLOCK] = np.frombuffer(r["counts"], np.int32)
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    def split(batches):
+        import xxhash
 
-    def rarest(batches):
         for batch in batches:
             for ids, part in slices(batch, 2 << 20):
-                out_ids, out, places = [], [], []
-                for i, s in zip(ids, _shingler(width).sets(part)):
-                    n = len(s) - -(-percent * len(s) // 100) + 1
-                    rank = shared.value[(s >> U(42)).astype(np.int64)]
-                    take = s[np.lexsort((s, rank))[:n]]
-                    out.append(take)
-                    places.append(np.arange(len(take), dtype=np.int32))
-                    out_ids.append(np.full(len(take), i, np.int64))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(places))], ["rep", "shingle", "place"])
-
-    rare = written(own.select("id", "text").mapInArrow(rarest, "rep long, shingle long, place int").join(apart, "rep"), "rare")
-    several = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    met = written(rare.join(several, "shingle"), "rare-shared")
-    x = met.select("shingle", F.col("rep").alias("x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), (F.col("size") - F.col("place")).alias("rest_x"))
-    y = met.select(F.col("shingle").alias("same"), F.col("rep").alias("y"), F.col("root").alias("root_y"), F.col("size").alias("size_y"), (F.col("size") - F.col("place")).alias("rest_y"))
-    sizes = F.expr(f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
-    places = F.expr(f"{100 + percent} * least(rest_x, rest_y) >= {percent} * (size_x + size_y)")
-    both = x.join(y, (F.col("shingle") == F.col("same")) & (F.col("root_x") < F.col("root_y")) & sizes & places)
+                sets = _shingler(width).sets(part)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], U).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(keys, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "set", "size", "shingle"])
+
+    shingles = written(own.select("id", "text").mapInArrow(split, "rep long, set long, size long, shingle long").distinct(), "shingles")
+    counts = written(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "rarity")
+    place = (F.row_number().over(Window.partitionBy("rep", "set").orderBy(F.coalesce("n", F.lit(1)), "shingle")) - 1).alias("place")
+    ranked = spread_join(shingles, counts, "shingle", "rep", "left", sizes=counts).select("rep", "set", "size", "shingle", "n", place)
+    rare = ranked.where(F.expr(f"n > 1 AND place <= size - ceil({percent} * size / 100)")).withColumn("head", F.expr(f"{100 + percent} * (size - place) >= {2 * percent} * size"))
+    rare = written(rare.join(apart, "rep"), "rare")
+    several = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("head").alias("any_head"), F.count(F.lit(1)).alias("n")).where("low < high AND any_head").select("shingle", "n")
+    several = written(several, "several")
+    dealt, hot = salted(rare.drop("n"), "shingle", "rep", several)
+    met = written(dealt.join(per_salt(several.select("shingle"), "shingle", hot), ["shingle", "_salt"]), "rare-shared")
+    rest = (F.col("size") - F.col("place")).alias
+    x = met.select("shingle", "_salt", F.col("rep").alias("x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), rest("rest_x"))
+    y = per_salt(met.where("head").select("shingle", F.col("rep").alias("y"), F.col("root").alias("root_y"), F.col("size").alias("size_y"), rest("rest_y")), "shingle", hot)
+    bounds = F.expr(f"root_x != root_y AND size_y <= size_x AND 100 * size_y >= {percent} * size_x AND {100 + percent} * least(rest_x, rest_y) >= {percent} * (size_x + size_y)")
+    y = y.select(F.col("shingle").alias("same"), F.col("_salt").alias("salt_y"), "y", "root_y", "size_y", "rest_y")
+    both = x.join(y, (F.col("shingle") == F.col("same")) & (F.col("_salt") == F.col("salt_y")) & bounds)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from darkroom.llm import decontamination, near_dedup, sharding
+from darkroom.llm import common, decontamination, near_dedup, sharding
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -91,7 +92,8 @@ def near_docs():
 
 
 @pytest.mark.parametrize("leaders, most_broadcast", [(2, 1000), (0, 0)])
-def test_near_duplicates(spark, odd_docs, leaders, most_broadcast):
+def test_near_duplicates(spark, odd_docs, leaders, most_broadcast, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)  # so that keys of a few rows are dealt over salts
     docs = near_docs() + [(1000 + (r["doc_id"] or 0), r["text"]) for r in odd_docs.where("doc_id NOT IN (1, 7)").select("doc_id", "text").collect()]
     sets = {i: shingles(t) for i, t in docs}
     root = {i: i for i in sets}
@@ -115,11 +117,28 @@ def test_near_duplicates(spark, odd_docs, leaders, most_broadcast):
 def test_near_duplicates_of_an_id_with_two_texts(spark, leaders):
     one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     docs = [(7, one), (7, two), (20, one + " end"), (21, two + " end"), (30, "another text that is like none of these")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    df = spark.createDataFrame(docs if leaders else docs[1::-1] + docs[2:], "doc_id long, text string").coalesce(1)  # in either order
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, leaders=leaders).collect()}
     assert got == {(7, 7, True), (20, 7, False), (21, 7, False), (30, 30, True)}
 
 
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    large = spark.range(500).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), F.col("id").alias("x"))
+    small = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c"), (99, "d")], "k long, v string")
+    dealt, hot = common.salted(large, "k", "x")
+    assert hot is not None and dealt.where("k = 0").select("_salt").distinct().count() > 5
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, common.spread_join(large, small, "k", "x", how).collect()), key=str) == sorted(map(tuple, large.join(small, "k", how).collect()), key=str)
+
+
+def test_scratch_is_removed(spark):
+    with common.scratch(spark) as path:
+        assert common.written(spark.range(3), "three").count() == 3
+        assert os.listdir(path.removeprefix("file:")) != []
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     rows = near_dedup.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
