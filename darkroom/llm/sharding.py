@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 class CapacityTree:
@@ -48,70 +50,110 @@ class CapacityTree:
         return None
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, n_bins: int | None = None) -> list[int] | None:
-    """The bin of each size. New bins open as needed, up to ``n_bins``; None if that isn't enough."""
-    tree, opened, out = CapacityTree(capacity), 0, [0] * len(sizes)
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, n_bins: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """For each (size, items) of falling size: (bin, items) in the order in which the bins are filled.
+
+    This is what item by item gives: the tightest bin that holds an item is still the tightest for the next item of the
+    same size, until none fits. New bins open as needed, up to ``n_bins``; None if that isn't enough.
+    """
+    tree, opened, out = CapacityTree(capacity), 0, []
     if n_bins is not None:
         for b in range(n_bins):
             tree.put(capacity, b)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.take_tightest(sizes[i])
-        if found is None:
-            if n_bins is not None or sizes[i] > capacity:
-                return None
-            found, opened = (capacity, opened), opened + 1
-        tree.put(found[0] - sizes[i], found[1])
-        out[i] = found[1]
+    for size, left in sizes:
+        dealt = []
+        while left:
+            found = tree.take_tightest(size)
+            if found is None:
+                if n_bins is not None or size > capacity:
+                    return None
+                found, opened = (capacity, opened), opened + 1
+            room, bin_no = found
+            k = min(left, room // size)
+            tree.put(room - k * size, bin_no)
+            dealt.append((bin_no, k))
+            left -= k
+        out.append(dealt)
     return out
 
 
-def smallest_capacity(sizes: list[int], n_bins: int, rounds: int = 20) -> list[int]:
-    """Bins under about the least capacity at which ``n_bins`` are enough, found by bisection."""
-    low = max(-(-sum(sizes) // n_bins), max(sizes, default=0), 1)
+def smallest_capacity(sizes: list[tuple[int, int]], n_bins: int, tolerance: float = 1e-6) -> list[list[tuple[int, int]]]:
+    """The packing of (size, items) into ``n_bins`` at about the least capacity that is enough.
+
+    The mean comes first, then steps that double, then bisection down to ``tolerance`` of the mean.
+    """
+    total = sum(s * n for s, n in sizes)
+    low = max(-(-total // n_bins), sizes[0][0] if sizes else 1, 1)
     best = best_fit_decreasing(sizes, low, n_bins)
     if best is not None:
         return best
-    high = low + max(sizes)  # best fit always fits in: some bin is below the mean before each step
-    best = best_fit_decreasing(sizes, high, n_bins)
-    for _ in range(rounds):
-        if high - low <= 1:
-            break
+    step = max(1, int(low * tolerance))
+    high = low + step
+    while (best := best_fit_decreasing(sizes, high, n_bins)) is None:  # the largest size more is always enough
+        low, step = high, 2 * step
+        high = low + step
+    finest = max(1, int(low * tolerance))
+    while high - low > finest:
         middle = (low + high) // 2
         found = best_fit_decreasing(sizes, middle, n_bins)
         low, high, best = (low, middle, found) if found is not None else (middle, high, best)
     return best
 
 
-def shard(docs: DataFrame, n_shards: int = 24, units_per_shard: int = 1000, parts: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 24, parts: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row; sizes of shards are near equal, equal texts stay together.
 
-    Size: UTF-8 bytes plus 8; a null text is empty. Groups of at least a unit (the total over n_shards *
-    units_per_shard, so that there are no more such groups than that) are packed one by one; smaller ones are
-    pooled by a hash of their text into as many units. The driver packs these units, a number that is fixed
-    by the parameters. A group that alone is larger than a shard is dealt out in units, for no law of near-equal
-    sizes could hold else. Slots count from 0 in each shard. Null and repeated ids are rows as others are.
+    Size: UTF-8 bytes plus 8; a null text is empty. Rows with equal texts are a group, which is packed as one item by best
+    fit decreasing at about the least capacity. The driver gets the sizes of items and how many there are of each: sizes
+    that differ and add up to no more than all bytes are at most the square root of twice these, however many groups
+    there are. A group of more than all bytes / ``n_shards`` can't be whole, for no law of near-equal sizes could hold: it is
+    cut into the fewest items of whole rows that each fit in a shard. Slots count from 0 in each shard. Ties between
+    groups of a size go by a hash of their text. Null and repeated ids are rows as others are, and an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = written(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("key"), F.monotonically_increasing_id().alias("seq")),
         "shard-rows",
     )
-    spark, n_units = docs.sparkSession, n_shards * units_per_shard
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    unit, fair = max(1, -(-total // n_units)), -(-total // n_shards)
-    base, big = n_units, []
-    for key, size in rows.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") >= unit).orderBy(F.desc("size"), "key").toLocalIterator():  # n_units at most
-        pieces = -(-size // unit) if size > fair else 1
-        big.append((key, base, pieces))
-        base += pieces
-    places = F.broadcast(spark.createDataFrame(big, "key binary, base long, pieces long"))
-    in_units = rows.join(places, "key", "left").withColumn("unit", F.coalesce(F.col("base") + F.pmod(F.xxhash64("seq"), F.col("pieces")), F.pmod(F.xxhash64("key"), F.lit(n_units))))
-    units = [(r["unit"], r["size"]) for r in in_units.groupBy("unit").agg(F.sum("size").alias("size")).orderBy("unit").toLocalIterator()]  # 3 * n_units at most
-    bins = smallest_capacity([s for _, s in units], n_shards) if units else []
-    where = F.broadcast(spark.createDataFrame([(u, b) for (u, _), b in zip(units, bins)], "unit long, shard int"))
-    dealt = in_units.join(where, "unit").withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(parts)).cast("int"))
-    counts = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # n_shards * parts rows
-    placed = dealt.withColumn("at", F.row_number().over(Window.partitionBy("shard", "part").orderBy("seq")) - 1).join(F.broadcast(first), ["shard", "part"])
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"))
+    groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.max("size").alias("row"), F.count(F.lit(1)).alias("n")), "shard-groups")
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    fair = max(1, -(-total // n_shards))
+    # an item: a group, or as many of its rows as fit in a shard, one row at least
+    groups = groups.withColumn("most", F.expr(f"greatest(1L, {fair}L div row)")).withColumn("pieces", F.expr(f"CASE WHEN bytes > {fair}L THEN (n + most - 1) div most ELSE 1L END"))
+    large = groups.where("pieces > 1").select("key", "pieces", "n", "row")  # fewer than n_shards, and each counts for a shard or more
+    seq_part = F.pmod(F.xxhash64("seq"), F.lit(parts)).cast("int").alias("part")
+    whole = groups.where("pieces = 1").select("key", F.lit(0).cast("long").alias("piece"), F.col("bytes").alias("item"))
+    each = large.select("key", "row", "n", "pieces", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    cuts = each.select("key", "piece", F.expr("((piece + 1) * n div pieces - piece * n div pieces) * row").alias("item"))
+    items = written(whole.union(cuts).withColumn("part", F.pmod(F.xxhash64("key", "piece"), F.lit(parts)).cast("int")), "shard-items")
+
+    counts = written(items.groupBy("item", "part").agg(F.count(F.lit(1)).alias("n")), "shard-counts")
+    sizes = sorted(((r["item"], r["n"]) for r in counts.groupBy("item").agg(F.sum("n").alias("n")).toLocalIterator()), reverse=True)  # a row for each size
+    dealt = [] if not sizes else smallest_capacity(sizes, n_shards)
+    plan = [(size, list(itertools.accumulate(k for _, k in runs)), [b for b, _ in runs]) for (size, _), runs in zip(sizes, dealt)]
+    plan = docs.sparkSession.createDataFrame(plan, "item long, ends array<long>, bins array<int>")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("item").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.select("item", "part", before.alias("before")).join(plan, "item")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("item", "part").orderBy("key", "piece")) - 1
+    bin_of = F.expr("bins[size(filter(ends, e -> e <= rank))]").alias("shard")
+    placed = items.join(firsts, ["item", "part"]).withColumn("rank", rank).select("key", "piece", bin_of)
+
+    # rows of a group that is cut are dealt to its pieces by their number in it
+    in_large = rows.join(F.broadcast(large), "key")
+    at_first = in_large.groupBy("key", seq_part).agg(F.count(F.lit(1)).alias("k"))
+    at_first = at_first.select("key", "part", F.coalesce(F.sum("k").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    number = F.col("base") + F.row_number().over(Window.partitionBy("key", "part").orderBy("seq")) - 1
+    numbered = in_large.withColumn("part", seq_part).join(F.broadcast(at_first), ["key", "part"]).withColumn("number", number)
+    # piece i holds the numbers from floor(i * n / pieces) on
+    piece = F.expr("((number + 1) * pieces - 1) div n").alias("piece")
+    columns = ["doc_id", "size", "text_crc32", "seq"]
+    of_large = numbered.select(*columns, "key", piece).join(F.broadcast(placed.join(F.broadcast(large.select("key")), "key", "left_semi")), ["key", "piece"]).select(*columns, "shard")
+    small = rows.join(F.broadcast(large.select("key")), "key", "left_anti")
+    of_small = spread_join(small, placed.where("piece = 0").select("key", "shard"), "key", "seq", sizes=groups.where("pieces = 1").select("key", "n")).select(*columns, "shard")
+
+    dealt_rows = written(of_large.union(of_small).withColumn("part", seq_part), "shard-dealt")
+    counts = dealt_rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("shard", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))  # n_shards * parts rows
+    slots = dealt_rows.withColumn("at", F.row_number().over(Window.partitionBy("shard", "part").orderBy("seq")) - 1).join(F.broadcast(first), ["shard", "part"])
+    return slots.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"))

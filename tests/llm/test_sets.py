@@ -181,13 +181,25 @@ def test_best_fit_decreasing_against_brute_force():
             else:
                 rooms.append(capacity - sizes[i])
                 want[i] = capacity
-        bins = sharding.best_fit_decreasing(sizes, capacity)
+        classes = sorted(Counter(sizes).items(), reverse=True)
+        dealt = sharding.best_fit_decreasing(classes, capacity)
         used = Counter()
-        for i, b in enumerate(bins):
-            used[b] += sizes[i]
-        assert len(used) == len(rooms) and max(used.values(), default=0) <= capacity
-    assert sharding.best_fit_decreasing([3, 3], 4, 1) is None
-    assert sharding.smallest_capacity([5, 5, 5, 5], 2).count(0) == 2
+        for (size, n), runs in zip(classes, dealt):
+            assert sum(k for _, k in runs) == n and all(k > 0 for _, k in runs)
+            for b, k in runs:
+                used[b] += size * k
+        assert sorted(used.values()) == sorted(capacity - r for r in rooms)
+    assert sharding.best_fit_decreasing([(3, 2)], 4, 1) is None
+    assert sharding.smallest_capacity([(5, 4)], 2) == [[(1, 2), (0, 2)]]
+    for _ in range(60):  # the least capacity by trying each one
+        sizes, bins = sorted(Counter(rng.randint(1, 30) for _ in range(rng.randint(1, 25))).items(), reverse=True), rng.randint(1, 6)
+        level = Counter()
+        for (size, _), runs in zip(sizes, sharding.smallest_capacity(sizes, bins)):
+            for b, k in runs:
+                level[b] += size * k
+        fits = [c for c in range(1, 800) if sizes[0][0] <= c and sharding.best_fit_decreasing(sizes, c, bins) is not None]
+        assert sum(level.values()) == sum(s * n for s, n in sizes) and len(level) <= bins
+        assert max(level.values()) <= next(c for c in fits if all(k in fits for k in range(c, min(c + 31, 800))))
 
 
 def test_shards(spark, odd_docs, no_docs):
@@ -209,6 +221,11 @@ def test_shards(spark, odd_docs, no_docs):
     assert all(len(x) == 1 for x in of_text.values())
     odd = sharding.shard(odd_docs, n_shards=3).collect()
     assert len(odd) == odd_docs.count()
+    few = spark.createDataFrame([(i, "z" * (i % 5)) for i in range(40)], "doc_id long, text string")  # groups of 8 rows, of five sizes
+    of_text = {}
+    for r in sharding.shard(few, n_shards=4).collect():
+        of_text.setdefault(r["size"], set()).add(r["shard"])
+    assert all(len(x) == 1 for x in of_text.values())
     hot = spark.createDataFrame([(i, "hot " * 50) for i in range(600)] + [(1000 + i, "y" * i) for i in range(300)], "doc_id long, text string")
     of_shard = Counter()
     for r in sharding.shard(hot, n_shards=5).collect():
