@@ -256,7 +256,7 @@ def by_escape(asked: DataFrame, strings: DataFrame, order: int) -> DataFrame:
     """
     rows = asked.count() + strings.where("length > 3").count()
     part = F.pmod(F.xxhash64(F.shiftrightunsigned("gram", 8).bitwiseAND((1 << 24) - 1)), F.lit(max(64, rows // 500_000))).alias("part")
-    short = written(strings.where("length <= 3").coalesce(4), "short")
+    short = written(strings.where("length <= 3").repartition(4), "short")
     files = short.inputFiles()
     short_dir = files[0].rsplit("/", 1)[0] if files else ""
     columns = ("length", "gram", "n")
@@ -291,12 +291,13 @@ def _loaded(grams: str, words: str) -> tuple[Frequent, dict]:
     return kept(("model", grams, words), load)
 
 
-def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: int = 8_000_000, most_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: int = 8_000_000, most_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, learning from rows where ``train_where``.
 
-    Null texts are empty: one token, their end. Repeated rows are learnt from and scored each. Without training
-    texts every byte has the probability 1/256. Byte strings of over 3 bytes count from ``least`` occurrences on,
-    whatever the size of the input; with 1, all count. The ``most_grams`` most frequent of the longest strings are looked
+    Null texts are empty: one token, their end. Repeated rows are learnt from and scored each; null ids stay null and
+    are rows as others are. Without training texts every byte has the probability 1/256; an empty table gives no
+    rows. Every byte string counts; with a ``least`` of more than 1, those of over 3 bytes only from so many occurrences on,
+    whatever the size of the input. The ``most_grams`` most frequent of the longest strings are looked
     up in workers; all others of a text, known or not, are joined with their probabilities by a shuffle, so that the
     scores don't depend on that number. The same goes for the baseline's ``most_words`` most frequent words.
     """
@@ -312,9 +313,9 @@ def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: i
     frequent = _least_count(longest, most_grams, 1)
     after = Window.partitionBy(F.shiftrightunsigned("gram", 8))  # the symbols after a context, 256 at most
     log = (F.log10("n") - F.log10(F.sum("n").over(after) + F.count("n").over(after))).alias("log")
-    grams = written(longest.select("gram", "n", log).where(F.col("n") >= frequent).coalesce(8), "grams")
+    grams = written(longest.select("gram", "n", log).where(F.col("n") >= frequent).repartition(8), "grams")
     often = _least_count(vocabulary, most_words, 1)
-    head = written(vocabulary.where(F.col("n") >= often).coalesce(4), "head")
+    head = written(vocabulary.where(F.col("n") >= often).repartition(4), "head")
     grams_at, head_at = grams.inputFiles(), head.inputFiles()
     grams_dir, head_dir = (x[0].rsplit("/", 1)[0] if x else "" for x in (grams_at, head_at))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -10,24 +9,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, filtered, id_and_text, kept, labelled_sample, slices
+from .common import crc_mod, filtered, id_and_text, kept, labelled_sample, one_row_an_id, slices
 
 WORDS, SHAPES, DIM, BLOCK = 1 << 15, 1 << 12, 64, 1 << 10
 AT_ONCE = 1 << 15  # words whose vectors are held at once
 REPEATED = 0  # the shape of a word that equals the one before it
-_PARTS = re.compile(r"(\W*)(.*?)(\W*)", re.S).fullmatch
+RUN = 128  # characters: a longer run without white space is cut into pieces of that length, and each is a word
+
+
+def in_pieces(words: list[str]) -> list[str]:
+    """``words`` with runs of over RUN characters cut into consecutive pieces; nothing is left out."""
+    return [w[i : i + RUN] for w in words for i in range(0, len(w), RUN)]
 
 
 class Terms:
     """A word's two terms: what it says, in lower case and without marks, and its shape: case and marks around it."""
 
     def __init__(self, most: int = 200_000):
-        self.kept, self.most = {}, most
+        self.kept, self.most = {}, most  # words have RUN characters at most
 
     def _code(self, word: str) -> int:
-        before, core, after = _PARTS(word[:200]).groups()
+        first, last = 0, len(word)
+        while first < last and not (word[first].isalnum() or word[first] == "_"):
+            first += 1
+        while last > first and not (word[last - 1].isalnum() or word[last - 1] == "_"):
+            last -= 1
+        core = word[first:last]
         case = "A" if core.isupper() and len(core) > 1 else "a" if core.islower() else "Aa" if core.istitle() else "0" if core.isdigit() else "?" if core else ""
-        shape = f"{before[:3]} {case} {after[:3]} {min(len(core), 24) // 6}"
+        shape = f"{word[:first]} {case} {word[last:]} {min(len(core), 24) // 6}"
         return zlib.crc32(core.lower().encode("utf-8", "replace")) % WORDS * SHAPES + 1 + zlib.crc32(shape.encode("utf-8", "replace")) % (SHAPES - 1)
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,6 +44,8 @@ class Terms:
         kept, codes, counts = self.kept, [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             words = text.split()
+            if len(text) > RUN and max(map(len, words), default=0) > RUN:
+                words = in_pieces(words)
             counts[i] = len(words)
             for w in set(words).difference(kept):
                 kept[w] = self._code(w)
@@ -136,12 +147,12 @@ def _terms() -> Terms:
 def fit(docs: DataFrame, labels: DataFrame, where=None, most_rows: int = 20_000, parts: int = 24, id_col: str = "doc_id", text_col: str = "text"):
     """(vectors, network) from at most ``most_rows`` labelled rows, or None if there are none.
 
-    Tasks sum context vectors over the sample's whole texts, blocks of terms are added up in Spark, and the
+    An id with several texts is learnt from by one of them, the one with the least hash. Tasks sum context vectors over the sample's whole texts, blocks of terms are added up in Spark, and the
     driver gets one vector for each term (a fixed number) and one for each sampled text.
     """
     spark = docs.sparkSession
     sample = F.broadcast(labelled_sample(labels, most_rows, where))
-    texts = id_and_text(docs, id_col, text_col).join(sample, "doc_id").select("draw", "text", "label").repartition(parts, "draw")
+    texts = one_row_an_id(id_and_text(docs, id_col, text_col).join(sample, "doc_id")).select("draw", "text", "label").repartition(parts, "draw")
     texts = texts.persist()
     index = index_vectors(WORDS, 1), index_vectors(SHAPES, 2)
 
@@ -183,7 +194,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
 
     Labels of rows whose crc32(id as text) mod ``held_out[0]`` is ``held_out[1]`` are not learnt from. Null texts
     are empty, and a text without words gets the score of a zero vector. Without labels every score is one half.
-    A null id is never held out; repeated rows each have their score.
+    A null id is never held out, and no label is its; repeated rows each have their score; an id with several labels is
+    learnt with the least. An empty table gives no rows.
     """
     by, left = held_out or (1, -1)
     model = fit(docs, labels, crc_mod(F.col("doc_id"), by) != left, most_rows, id_col=id_col, text_col=text_col)
@@ -202,7 +214,10 @@ def _scores(model, texts: list[str]) -> np.ndarray:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out: tuple[int, int] | None = (4, 2), most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows that ``classify`` predicts 1 for, with all their columns; all rows if there are no labels to learn from."""
+    """Rows that ``classify`` predicts 1 for, with all their columns; all rows if there are no labels to learn from.
+
+    Each row is judged by its text alone, a null text as an empty one, whatever its id; an empty table stays empty.
+    """
     by, left = held_out or (1, -1)
     model = fit(docs, labels, crc_mod(F.col("doc_id"), by) != left, most_rows, id_col=id_col, text_col=text_col)
     return filtered(docs, lambda texts: _scores(model, texts) >= threshold, text_col) if model else docs

@@ -35,6 +35,112 @@ def test_forest_finds_what_is_odd():
     assert quality_rules.calibrated_threshold(np.zeros(0), np.zeros(0, bool), 0.1) == float("inf")
 
 
+def test_forest_against_brute_force():
+    """Path lengths and scores, node by node; leaves know how many rows of a tree's sample end in them."""
+    rng = np.random.default_rng(4)
+    rows, asked = rng.normal(size=(200, 3)), rng.normal(size=(40, 3)) * 2
+    forest = quality_rules.IsolationForest(rows, trees=7, subsample=200, low=np.full(3, -9.0), high=np.full(3, 9.0))
+
+    def walk(tree, row):
+        f, cut, left, right, _ = tree
+        node, level = 0, 0
+        while f[node] >= 0:
+            node, level = (left[node] if row[f[node]] < cut[node] else right[node]), level + 1
+        return node, level
+
+    def mean_path(n):  # of a search tree over n rows: 2 H(n-1) - 2 (n-1) / n, by the usual estimate of H
+        return 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    for row, score in zip(asked, forest.score(asked)):
+        total = 0
+        for tree in forest.trees:
+            inside = Counter(walk(tree, r)[0] for r in rows)
+            node, level = walk(tree, row)
+            assert abs(tree[4][node] - level - mean_path(inside[node])) < 1e-9 and level <= forest.depth
+            total += level + mean_path(inside[node])
+        assert abs(score - 2 ** (-total / 7 / mean_path(200))) < 1e-9
+
+
+def test_forest_sees_a_feature_that_is_constant_among_good_rows():
+    rng = np.random.default_rng(2)
+    good = np.column_stack([rng.normal(size=2000), np.zeros(2000)])
+    bad = np.column_stack([rng.normal(size=150), rng.uniform(0.1, 0.4, 150)])
+    both, is_good = np.vstack([good, bad]), np.arange(2150) < 2000
+    forest = quality_rules.IsolationForest(good[:1000], low=both.min(0), high=both.max(0))
+    scores = forest.score(both)
+    threshold = quality_rules.calibrated_threshold(scores, is_good, 0.01)
+    assert (scores[~is_good] > threshold).mean() > 0.9 and (scores[is_good] > threshold).mean() <= 0.01
+
+
+def test_a_bound_on_rows_holds_for_an_id_that_repeats(spark, monkeypatch):
+    words = [" ".join(f"v{i * j % 91}" for i in range(60)) for j in range(1, 41)]
+    docs = spark.createDataFrame([(1, w) for w in words] + [(2, words[0])], "doc_id long, text string")
+    one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    seen = []
+    network, forest = quality_classifier.Network, quality_rules.IsolationForest
+    monkeypatch.setattr(quality_classifier, "Network", lambda x, y: seen.append(len(x)) or network(x, y))
+    monkeypatch.setattr(quality_rules, "IsolationForest", lambda rows, **k: seen.append(len(rows)) or forest(rows, **k))
+    assert quality_classifier.classify(docs, one, held_out=None, most_rows=1).count() == 41
+    assert quality_rules.judge(docs, one, most_rows=1, min_words=5).count() == 41
+    assert seen == [1, 1]
+
+
+def test_kept_rows_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(300)], 70)) + ("#" * int(rng.integers(20, 90)) if i % 6 == 0 else "") for i in range(240)] + ["short", "a b c " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    truth = docs.select("doc_id", (F.col("doc_id") % 6 != 0).cast("int").alias("quality"))
+    forest, threshold = quality_rules.fit(docs, truth, 50, 50)
+    for r in quality_rules.judge(docs, truth).collect():
+        t = texts[r["doc_id"]]
+        words, lines = t.split(), [x for x in t.split("\n") if x.split()]
+        w, c = max(len(words), 1), max(sum(map(len, words)), 1)
+        x = [sum(map(len, words)) / w, len(re.findall(r"[#*$%&|<>]", t)) / c, (len(lines) - len(set(lines))) / max(len(lines), 1), r["n_repeat_words"] / w, len(set(words)) / w, len(re.findall("[A-Z]", t)) / c, t.count("!") / w]
+        length = 0.0
+        for f, cut, left, right, leaf in forest.trees:
+            node = 0
+            while f[node] >= 0:
+                node = left[node] if x[f[node]] < cut[node] else right[node]
+            length += leaf[node]
+        odd = 2 ** (-length / len(forest.trees) / forest.expected)
+        assert abs(odd - r["oddness"]) < 1e-9 and r["kept"] == (not r["base_failed"] and r["oddness"] <= threshold)
+    bad = quality_rules.judge(docs, truth).where("doc_id % 6 = 0 AND doc_id < 240 AND NOT kept").count()
+    assert bad >= 36  # of 40
+
+
+def test_classifier_against_brute_force(spark):
+    """Vectors, pooling and the network's answer by plain loops."""
+    texts = ["Red green, blue!!", "green blue RED", "", "one one two (three)", "x" * 300 + " end."] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    truth = docs.select("doc_id", (F.col("doc_id") % 5 < 2).cast("int").alias("quality"))
+    shared, network = quality_classifier.fit(docs, truth)
+    index = quality_classifier.index_vectors(quality_classifier.WORDS, 1), quality_classifier.index_vectors(quality_classifier.SHAPES, 2)
+    terms = quality_classifier.Terms()
+    context = [{}, {}]
+    for t in texts:
+        w, s, _ = terms.of([t])
+        for i in range(len(w)):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(w):
+                    both = index[0][w[j]] + index[1][s[j]]
+                    for k, term in ((0, w[i]), (1, s[i])):
+                        context[k][term] = context[k].get(term, 0) + both
+
+    def vector(k, term):
+        own, near = index[k][term], context[k].get(term, np.zeros(quality_classifier.DIM))
+        return own / max(np.linalg.norm(own), 1e-6) + near / max(np.linalg.norm(near), 1e-6)
+
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.classify(docs, truth, held_out=None).collect()}
+    for i, t in enumerate(texts):
+        w, s, n = terms.of([t])
+        x = np.concatenate([sum((vector(k, term) for term in own), np.zeros(quality_classifier.DIM)) / max(n[0], 1) for k, own in enumerate((w, s))])
+        z = np.clip((x - network.mean) / network.scale, -6, 6)
+        hidden = [np.tanh(sum(z[a] * network.w[0][a][b] for a in range(len(z))) + network.w[1][b]) for b in range(32)]
+        logit = sum(h * v for h, v in zip(hidden, network.w[2])) + network.w[3][0]
+        assert abs(scores[i] - 1 / (1 + np.exp(-logit / network.temperature))) < 1e-3
+    assert len(terms.of(["y" * 300])[0]) == 3 and "".join(quality_classifier.in_pieces(["y" * 300 + "z"])) == "y" * 300 + "z"
+
+
 def test_rules_on_odd_rows(odd_docs, no_docs, labels, no_labels):
     for l in (labels, no_labels):
         rows = quality_rules.judge(odd_docs, l).collect()

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from darkroom.llm.quality_classifier import classify
@@ -25,7 +26,21 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, labels, tmp_path):
             assert out.columns == docs.columns
             assert out.exceptAll(docs).count() == 0, name
     kept = {r["doc_id"]: r["count"] for r in corpus_pipeline.near_dedup(spark, odd_docs, folder).groupBy("doc_id").count().collect()}
-    assert kept[1] == 1 and 6 not in kept and kept[5] == 1 and kept[None] == 2
+    assert kept[1] == 1 and 6 not in kept and kept[5] == 1 and kept[None] == 2 and kept[7] == 2  # both texts of 7
+
+
+def test_stages_judge_rows_and_not_ids(spark, labels, tmp_path):
+    folder = str(tmp_path / "sf")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, long), (None, long + " x"), (9, long), (9, "something else that is " + item), (9, "a clean text of the same id"), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_number", F.lit("clash"))
+    left = corpus_pipeline.near_dedup(spark, docs, folder)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([rows[2], *rows[3:]], key=str) and left.columns == docs.columns
+    clean = corpus_pipeline.decontamination(spark, docs, folder).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in clean), key=str) == sorted([*rows[:3], rows[4]], key=str)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
