@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, spread_join, written
 
 #: Fixed value: what separates words, as the contract states it.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -58,10 +58,12 @@ def _places(docs: DataFrame, keep: list, sizes: list[int]) -> DataFrame:
     return out
 
 
-def contained_windows(docs: DataFrame, windows: DataFrame, keep: list[str], block_rows: int = 100_000) -> DataFrame:
+def contained_windows(docs: DataFrame, windows: DataFrame, keep: list[str], most_broadcast: int = 100_000) -> DataFrame:
     """(keep, start, length, window_id): each place of a document where a window's words stand.
 
-    The windows are joined by broadcast in blocks of at most ``block_rows``; more windows make more blocks.
+    Up to ``most_broadcast`` shingles of windows are broadcast, and documents are never shuffled. Beyond that their
+    shingles are counted and joined by a shuffle, and only places that a rarest shingle gives meet the texts again, so
+    that the passes over the documents don't grow with the windows. ``keep`` names one document.
     """
     shingles = windows.select("window_id", "words", "length", "size", F.posexplode(F.expr("sequence(0, length - size)")).alias("i", "offset"))
     hashed = F.coalesce(*[F.when(F.col("size") == k, _shingle("words", "offset", k)) for k in range(1, SHINGLE + 1)])
@@ -69,29 +71,30 @@ def contained_windows(docs: DataFrame, windows: DataFrame, keep: list[str], bloc
     sizes = sorted(r[0] for r in shingles.select("size").distinct().collect())  # SHINGLE rows at most
     if not sizes:
         return docs.select(*keep, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("window_id")).limit(0)
-    n = shingles.count()
-    blocks = -(-n // block_rows)
+    few = shingles.count() <= most_broadcast
     names = written(shingles.select("shingle", "size").distinct(), "shingle-names")
-
-    def block(df: DataFrame, key: str, b: int) -> DataFrame:
-        return F.broadcast(df if blocks == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b))
-
     places = _places(docs, [], sizes).select("shingle", "size")
-    counts = None
-    for b in range(blocks):
-        found = places.join(block(names, "shingle", b), ["shingle", "size"]).groupBy("shingle", "size").count()
-        counts = found if counts is None else counts.unionByName(found)
+    if few:
+        counts = places.join(F.broadcast(names), ["shingle", "size"]).groupBy("shingle", "size").count()
+    else:
+        counts = places.groupBy("shingle", "size").count().join(names, ["shingle", "size"])
+    counts = written(counts, "shingle-counts")
     rarity = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "shingle", "offset")
-    ranked = shingles.join(written(counts, "shingle-counts"), ["shingle", "size"], "left").withColumn("rank", F.row_number().over(rarity))
-    prefixes = written(ranked.where("rank = 1").select("window_id", "window", "length", "offset", "shingle", "size"), "prefixes")
-    places = _places(docs, keep, sizes)
-    out = None
-    for b in range(blocks):
-        pairs = places.join(block(prefixes, "window_id", b), ["shingle", "size"])
-        bounded = pairs.where((F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("length") <= F.col("n_words")))
-        found = bounded.where(ascii_lower(F.concat_ws(" ", F.slice("words", F.col("at") - F.col("offset") + 1, F.col("length")))) == F.col("window")).select(*keep, (F.col("at") - F.col("offset")).alias("start"), "length", "window_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    ranked = shingles.join(counts, ["shingle", "size"], "left").withColumn("rank", F.row_number().over(rarity))
+    # a window whose rarest shingle is in no document is in none either
+    prefixes = written(ranked.where("rank = 1 AND count > 0").select("window_id", "window", "length", "offset", "shingle", "size"), "prefixes")
+    bounds = F.expr("at >= offset AND at - offset + length <= n_words")
+    start = (F.col("at") - F.col("offset")).alias("start")
+    same = ascii_lower(F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("length")))) == F.col("window")
+    if few:
+        places = _places(docs, keep, sizes).join(F.broadcast(prefixes), ["shingle", "size"]).where(bounds)
+        return places.select(*keep, "words", start, "length", "window", "window_id").where(same).select(*keep, "start", "length", "window_id")
+    asked = prefixes.select("shingle").distinct().join(counts.groupBy("shingle").agg(F.sum("count").alias("n")), "shingle")
+    places = _places(docs, keep, sizes).select(*keep, "n_words", "at", F.col("size").alias("words_in"), "shingle")
+    met = spread_join(places, prefixes, "shingle", "at", sizes=written(asked, "asked")).where(bounds & (F.col("size") == F.col("words_in")))
+    met = written(met.select(*keep, start, "length", "window", "window_id"), "places")
+    texts = docs.select(*keep, _raw_words(F.col("text")).alias("words")).join(met.select(*keep).distinct(), keep, "left_semi")
+    return met.join(texts.dropDuplicates(keep), keep).where(same).select(*keep, "start", "length", "window_id")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -99,7 +102,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 
     A window is ``window`` consecutive words of an item, or all of a shorter item. Null and empty texts have no
     words and no hits. Hits are found for each distinct pair of id and text, so rows that repeat, and rows
-    that share an id with other texts or none, each have their own result. Without items nothing is hit.
+    that share an id with other texts or none, each have their own result. Without items nothing is hit, and an empty
+    table gives no rows. Items with one id count once; those with a null id or no words have no windows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("doc_id", "text").alias("hash")))
@@ -110,7 +114,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     end = F.col("start") + F.col("length")
     new = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))))
     n_hit = lengths.withColumn("new", new).groupBy("key").agg(F.sum("new").cast("long").alias("n_hit"))
-    found = hits.select("key", "window_id").distinct().join(holders, "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = spread_join(hits.select("key", "window_id").distinct(), holders, "window_id", "key").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     base = keyed.select("doc_id", "key", F.size(_raw_words(F.col("text"))).cast("long").alias("n_words"))
     out = base.join(n_hit, "key", "left").join(found, "key", "left")
     names = F.coalesce("items", F.array().cast("array<string>"))

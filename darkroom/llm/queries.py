@@ -159,13 +159,19 @@ gs AS (SELECT {_STRENGTH} AS m FROM g2),
 h2 AS (SELECT h.*, (gs.m * g2.prior + g2.good) / (gs.m + g2.n) AS prior FROM h JOIN g2 USING (domain, suffix), gs),
 hs AS (SELECT {_STRENGTH} AS m FROM h2),
 ab AS (SELECT host, hs.m * prior + good AS a, hs.m * (1 - prior) + n - good AS b FROM h2, hs),
-up AS (SELECT host, a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS upper FROM ab),
+z AS (SELECT host, a, b, (0.5e0 - a / (a + b)) / sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS z FROM ab),
+t AS (
+  SELECT host, a, b, z, exp(sum(ln(0.5e0 * (a + b + k) / (a + 1 + k))) OVER w) AS below, exp(sum(ln(0.5e0 * (a + b + k) / (b + 1 + k))) OVER w) AS above
+  FROM z, unnest(range(0, 400)) AS s(k) WINDOW w AS (PARTITION BY host ORDER BY k)),
+up AS (
+  SELECT host, CASE WHEN a + b <= 500 THEN (1 + sum(below)) / a / ((1 + sum(below)) / a + (1 + sum(above)) / b)
+    ELSE 1 / (1 + exp(-(1.5976e0 * z + 0.07056e0 * pow(z, 3)))) END AS p_low FROM t GROUP BY host, a, b, z),
 r AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN p_low > 0.95 THEN 'block' ELSE 'allow' END AS verdict
 FROM r LEFT JOIN up USING (host)""",
 }

@@ -191,3 +191,19 @@ def test_url_rules_and_reputation(spark):
     assert by_id[7][:2] == by_id[8][:2] == ("", "") and by_id[9][:2] == ("h", "") and by_id[10][:2] == ("q.co.uk:80", "/p")
     assert url_reputation.judge_urls(pages.limit(0), outcomes, URL_RULES).count() == 0
     assert {r["rate"] for r in url_reputation.judge_urls(pages, outcomes.limit(0), URL_RULES).collect()} == {0.5}
+
+
+def test_beta_law(spark):
+    cases = [(0.2, 0.3), (1.0, 1.0), (2.5, 7.0), (30.0, 60.5), (200.0, 260.0), (3000.0, 3100.0), (1.0, 999.0), (480.0, 1.5)]
+    frame = spark.createDataFrame(cases, "a double, b double")
+    for x in (0.5, 0.3):
+        for a, b, got in frame.select("a", "b", url_reputation.beta_below(F.col("a"), F.col("b"), x)).collect():
+            u = (np.arange(400_000) + 0.5) / 400_000  # t = u^k takes the pole at 0 away, and the other end likewise
+            parts = []
+            for p, q, end in ((a, b, x), (b, a, 1 - x)):
+                k = max(1.0, 1 / p)
+                t = end * u**k
+                parts.append((p - 1) * np.log(t) + (q - 1) * np.log1p(-t) + np.log(end * k) + (k - 1) * np.log(u))
+            top = max(p.max() for p in parts)
+            low, high = (np.exp(p - top).sum() for p in parts)
+            assert abs(got - low / (low + high)) < (1e-5 if a + b <= 500 else 3e-3), (a, b, x)

@@ -34,10 +34,11 @@ def brute_decontamination(docs, items, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_rows", [100_000, 7])
-def test_decontamination(spark, odd_docs, block_rows, monkeypatch):
+@pytest.mark.parametrize("most_broadcast", [100_000, 7])
+def test_decontamination(spark, odd_docs, most_broadcast, monkeypatch):
     whole = decontamination.contained_windows
-    monkeypatch.setattr(decontamination, "contained_windows", lambda d, w, keep: whole(d, w, keep, block_rows))
+    monkeypatch.setattr(decontamination, "contained_windows", lambda d, w, keep: whole(d, w, keep, most_broadcast))
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     rng = random.Random(4)
     vocabulary = ["a", "B", "c", "É", "é", "kK", "İ", "x1", "the", "dog"]
     docs = [(r["doc_id"], r["text"]) for r in odd_docs.where("doc_id IS NULL OR doc_id NOT IN (5, 6)").select("doc_id", "text").collect()]
