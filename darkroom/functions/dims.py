@@ -18,6 +18,7 @@ OPTIMISABLE_IMAGES = ["png", "jpg", "jpeg", "gif", "webp", "bmp", "tiff", "tif"]
 IMAGE_TARGETS = {"webp": "webp", "avif": "avif", "heic": "heic", "heif": "heic", "jxl": "jxl", "png": "png", "jpeg": "jpg", "jpg": "jpg"}
 VIDEO_TARGETS = {"mp4": "h264", "h264": "h264", "avc": "h264", "hevc": "hevc", "h265": "hevc", "x265": "hevc", "av1": "av1", "webm": "vp9", "vp9": "vp9"}
 VIDEO_CONTAINERS = {"h264": "mp4", "hevc": "mp4", "av1": "mp4", "vp9": "webm"}
+# Audio formats, their names, extensions, codecs and bit rates.
 AUDIO_TARGETS = {"aac": "aac", "m4a": "aac", "mp3": "mp3", "opus": "opus", "ogg": "opus", "oga": "opus", "wav": "wav", "flac": "flac", "aiff": "aiff", "aif": "aiff"}
 AUDIO_EXTENSION = {"same": "", "aac": "m4a", "mp3": "mp3", "opus": "ogg", "wav": "wav", "flac": "flac", "aiff": "aiff"}
 AUDIO_CODEC = {"same": "", "aac": "aac_at", "mp3": "libmp3lame", "opus": "libopus", "wav": "pcm_s16le", "flac": "flac", "aiff": "pcm_s16be"}
@@ -32,10 +33,13 @@ AUDIO_ALLOWED_KBPS = {
     "flac": [],
     "aiff": [],
 }
+# The factors that a budget search tries, and where watermarks go.
 BUDGET_FACTORS = [30, 50, 64, 80, 90, 100]
 POSITIONS = {"topleft": "10:10", "topright": "W-w-10:10", "bottomleft": "10:H-h-10", "center": "(W-w)/2:(H-h)/2", "centre": "(W-w)/2:(H-h)/2"}
 POSITION_ELSE = "W-w-10:H-h-10"
-TOOLS = ["ffmpeg", "gifski", "gs", "exiftool", "heif-enc", "cjxl"]
+# External tools that are known by name, and those of them that are run.
+KNOWN_TOOLS = ["ffmpeg", "ffprobe", "pngquant", "jpegoptim", "jpegoptim-old", "gifsicle", "gifski", "vips", "vipsthumbnail", "gs", "cwebp", "heif-enc", "cjxl", "exiftool"]
+TOOLS = ["ffmpeg", "gs", "gifski", "heif-enc", "cjxl", "exiftool"]
 
 
 def looked_up(key: Column, table: dict, otherwise=None) -> Column:

@@ -27,6 +27,12 @@ def long_edge_plan(sw: Column, sh: Column, n: Column) -> Column:
     return F.when(sw >= sh, plan("resize", n, even(_round(_d(n) * _d(sh) / _d(sw))))).otherwise(plan("resize", even(_round(_d(n) * _d(sw) / _d(sh))), n))
 
 
+def as_long_edge(width: Column, height: Column) -> Column:
+    """struct(width, height, long_edge): the width, or else the height, becomes the long edge, and neither stays."""
+    none = F.lit(None).cast("int")
+    return F.struct(none.alias("width"), none.alias("height"), F.coalesce(width, height).alias("long_edge"))
+
+
 def aspect_plan(sw: Column, sh: Column, aw: Column, ah: Column) -> Column:
     """The largest centred rectangle of the ratio."""
     r = _d(aw) / _d(ah)

@@ -34,7 +34,8 @@ def extension(path: Column) -> Column:
 
 def kind_of_extension(ext: Column) -> Column:
     """image, video, audio, pdf or null."""
-    return dims.looked_up(ext, {e: kind for kind, exts in dims.KIND_EXTENSIONS.items() for e in exts})
+    kinds = [F.lit(x) for kind, exts in dims.KIND_EXTENSIONS.items() for e in exts for x in (e, kind)]
+    return F.try_element_at(F.create_map(*kinds), ext)  # names its argument once, which may be long
 
 
 def kind(path: Column) -> Column:

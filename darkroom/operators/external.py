@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import platform
 import shutil
 import subprocess
 
@@ -43,6 +44,11 @@ def run_tool(tool: str, args: list[str], timeout: float | None = None, folder: s
     return None
 
 
+def capped(files: DataFrame, jobs: int | None) -> DataFrame:
+    """``files`` in at most ``jobs`` parts, so that no more run at once; None: as many as the cluster takes."""
+    return files if jobs is None else files.coalesce(max(1, jobs))
+
+
 def run_commands(plans: DataFrame, tool: str, timeout: float | None = None, folder: str | None = None) -> DataFrame:
     """``plans`` (source, dest, args) with new_size and error. Each command writes a new path, so that a task that is run
     again only writes it anew; nothing is moved or deleted."""
@@ -61,11 +67,13 @@ def run_commands(plans: DataFrame, tool: str, timeout: float | None = None, fold
 
 
 def doctor(spark: SparkSession, folder: str | None = None) -> DataFrame:
-    """(tool, path): which tools an executor finds."""
+    """(tool, path, arch, cpus): which tools an executor finds, and what machine it is."""
 
     def look(batches):
+        arch = "arm64" if platform.machine().lower() in ("arm64", "aarch64") else "x86_64"
         for batch in batches:
             names = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([found(n, folder) for n in names], pa.string())], ["tool", "path"])
+            k = len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([found(n, folder) for n in names], pa.string()), pa.array([arch] * k), pa.array([os.cpu_count()] * k, pa.int32())], ["tool", "path", "arch", "cpus"])
 
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, TOOLS))).alias("tool")).mapInArrow(look, "tool string, path string")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, TOOLS))).alias("tool")).mapInArrow(look, "tool string, path string, arch string, cpus int")

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import struct
 import zlib
 
@@ -57,10 +59,7 @@ def decode(data: bytes) -> np.ndarray:
         elif kind == 1:
             line = np.add.accumulate(line.reshape(w, n), axis=0, dtype=np.uint8).reshape(-1)
         elif kind in (3, 4):
-            for x in range(w * n):
-                a, b, c = (int(line[x - n]) if x >= n else 0), int(above[x]), (int(above[x - n]) if x >= n else 0)
-                near = (a + b) // 2 if kind == 3 else min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-                line[x] = (int(line[x]) + near) & 255
+            line = np.array(_unfiltered(line.tolist(), above.tolist(), n, kind == 3), np.uint8)
         out[y] = above = line
     image = out.reshape(h, w, n)
     if color == 3:
@@ -72,6 +71,25 @@ def decode(data: bytes) -> np.ndarray:
     return image
 
 
+def _unfiltered(line: list[int], up: list[int], n: int, mean: bool) -> list[int]:
+    """A line whose bytes were told by the mean of the bytes before and above, or by the nearest of three."""
+    a = c = [0] * n
+    for x in range(0, len(line), n):
+        here = []
+        for k in range(n):
+            left, b, corner = a[k], up[x + k], c[k]
+            if mean:
+                near = (left + b) >> 1
+            else:
+                p, q = b - corner, left - corner
+                p, q, r = abs(p), abs(q), abs(p + q)
+                near = left if p <= q and p <= r else b if q <= r else corner
+            here.append((line[x + k] + near) & 255)
+        a, c = here, up[x : x + n]
+        line[x : x + n] = here
+    return line
+
+
 def _deflated(rows: np.ndarray) -> bytes:
     """The smallest of the unfiltered rows and their differences to the row above."""
     plain = np.hstack([np.zeros((len(rows), 1), np.uint8), rows])
@@ -85,19 +103,50 @@ def encode(image: np.ndarray) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)) + _chunk(b"IDAT", _deflated(image.reshape(h, w * n))) + _chunk(b"IEND", b"")
 
 
+def median_cut(colours: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` colours: the box of colours with the most spread is cut at its median until there are so many."""
+    boxes, at = [], itertools.count()
+
+    def add(own):
+        span = np.ptp(colours[own].astype(int), axis=0)
+        heapq.heappush(boxes, (-float(span.max()) * np.sqrt(count[own].sum()), next(at), int(span.argmax()), own))
+
+    add(np.arange(len(colours)))
+    while len(boxes) < most and boxes[0][0] < 0:
+        _, _, axis, own = heapq.heappop(boxes)
+        own = own[np.argsort(colours[own, axis], kind="stable")]
+        middle = int(np.searchsorted(np.cumsum(count[own]), count[own].sum() / 2)) + 1
+        middle = min(max(middle, 1), len(own) - 1)
+        add(own[:middle])
+        add(own[middle:])
+    return np.stack([np.average(colours[own], axis=0, weights=count[own]) for *_, own in boxes]).round().astype(np.uint8)
+
+
+def _nearest(flat: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    p = palette.astype(np.float32)
+    return np.concatenate([(-2 * (flat[lo : lo + 16384].astype(np.float32) @ p.T) + (p * p).sum(1)).argmin(1) for lo in range(0, len(flat), 16384)])
+
+
+#: An ordered dither's thresholds, each of 0 .. 63 once, from the rule that doubles a smaller one.
+def _thresholds(size: int = 8) -> np.ndarray:
+    out = np.zeros((1, 1))
+    while len(out) < size:
+        out = np.block([[4 * out, 4 * out + 2], [4 * out + 3, 4 * out + 1]])
+    return (out + 0.5) / size**2 - 0.5
+
+
 def encode_palette(image: np.ndarray, most: int = 256) -> bytes:
-    """With at most ``most`` colours: low bits go until no more are left, and each colour is the mean of its pixels."""
+    """With at most ``most`` colours. A picture of no more keeps its own; for others colours are found by median cut, and
+    pixels take the nearest after an ordered dither of about the distance between colours."""
     h, w, n = image.shape
-    flat = image.reshape(-1, n)
-    for bits in range(8, 0, -1):
-        mask = np.uint8((0xFF << (8 - bits)) & 0xFF)
-        _, place, count = np.unique(flat & mask, axis=0, return_inverse=True, return_counts=True)
-        if len(count) <= most:
-            break
-    else:
-        raise Unsupported("too many colours")
-    place = place.reshape(-1)
-    means = np.stack([np.bincount(place, flat[:, c]) / count for c in range(n)], 1).round().astype(np.uint8)
+    colours, place, count = np.unique(image.reshape(-1, n), axis=0, return_inverse=True, return_counts=True)
+    means, place = colours, place.reshape(-1)
+    if len(colours) > most:
+        means = median_cut(colours, count, most)
+        step = 255 / len(means) ** (1 / max(1, n - n % 2 if n == 2 else min(n, 3))) / 2
+        noise = np.tile(_thresholds(), (-(-h // 8), -(-w // 8)))[:h, :w, None] * step
+        told = image + noise if n in (1, 3) else image + np.concatenate([np.repeat(noise, n - 1, 2), np.zeros((h, w, 1))], 2)
+        place = _nearest(np.clip(told, 0, 255).reshape(-1, n), means)
     rgb = means[:, :3] if n >= 3 else np.repeat(means[:, :1], 3, 1)
     alpha = _chunk(b"tRNS", means[:, -1].tobytes()) if n in (2, 4) else b""
     return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 3, 0, 0, 0)) + _chunk(b"PLTE", rgb.tobytes()) + alpha + _chunk(b"IDAT", _deflated(place.astype(np.uint8).reshape(h, w))) + _chunk(b"IEND", b"")
@@ -152,20 +201,80 @@ def cropped(image: np.ndarray, args: dict) -> np.ndarray:
     return resized(image, cw, _even(at(cw * h / w))) if cw else resized(image, _even(at(ch * w / h)), ch)
 
 
+def decode_bmp(data: bytes) -> np.ndarray:
+    """(height, width, 3 or 4) of an uncompressed BMP of 24 or 32 bits."""
+    if data[:2] != b"BM" or len(data) < 54:
+        raise Unsupported("not a BMP file")
+    at, _, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
+    if bits not in (24, 32) or packed != 0 or w <= 0 or h == 0:
+        raise Unsupported("this kind of BMP needs an external decoder")
+    n, line = bits // 8, -(-w * bits // 32) * 4
+    rows = np.frombuffer(data, np.uint8, abs(h) * line, at).reshape(abs(h), line)[:, : w * n].reshape(abs(h), w, n)
+    rows = rows[::-1] if h > 0 else rows
+    return np.concatenate([rows[:, :, 2::-1], rows[:, :, 3:]], 2)
+
+
+def encode_bmp(image: np.ndarray) -> bytes:
+    """24 bits, or 32 with an alpha channel; rows from the bottom up."""
+    h, w, n = image.shape
+    image = image if n >= 3 else np.concatenate([np.repeat(image[:, :, :1], 3, 2), image[:, :, 1:]], 2)
+    n = image.shape[2]
+    line = -(-w * n // 4) * 4
+    rows = np.zeros((h, line), np.uint8)
+    rows[:, : w * n] = np.concatenate([image[::-1, :, 2::-1], image[::-1, :, 3:]], 2).reshape(h, w * n)
+    return b"BM" + struct.pack("<IHHI", 54 + h * line, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8 * n, 0, h * line, 2835, 2835, 0, 0) + rows.tobytes()
+
+
+def pixels(data: bytes) -> np.ndarray:
+    """Of a PNG or a BMP."""
+    return decode_bmp(data) if data[:2] == b"BM" else decode(data)
+
+
+def rectangle(image: np.ndarray, x: float, y: float, w: float, h: float) -> np.ndarray:
+    """The part that ``functions.geometry.rect_pixels`` plans, of a rectangle in parts of the picture."""
+    high, wide = image.shape[:2]
+    x, y = min(max(x, 0.0), 1.0), min(max(y, 0.0), 1.0)
+    if x > 0.99 or y > 0.99:
+        raise Unsupported("the rectangle starts at the far edge")
+    w, h = max(min(w, 1 - x), 0.01), max(min(h, 1 - y), 0.01)
+    left, top = int(np.floor(x * wide + 0.5)), int(np.floor(y * high + 0.5))
+    w, h = min(max(int(np.floor(w * wide + 0.5)), 1), wide - left), min(max(int(np.floor(h * high + 0.5)), 1), high - top)
+    return image[top : top + h, left : left + w]
+
+
 def palette_size(factor: int) -> int:
     """How many colours a factor leaves: all 256 up to 30, fewer beyond."""
     return max(2, min(256, round(256 * (100 - (factor - 30) * 75 / 70) / 100)))
 
 
 def optimised(data: bytes, factor: int = 30) -> bytes:
-    """The smallest of a plain, a stripped and a palette encoding."""
+    """The smallest of a plain, a stripped and a palette encoding; a BMP is written anew."""
+    if data[:2] == b"BM":
+        return encode_bmp(decode_bmp(data))
     image = decode(data)
-    tries = [encode(image), stripped(data)]
-    try:
-        tries.append(encode_palette(image, palette_size(factor)))
-    except Unsupported:
-        pass
-    return min(tries, key=len)
+    return min((encode(image), stripped(data), encode_palette(image, palette_size(factor))), key=len)
+
+
+def adapted(data: bytes, factor: int = 30, encoders: dict | None = None) -> tuple[str, bytes]:
+    """(format, bytes): the smallest of the same format, jpeg (never with an alpha channel) and png, or the source.
+
+    ``encoders``: functions of (pixels, factor) by format; jpeg has none here. A try that fails or is empty is skipped, the
+    first of equals wins, and a winner that isn't smaller leaves the source.
+    """
+    own = "bmp" if data[:2] == b"BM" else "png"
+    image = pixels(data)
+    tries = {"same": lambda: optimised(data, factor), "jpeg": lambda: (encoders or {})["jpeg"](image, factor), "png": lambda: optimised(encode(image), factor)}
+    best = None
+    for name, make in tries.items():
+        if name == "jpeg" and image.shape[2] in (2, 4):
+            continue
+        try:
+            made = make()
+        except (ValueError, KeyError):
+            continue
+        if made and (best is None or len(made) < len(best[1])):
+            best = own if name == "same" else name, made
+    return best if best is not None and len(best[1]) < len(data) else (own, data)
 
 
 def within(data: bytes, budget: int) -> bytes:
@@ -202,19 +311,21 @@ def watermarked(data: bytes, overlay: bytes, position: str, opacity: float, scal
 def apply_step(data: bytes, step: Step, overlays: dict[str, bytes], scripts: dict) -> bytes:
     """``overlays``: pictures by the name that a watermark step gives. ``scripts``: functions of bytes by the code or path
     of a runScript step, which leaves the file as it is; no shell is ever started."""
-    if step.op in ("optimise", "adaptive"):
+    if step.op == "optimise":
         return optimised(data)
+    if step.op == "adaptive":
+        return adapted(data)[1]
     if step.op == "targetSize":
         return within(data, step.args["bytes"])
     if step.op == "downscale":
-        image, f = decode(data), max(0.05, min(1.0, step.args["factor"]))
+        image, f = pixels(data), max(0.05, min(1.0, step.args["factor"]))
         return encode(resized(image, max(1, int(image.shape[1] * f + 0.5)), max(1, int(image.shape[0] * f + 0.5))))
     if step.op == "crop":
-        return encode(cropped(decode(data), step.args))
+        return encode(cropped(pixels(data), step.args))
     if step.op == "stripExif":
         return stripped(data)
     if step.op == "convert" and step.args["to"].lower() == "png":
-        return encode(decode(data))
+        return encode(pixels(data))
     if step.op == "copyToClipboard":
         return data
     if step.op == "watermark" and step.args["image"] in overlays:

@@ -99,15 +99,40 @@ def with_crop(data: bytes, ratio: tuple[float, float] | None) -> bytes:
     return written(data, found)
 
 
-def recompressed(data: bytes) -> bytes:
-    """Flate streams at the best level and bare ones compressed, where that is smaller; pictures stay as they are."""
-    found = objects(data)
+def is_dct_image(head: bytes) -> bool:
+    """Whether an object's dictionary is that of a picture with a DCT filter, alone or in a list."""
+    if not re.search(rb"/Subtype\s*/Image(?![A-Za-z])", head):
+        return False
+    return bool(re.search(rb"/Filter\s*(/DCTDecode(?![A-Za-z])|\[[^\]]*/DCTDecode(?![A-Za-z])[^\]]*\])", head))
+
+
+def pruned(data: bytes, found: dict) -> dict:
+    """The objects that the catalogue leads to."""
+    root = re.findall(rb"/Root\s+(\d+)\s+\d+\s+R", data)
+    open_, kept = [int(root[-1])] if root else list(found), {}
+    while open_:
+        number = open_.pop()
+        if number in found and number not in kept:
+            kept[number] = found[number]
+            dictionary = found[number][1].split(b"stream", 1)[0] if b">>" in found[number][1] else found[number][1]
+            open_ += [int(n) for n in re.findall(rb"(?<!\d)(\d+)\s+\d+\s+R(?![A-Za-z])", dictionary)]
+    return kept
+
+
+def recompressed(data: bytes, jpeg=None) -> bytes:
+    """Flate streams at the best level and bare ones compressed, where that is smaller, without objects that nothing leads to.
+
+    ``jpeg``: a function from a JPEG's bytes to smaller ones for pictures with a DCT filter; without it these stay as they are.
+    """
+    found = pruned(data, objects(data))
     for number, (generation, body) in list(found.items()):
         m = re.search(rb"^(.*?>>)\s*stream\r?\n(.*?)\r?\n?endstream(.*)$", body, re.S)
         if not m or re.search(rb"/Length\s+\d+\s+\d+\s+R|/DecodeParms|/F\s", m[1]):
             continue
         head, raw = m[1], m[2]
-        if re.search(rb"/Filter\s*/FlateDecode", head):
+        if is_dct_image(head):
+            new = jpeg(raw) if jpeg is not None and re.search(rb"/Filter\s*(/DCTDecode|\[\s*/DCTDecode\s*\])", head) else raw
+        elif re.search(rb"/Filter\s*/FlateDecode", head):
             try:
                 new = zlib.compress(zlib.decompressobj().decompress(raw), 9)
             except zlib.error:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import improved, printed_percent, saved_bytes, saved_percent
@@ -33,6 +33,12 @@ def summary_by(results: DataFrame, *keys: str) -> DataFrame:
     return _saved(results.groupBy(*keys).agg(*_totals()))
 
 
+def observed(results: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """``results`` (error, ..) and a count of rows done and failed, which is there when they have been written."""
+    seen = Observation(name)
+    return results.observe(seen, F.count(F.lit(1)).alias("done"), F.count_if(F.col("error").isNotNull()).alias("failed")), seen
+
+
 def newest(results: DataFrame, time: str, n: int = 50, tie: str = "path") -> DataFrame:
     """The ``n`` newest results, newest first."""
     return results.orderBy(F.desc(time), tie).limit(n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dial, geometry
 
+# Flags as the encoders know them, here and below.
 QUIET = ["-hide_banner", "-nostats"]
 
 
@@ -31,6 +32,19 @@ def convert_video(src: Column, dst: Column, codec: Column, tier: Column, factor:
     return words(["-y", "-i"], src, [dial.video_args(codec, tier, factor, arm, hardware)], [F.when(codec == "vp9", webm).otherwise(other)], QUIET, dst)
 
 
+def tries_of_video(src: Column, dst: Column, tier: Column, factor: Column, arm: Column, filter_text: Column) -> Column:
+    """array<array<string>>: the command that copies the sound, and the one for when that fails."""
+    return F.array(encode_video(src, dst, tier, factor, arm, filter_text, True), encode_video(src, dst, tier, factor, arm, filter_text, False))
+
+
+def convert_heic(src: Column, dst: Column, factor: Column) -> Column:
+    return words(["-q"], dial.conversion_quality(factor).cast("string"), ["-o"], dst, src)
+
+
+def convert_jxl(src: Column, dst: Column, factor: Column) -> Column:
+    return words(src, dst, ["-q"], dial.jxl_quality(factor).cast("string"), ["-e"], dial.jxl_effort(factor).cast("string"))
+
+
 def video_to_gif(src: Column, dst: Column, fps: Column, max_width: Column) -> Column:
     """In one pass; a null width leaves the size as it is."""
     size = F.when(max_width.isNotNull(), F.format_string(",scale=%d:-1:flags=lanczos", max_width)).otherwise("")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -69,9 +70,16 @@ def detach(automations: DataFrame, source: str) -> DataFrame:
     return automations.where(F.col("source") != source)
 
 
-def targets(automations: DataFrame, pipelines: DataFrame, folders: list[str] = (), pipeline: str | None = None) -> list[tuple[str, str, str]]:
-    """(folder, type, dsl) for ``streaming.watch.routed``: named folders replace saved automations. A short list."""
+def targets(automations: DataFrame, pipelines: DataFrame, folders: list[str] = (), pipeline: str | None = None, exists=None) -> list[tuple[str, str, str]]:
+    """(folder, type, dsl) for ``streaming.watch.routed``: named folders replace saved automations. A short list.
+
+    ``exists`` says of a folder whether it is there; one that isn't is left out with a warning. None: all count.
+    """
     spark = pipelines.sparkSession
     rows = [(i, f, "all", pipeline or "optimise") for i, f in enumerate(folders)]
     wanted = spark.createDataFrame(rows, "i int, source string, file_type string, spec string") if rows else automations.select(F.monotonically_increasing_id().alias("i"), "source", "file_type", F.col("pipeline").alias("spec"))
-    return [(r["source"], r["file_type"], r["dsl"]) for r in dsl.resolve(wanted, pipelines).orderBy("i").collect()]
+    found = [(r["source"], r["file_type"], r["dsl"]) for r in dsl.resolve(wanted, pipelines).orderBy("i").collect()]
+    for folder, *_ in found:
+        if exists is not None and not exists(folder):
+            warnings.warn(f"{folder} is not there and isn't watched", stacklevel=2)
+    return [t for t in found if exists is None or exists(t[0])]

@@ -8,15 +8,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dims
 from ..functions.paths import in_folder, kind, skipped_by_watch
 from ..operators.placement import stable
 
 
+def file_events(events: DataFrame) -> DataFrame:
+    """Of ``events`` (event, is_file, ..) those of files that were made or written."""
+    return events.where(F.col("event").isin("create", "modify") & F.col("is_file"))
+
+
 def watchable(events: DataFrame) -> DataFrame:
     """Events of supported files that aren't hidden, backups or temporary."""
     return events.where(~skipped_by_watch(F.col("path")) & kind(F.col("path")).isNotNull())
 
 
+def recorded(state: DataFrame, results: DataFrame) -> DataFrame:
+    """``state`` (path, mtime) after ``results`` (path, mtime, output, output_mtime, error), one row a path.
+
+    What was written in place is known by the output's time, what was written elsewhere by the source's. A failure
+    changes nothing, so that the next event of the file tries it again.
+    """
+    mtime = F.when(F.col("output") == F.col("path"), F.coalesce("output_mtime", "mtime")).otherwise(F.col("mtime"))
+    new = results.where("error IS NULL AND output IS NOT NULL").select("path", mtime.alias("mtime"))
+    return state.join(new.select("path"), "path", "left_anti").select("path", "mtime").unionByName(new)
+
+
+def due(events: DataFrame, state: DataFrame) -> DataFrame:
+    """Events (path, mtime, ..) later than what ``state`` (path, mtime) knows of the path."""
+    known = state.select("path", F.col("mtime").alias("_known"))
+    return events.join(known, "path", "left").where("_known IS NULL OR mtime > _known").drop("_known")
+
+
+def sample_key(content: Column, width: Column, height: Column) -> Column:
+    """A short text that changes if a picture does: its sizes, and every 257th byte, 64 of them at most."""
+    n = F.octet_length(content)
+    places = F.sequence(F.lit(0), F.least(F.lit(63), F.floor((n - 1) / 257).cast("int")))
+    sampled = F.when(n > 0, F.array_join(F.transform(places, lambda i: F.hex(F.substring(content, i * 257 + 1, F.lit(1)))), "")).otherwise("")
+    return F.concat_ws("|", width.cast("string"), height.cast("string"), n.cast("string"), sampled)
+
+
 def debounced(events: DataFrame, gap: str = "500 milliseconds", time: str = "event_time") -> DataFrame:
     """(start, end, paths, n_events): a batch for each run of events of any path that no quiet time of ``gap`` breaks.
 
@@ -108,12 +139,16 @@ def routed(events: DataFrame, targets: list[tuple[str, str, str]]) -> DataFrame:
     ``targets``: (folder, type, pipeline) in their order, a short list that becomes a chain of conditions. A path is in a
     folder if the folder is a leading run of its components.
     """
-    path, of = F.col("path"), kind(F.col("path"))
-    number, pipeline = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for i, (folder, file_type, dsl) in reversed(list(enumerate(targets))):
-        fits = in_folder(path, F.lit(folder)) & type_matches(F.lit(file_type), of)
-        number, pipeline = F.when(fits, i).otherwise(number), F.when(fits, dsl).otherwise(pipeline)
-    return watchable(events).withColumns({"target": number, "pipeline": pipeline}).where("target IS NOT NULL")
+    path = F.col("path")
+    number = F.lit(None).cast("int")
+    for i, (folder, file_type, _) in reversed(list(enumerate(targets))):
+        fits = in_folder(path, F.lit(folder))
+        fits = fits & (F.col("_kind") == file_type) if file_type in dims.KIND_EXTENSIONS else fits
+        number = F.when(fits, i).otherwise(number)
+    # the kind is found once for each row and the target from it, not anew for each target
+    known = watchable(events).withColumn("_kind", kind(path)).withColumn("target", number).drop("_kind")
+    chains = F.array(*[F.lit(dsl) for *_, dsl in targets]) if targets else F.array().cast("array<string>")
+    return known.withColumn("pipeline", F.get(chains, F.col("target"))).where("target IS NOT NULL")
 
 
 def changed(events: DataFrame, value: Column, key: str, order: list[str]) -> DataFrame:
