@@ -18,16 +18,19 @@ def stable(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the folder of spark.checkpoint.dir: its partitions and order then stay as they are."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="darkroom-"))
+        folder, local = context.getConf().get("spark.checkpoint.dir"), context.master == "local" or context.master.startswith("local[")
+        if not folder and not local:
+            raise ValueError(f"spark.checkpoint.dir is not set, and {context.master} needs a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="darkroom-"))
     return df.checkpoint()
 
 
-def numbered(files: DataFrame, first: int = 1) -> DataFrame:
-    """``files`` with ``ordinal``: consecutive numbers in the order of the path.
+def numbered(files: DataFrame, first: int = 1, order: str = "path") -> DataFrame:
+    """``files`` with ``ordinal``: consecutive numbers in the order of the path or another column.
 
     A range partitioning and per-partition counts number any amount of rows; no task sorts them all.
     """
-    ordered = stable(files.repartitionByRange(F.col("path")).sortWithinPartitions("path")).withColumn("_seq", F.monotonically_increasing_id())
+    ordered = stable(files.repartitionByRange(F.col(order)).sortWithinPartitions(order)).withColumn("_seq", F.monotonically_increasing_id())
     part = F.shiftright(F.col("_seq"), 33).alias("_part")
     counts = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition

@@ -42,7 +42,7 @@ def convert_heic(src: Column, dst: Column, factor: Column) -> Column:
 
 
 def convert_jxl(src: Column, dst: Column, factor: Column) -> Column:
-    return words(src, dst, ["-q"], dial.jxl_quality(factor).cast("string"), ["-e"], dial.jxl_effort(factor).cast("string"))
+    return words(["-q"], dial.jxl_quality(factor).cast("string"), ["-e"], dial.jxl_effort(factor).cast("string"), src, dst)
 
 
 def video_to_gif(src: Column, dst: Column, fps: Column, max_width: Column) -> Column:

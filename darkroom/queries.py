@@ -567,3 +567,6 @@ _KINDS = ["Image", "images", "VIDEO", "videos", "audio", "audios", "pdf", "other
 @_query(f"SELECT name, CASE lower(name) WHEN 'image' THEN 'image' WHEN 'images' THEN 'image' WHEN 'video' THEN 'video' WHEN 'videos' THEN 'video' WHEN 'audio' THEN 'audio' WHEN 'pdf' THEN 'pdf' END AS kind FROM (SELECT unnest([{_sql_list(_KINDS)}]) AS name)")
 def parse_kinds(spark, sf_dir):
     return spark.range(1).select(F.explode(F.array(*map(F.lit, _KINDS))).alias("name")).select("name", paths.parse_kind(C("name")).alias("kind"))
+
+
+from . import media_queries  # noqa: E402, F401  registers its queries here

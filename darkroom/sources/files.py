@@ -7,37 +7,48 @@ reports a file again when it has been written again. ``spark.dataSource.register
 
 from __future__ import annotations
 
+import contextlib
 import os
+import zlib
 from datetime import datetime, timezone
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, length long, mtime timestamp"
 
 
-def _row(path: str):
-    try:
-        s = os.stat(path)
-    except OSError:  # gone meanwhile
-        return None
-    return path, s.st_size, datetime.fromtimestamp(s.st_mtime_ns / 1e9, timezone.utc)
-
-
 def _below(folder: str, recursive: bool):
-    for entry in sorted(os.scandir(folder), key=lambda e: e.name):
-        if entry.is_dir(follow_symlinks=False):
-            if recursive:
-                yield from _below(entry.path, True)
-        elif entry.is_file():
-            yield entry.path
+    """Paths of files, one at a time, in no order."""
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            if entry.is_dir(follow_symlinks=False):
+                if recursive:
+                    yield from _below(entry.path, True)
+            elif entry.is_file():
+                yield entry.path
 
 
 class Part(InputPartition):
-    def __init__(self, paths: list[str], folder: str | None):
-        self.paths, self.folder = paths, folder
+    """A share of the files of a folder, by a hash of their names: those of share ``slice`` of ``of``."""
+
+    def __init__(self, folder: str, recursive: bool, slice: int = 0, of: int = 1, after: int = -1, until: int = 2**63 - 1):
+        self.folder, self.recursive, self.slice, self.of, self.after, self.until = folder, recursive, slice, of, after, until
+
+    def rows(self):
+        for path in _below(self.folder, self.recursive):
+            if self.of > 1 and zlib.crc32(os.fsencode(path)) % self.of != self.slice:
+                continue
+            try:
+                s = os.stat(path)
+            except OSError:  # gone meanwhile
+                continue
+            if self.after < s.st_mtime_ns <= self.until:
+                yield path, s.st_size, datetime.fromtimestamp(s.st_mtime_ns / 1e9, timezone.utc)
 
 
 class FileListing(DataSource):
+    """Options: ``path``, ``recursive`` (true), and ``slices`` (1), into how many parts each folder is dealt."""
+
     @classmethod
     def name(cls):
         return "darkroom_files"
@@ -48,49 +59,48 @@ class FileListing(DataSource):
     def reader(self, schema):
         return ListingReader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return ChangeReader(self.options)
 
 
-class ListingReader(DataSourceReader):
+class _Folders:
     def __init__(self, options):
         self.folder, self.recursive = options["path"].removeprefix("file://"), options.get("recursive", "true").lower() == "true"
+        self.slices = max(1, int(options.get("slices", "1")))
 
+    def parts(self, after: int = -1, until: int = 2**63 - 1) -> list[Part]:
+        """The folder's own files, and each folder in it; executors list them."""
+        folders = [(self.folder, False)]
+        if self.recursive:
+            with os.scandir(self.folder) as entries:
+                folders += sorted((e.path, True) for e in entries if e.is_dir(follow_symlinks=False))
+        return [Part(f, deep, i, self.slices, after, until) for f, deep in folders for i in range(self.slices)]
+
+
+class ListingReader(_Folders, DataSourceReader):
     def partitions(self):
-        """The folder's own files, and each folder in it, which executors list."""
-        folders = [e.path for e in os.scandir(self.folder) if e.is_dir(follow_symlinks=False)] if self.recursive else []
-        return [Part(list(_below(self.folder, False)), None), *(Part([], f) for f in sorted(folders))]
+        return self.parts()
 
     def read(self, partition):
-        for path in partition.paths if partition.folder is None else _below(partition.folder, True):
-            if row := _row(path):
-                yield row
+        yield from partition.rows()
 
 
-class ChangeReader(SimpleDataSourceStreamReader):
-    """Files written after the offset, a pair of time and path, in that order."""
-
-    def __init__(self, options):
-        self.folder, self.recursive = options["path"].removeprefix("file://"), options.get("recursive", "true").lower() == "true"
+class ChangeReader(_Folders, DataSourceStreamReader):
+    """Files written after the offset, a time. The driver looks for the latest time alone; executors list the files."""
 
     def initialOffset(self):
-        return {"at": 0, "path": ""}
+        return {"at": -1}
 
-    def _changes(self, start):
-        found = []
+    def latestOffset(self):
+        latest = -1
         for path in _below(self.folder, self.recursive):
-            try:
-                at = os.stat(path).st_mtime_ns
-            except OSError:
-                continue
-            if (at, path) > (start["at"], start["path"]):
-                found.append((at, path))
-        return sorted(found)
+            with contextlib.suppress(OSError):
+                latest = max(latest, os.stat(path).st_mtime_ns)
+        self.latest = max(latest, getattr(self, "latest", -1))  # a file that goes takes nothing back
+        return {"at": self.latest}
 
-    def read(self, start):
-        changes = self._changes(start)
-        end = {"at": changes[-1][0], "path": changes[-1][1]} if changes else start
-        return iter([r for _, p in changes if (r := _row(p))]), end
+    def partitions(self, start, end):
+        return self.parts(start["at"], end["at"])
 
-    def readBetweenOffsets(self, start, end):
-        return iter([r for at, p in self._changes(start) if (at, p) <= (end["at"], end["path"]) and (r := _row(p))])
+    def read(self, partition):
+        yield from partition.rows()

@@ -102,6 +102,67 @@ def test_listing_and_changes(spark, tmp_path):
     assert got == [("a.png", 1), ("a.png", 9), ("sub/b.png", 9)]
 
 
+def test_listing_in_slices(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for i in range(40):
+        (tmp_path / ("sub" if i % 2 else ".") / f"{i}.png").write_bytes(b"x")
+    spark.dataSource.register(FileListing)
+    rows = spark.read.format("darkroom_files").option("path", str(tmp_path)).option("slices", "3").load()
+    assert rows.rdd.getNumPartitions() == 6 and sorted(os.path.basename(r["path"]) for r in rows.collect()) == sorted(f"{i}.png" for i in range(40))
+
+
+def test_bmp_round_trips():
+    for n in (3, 4):
+        image = gradient(31, 17, n)
+        assert (images.decode_bmp(images.encode_bmp(image)) == image).all()
+        assert images.optimised(images.encode_bmp(image)) == images.encode_bmp(image)
+    with pytest.raises(images.Unsupported):
+        images.decode_bmp(b"BM" + bytes(60))
+
+
+def test_palettes_are_dithered():
+    image = gradient(64, 64)
+    back = images.decode(images.encode_palette(image, 16))
+    assert len(np.unique(back.reshape(-1, 3), axis=0)) <= 16
+    blocks = [x.reshape(8, 8, 8, 8, 3).mean((1, 3)) for x in (image.astype(float), back.astype(float))]
+    assert np.abs(blocks[0] - blocks[1]).mean() < 8  # the mean of a block stays about what it was
+    clear = images.decode(images.encode_palette(gradient(40, 40, 4), 32))
+    assert clear.shape == (40, 40, 4) and len(np.unique(clear.reshape(-1, 4), axis=0)) <= 32
+
+
+def test_the_smallest_format_wins():
+    png = images.encode(gradient(40, 30))
+    small = {"jpeg": lambda image, factor: b"j" * 7}
+    assert images.adapted(png, encoders=small) == ("jpeg", b"j" * 7)
+    assert images.adapted(images.encode(gradient(40, 30, 4)), encoders=small)[0] == "png"
+    assert images.adapted(images.encode_bmp(gradient(40, 30)))[0] == "png"
+    assert images.adapted(png, encoders={"jpeg": lambda image, factor: b""})[0] == "png"
+    least = images.adapted(png)[1]
+    assert images.adapted(least) == ("png", least)  # nothing smaller: the source
+
+
+def test_dct_pictures_and_pruning():
+    from darkroom.operators import pdf
+
+    assert pdf.is_dct_image(b"<< /Subtype /Image /Filter /DCTDecode >>") and pdf.is_dct_image(b"<< /Filter [ /FlateDecode /DCTDecode ] /Subtype/Image >>")
+    assert not pdf.is_dct_image(b"<< /Subtype /Form /Filter /DCTDecode >>") and not pdf.is_dct_image(b"<< /Subtype /Image /Filter /FlateDecode >>")
+    picture = b"\xff\xd8" + b"j" * 300
+    data = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] >>\nendobj\n3 0 obj\n<< /Type /Page /Parent 2 0 R /X 4 0 R >>\nendobj\n"
+    data += b"4 0 obj\n<< /Subtype /Image /Filter /DCTDecode /Length 302 >>\nstream\n" + picture + b"\nendstream\nendobj\n5 0 obj\n(" + b"lost" * 90 + b")\nendobj\ntrailer\n<< /Root 1 0 R >>\n"
+    plain, with_jpeg = pdf.recompressed(data), pdf.recompressed(data, lambda x: x[:50])
+    assert picture in plain and b"lost" not in plain and len(plain) < len(data)
+    assert picture not in with_jpeg and b"/Length 50" in with_jpeg and picture[:50] in with_jpeg
+    assert picture in pdf.recompressed(data, lambda x: x + b"more")  # not smaller: it stays
+
+
+def test_missing_folders_are_left_out(spark, tmp_path):
+    pipelines = spark.createDataFrame([], "name string, dsl string")
+    none = spark.createDataFrame([], "source string, file_type string, pipeline string")
+    with pytest.warns(UserWarning, match="not there"):
+        found = options.targets(none, pipelines, [str(tmp_path), str(tmp_path / "gone")], "optimise", os.path.isdir)
+    assert found == [(str(tmp_path), "all", "optimise")]
+
+
 def test_options_and_saved_pipelines(spark):
     assert options.load_config(None) == options.load_config("[1") == options.Config()
     saved = options.load_config('{"aggressive": true, "backup": false, "compression": "x"}')
