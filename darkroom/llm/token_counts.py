@@ -76,7 +76,11 @@ def counter(*args) -> ChunkedCounter:
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, chunk_chars: int = 32_768, overlap_chars: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row; null texts are empty, null and repeated ids stay as they are."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row; null texts are empty, null and repeated ids stay as they are.
+
+    A text of exactly ``limit`` tokens isn't over it. Texts over ``chunk_chars`` go in overlapping chunks, with the same
+    counts. An empty table gives no rows.
+    """
 
     def count(batches):
         for batch in batches:

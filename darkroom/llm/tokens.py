@@ -14,6 +14,9 @@ from .common import kept
 WHITE_SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+LONGEST = 64  # characters of a piece that is kept; longer ones are encoded anew each time, so that the cache is bounded in bytes
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -97,6 +100,8 @@ class PieceEncoder:
                 rest.append(k)
                 continue
             out[k] = ids
+            if len(k) > LONGEST:
+                continue
             at = hash(k) & 0x3FFFFF
             if seen[at]:
                 cache[k] = ids
@@ -107,7 +112,7 @@ class PieceEncoder:
             self.seen, self.met = bytearray(1 << 22), 0
         if rest:
             found = dict(zip(rest, self._piece_ids([k[0] if isinstance(k, tuple) else k if k[0] == "\n" else " " + k for k in rest])))
-            cache.update(found)
+            cache.update((k, ids) for k, ids in found.items() if len(k[0] if isinstance(k, tuple) else k) <= LONGEST)
             out.update(found)
         return out
 
@@ -121,6 +126,8 @@ class PieceEncoder:
         return b"".join([id_bytes[t.id] for t in self.model.tokenize(named)])
 
     def _literal(self, marks: str) -> bytes:
+        if len(marks) > LONGEST:
+            return self._piece_ids([marks])[0]
         if (marks,) not in self.cache:
             self.cache[(marks,)] = self._piece_ids([marks])[0]
         return self.cache[(marks,)]

@@ -25,7 +25,7 @@ def plain(bpe, text):
 def test_pieces_give_the_ids_of_the_whole_text(bpe):
     rng = random.Random(1)
     parts = ["a", "b1", "!", "'s", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\x85", "　", "\x1c", "é", "中", " ", "​", "word", ",", ".", "ª", "Ⅷ", "_", "<|endoftext|>", "\U0001f600"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + ["", "\n", " ", "x" * 5000]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + ["", "\n", " ", "x" * 5000, "a " + "!" * 900 + " b", "\nword" + "?" * 300, "é" * 200 + " " + "中" * 90]
     for lo in range(0, len(texts), 97):
         some = texts[lo : lo + 97]
         assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(some)] == [plain(bpe, t) for t in some]
