@@ -17,12 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, filesystem, id_and_text, kept, slices, written
+from .common import LOWER_TABLE, filesystem, id_and_text, kept, slices, spread_join, written
 
 U = np.uint64
 END = b"\xff"
-#: Texts with a string from which on its probability is broadcast to them.
-MANY = 50_000
 
 
 def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -354,10 +352,9 @@ def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: i
     rest = rest.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     others = scored.select("row", F.inline("others"))
     found = written(by_escape(written(others.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "asked"), strings, order), "found")
-    # a string that many texts hold would come to one task of the join: such strings are broadcast, a row at most for MANY of the others
-    met = others.join(F.broadcast(found.where(F.col("texts") > MANY).select("gram", F.col("log").alias("many_log"))), "gram", "left")
-    few = met.where("many_log IS NULL").join(found.where(F.col("texts") <= MANY), "gram").select("row", "times", "log")
-    more = met.where("many_log IS NOT NULL").select("row", "times", F.col("many_log").alias("log")).union(few).groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+    # a string that many texts hold is dealt over salts
+    met = spread_join(others, found.select("gram", "log"), "gram", "row", sizes=found.select("gram", F.col("texts").alias("n")))
+    more = met.groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
     out = scored.drop("tail", "others").join(rest, "row", "left").join(more, "row", "left")
     n_tokens = F.col("n_words") + 1
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.log10(F.lit(float(ends + 1)))
