@@ -74,6 +74,7 @@ def counted(training: DataFrame, order: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()) if words else pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()) if grams is None else pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], ["word", "gram", "n"])
 
     def count(batches):
+        kept(("counts",), dict)  # a model that an earlier task left in this worker goes
         words, grams = Counter(), Tally()
         for batch in batches:
             for _, texts in slices(batch, 2 << 20):
@@ -209,16 +210,18 @@ class Frequent:
     more frequent one stays, and the other is looked up in the sorted strings."""
 
     def __init__(self, gram: np.ndarray, n: np.ndarray, log: np.ndarray):
-        by = np.argsort(gram.view(U))
-        self.keys, self.logs = gram.view(U)[by], log[by]
-        self.bits = max(4, int(len(by) * 2).bit_length())
+        keys = gram.view(U)
+        self.bits = max(4, len(keys).bit_length())
         self.slot_keys = np.zeros(1 << self.bits, U)
         self.slot_keys[0] = 1  # an empty slot holds a string that belongs to another one
         self.slot_values = np.zeros(1 << self.bits, np.float32)
-        order = np.argsort(n[by], kind="stable")
-        slots = self._slots(self.keys)[order]
-        self.slot_keys[slots] = self.keys[order]
-        self.slot_values[slots] = self.logs[order]
+        order = np.argsort(n, kind="stable").astype(np.int32)
+        slots = self._slots(keys)[order]
+        self.slot_keys[slots] = keys[order]
+        self.slot_values[slots] = log[order]
+        del order, slots
+        by = np.argsort(keys).astype(np.int32)
+        self.keys, self.logs = keys[by], log[by]
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
@@ -271,19 +274,20 @@ def by_escape(asked: DataFrame, strings: DataFrame, order: int) -> DataFrame:
     return dealt.cogroup(asked.select(part, "gram", "texts").groupBy("part")).applyInArrow(score, "gram long, texts long, log double")
 
 
-def _read(uri: str) -> pa.Table:
+def _read(uri: str, columns: list[str] | None = None) -> pa.Table:
     import pyarrow.parquet as pq
 
     fs, path = filesystem(uri)
-    return pq.read_table(path, filesystem=fs)
+    return pq.read_table(path, columns=columns, filesystem=fs)
 
 
 def _loaded(grams: str, words: str) -> tuple[Frequent, dict]:
     """What a worker process looks up, kept from task to task."""
 
     def load():
-        g, w = _read(grams), _read(words)
-        model = Frequent(*(g.column(c).to_numpy() for c in ("gram", "n", "log")))
+        model = Frequent(*(_read(grams, [c]).column(c).to_numpy() for c in ("gram", "n", "log")))  # a column at a time, for memory's sake
+        w = _read(words)
+        pa.default_memory_pool().release_unused()
         return model, dict(zip(w.column("word").to_pylist(), np.log10(w.column("n").to_numpy() + 1.0).tolist()))
 
     return kept(("model", grams, words), load)
@@ -310,7 +314,7 @@ def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: i
     longest = strings.where(F.col("length") == order + 1)
     frequent = _least_count(longest, most_grams, 1)
     after = Window.partitionBy(F.shiftrightunsigned("gram", 8))  # the symbols after a context, 256 at most
-    log = (F.log10("n") - F.log10(F.sum("n").over(after) + F.count("n").over(after))).alias("log")
+    log = (F.log10("n") - F.log10(F.sum("n").over(after) + F.count("n").over(after))).cast("float").alias("log")
     grams = written(longest.select("gram", "n", log).where(F.col("n") >= frequent).repartition(8), "grams")
     often = _least_count(vocabulary, most_words, 1)
     head = written(vocabulary.where(F.col("n") >= often).repartition(4), "head")
