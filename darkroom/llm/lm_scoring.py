@@ -77,17 +77,17 @@ def counted(training: DataFrame, order: int) -> DataFrame:
         kept(("counts",), dict)  # a model that an earlier task left in this worker goes
         words, grams = Counter(), Tally()
         for batch in batches:
-            for _, texts in slices(batch, 2 << 20):
+            for _, texts in slices(batch, 1 << 20):
                 data = [t.encode() for t in texts]
                 grams.add(contexts(data, order)[0])
                 words.update(b"\n".join(data).translate(LOWER_TABLE).split())
                 words[b""] += len(data)
-                if len(words) > 400_000:
+                if len(words) > 200_000:
                     yield batch_of(list(words), None, list(words.values()))
                     words.clear()
-                if grams.held > 2_500_000:  # what a task holds is bounded; Spark adds up the rest
+                if grams.held > 1_200_000:  # what a task holds is bounded; Spark adds up the rest
                     keys, n = grams.merge()
-                    if grams.held > 1_500_000:
+                    if grams.held > 800_000:
                         yield batch_of(None, keys, n)
                         grams = Tally()
         if words:
