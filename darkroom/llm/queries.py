@@ -92,6 +92,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), components=32, scale=64, shift=1_000_000)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"), held_out=(4, 2))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"), k=40, dims=64, rounds=5, scale=256, seed=2)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_files": op2_token_files,
@@ -103,6 +121,9 @@ QUERIES = {
     "op8_url_reputation": op8_url_reputation,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_language_id": op12_language_id,
+    "op13_centroids": op13_centroids,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -111,6 +132,27 @@ _STRENGTH = """1e0 / least(0.5e0, greatest(1e0 / 1001, coalesce(
     (sum(n * pow(good / n - prior, 2) / (prior * (1 - prior))) FILTER (n > 0 AND prior > 0 AND prior < 1) - count(*) FILTER (n > 0 AND prior > 0 AND prior < 1))
     / nullif(sum(n - 1) FILTER (n > 0 AND prior > 0 AND prior < 1), 0), 0))) - 1"""
 
+
+def _rounds(rounds: int, k: int, scale: int, seed: int, dims: int) -> str:
+    """SQL of Lloyd's rounds: c0 holds the first centroids (c, j, z), a1 assigns, c1 has the next ones, and so on."""
+    parts = [f"""
+x AS MATERIALIZED (
+  SELECT vec_id, unnest(range(1, {dims + 1})) AS j, unnest(list_transform(embedding, lambda v: CAST(floor({scale} * CAST(v AS DOUBLE)) AS BIGINT))) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+f AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS INTEGER) AS c FROM (SELECT DISTINCT vec_id FROM x) QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, j, v AS z FROM f JOIN x USING (vec_id))"""]
+    for r in range(1, rounds + 2):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, c, distance FROM (SELECT vec_id, c, CAST(sum((v - z) * (v - z)) AS BIGINT) AS distance FROM x JOIN c{r - 1} USING (j) GROUP BY vec_id, c)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) = 1)""")
+        if r <= rounds:
+            parts.append(f"""
+s{r} AS (SELECT c, j, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN x USING (vec_id) GROUP BY c, j),
+c{r} AS MATERIALIZED (SELECT o.c, o.j, CASE WHEN n IS NULL THEN o.z ELSE CAST((s - ((s % n) + n) % n) / n AS BIGINT) END AS z FROM c{r - 1} AS o LEFT JOIN s{r} USING (c, j))""")
+    return ",".join(parts)
+
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -141,6 +183,12 @@ link AS (SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.do
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
 SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
 FROM reach JOIN documents ON doc_id = a LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op13_centroids": f"""
+WITH {_rounds(5, 40, 256, 2, 64).strip()},
+i AS (SELECT c, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a6 GROUP BY c),
+h AS (SELECT c, sha256(string_agg(CAST(z AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c5 GROUP BY c)
+SELECT vec_id, c AS cluster, distance, cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM a6) AS inertia, centroid_sha256
+FROM a6 JOIN i USING (c) JOIN h USING (c)""",
     "op8_url_reputation": f"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
