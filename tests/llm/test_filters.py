@@ -1,10 +1,12 @@
+import os
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from darkroom.llm import quality_classifier, quality_rules, url_reputation
+from darkroom.llm import quality_classifier, quality_rules, queries, url_reputation
 from darkroom.llm.common import crc_mod
 from darkroom.llm.queries import URL_RULES
 
@@ -82,7 +84,7 @@ def test_a_bound_on_rows_holds_for_an_id_that_repeats(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "IsolationForest", lambda rows, **k: seen.append(len(rows)) or forest(rows, **k))
     assert quality_classifier.classify(docs, one, held_out=None, most_rows=1).count() == 41
     assert quality_rules.judge(docs, one, most_rows=1, min_words=5).count() == 41
-    assert seen == [1, 1]
+    assert seen == [1, 1, 1]  # the fold's forest and the one that judges
 
 
 def test_kept_rows_against_brute_force(spark):
@@ -95,7 +97,7 @@ def test_kept_rows_against_brute_force(spark):
         t = texts[r["doc_id"]]
         words, lines = t.split(), [x for x in t.split("\n") if x.split()]
         w, c = max(len(words), 1), max(sum(map(len, words)), 1)
-        x = [sum(map(len, words)) / w, len(re.findall(r"[#*$%&|<>]", t)) / c, (len(lines) - len(set(lines))) / max(len(lines), 1), r["n_repeat_words"] / w, len(set(words)) / w, len(re.findall("[A-Z]", t)) / c, t.count("!") / w]
+        x = [np.log(0.005 + v) for v in (sum(map(len, words)) / w, len(re.findall(r"[#*$%&|<>]", t)) / c, (len(lines) - len(set(lines))) / max(len(lines), 1), r["n_repeat_words"] / w, len(set(words)) / w, len(re.findall("[A-Z]", t)) / c, t.count("!") / w)]
         length = 0.0
         for f, cut, left, right, leaf in forest.trees:
             node = 0
@@ -108,6 +110,36 @@ def test_kept_rows_against_brute_force(spark):
     assert bad >= 36  # of 40
 
 
+def test_threshold_is_set_by_forests_that_did_not_see_the_row(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, good = rng.normal(size=(53, 7)), rng.random(53) < 0.8
+    grown = []
+    forest = quality_rules.IsolationForest
+    monkeypatch.setattr(quality_rules, "IsolationForest", lambda rows, **k: grown.append(rows) or forest(rows, **k))
+    scores = quality_rules.cross_scores(x, good, x.min(0), x.max(0))
+    for k, rows in enumerate(grown):
+        assert {tuple(r) for r in rows} == {tuple(r) for i, r in enumerate(x) if good[i] and i % 5 != k}
+        assert np.allclose(scores[k::5], forest(rows, seed=13 + k, low=x.min(0), high=x.max(0)).score(x[k::5]))
+    assert len(grown) == 5
+    assert len(quality_rules.cross_scores(x[:2], np.array([False, True]), x.min(0), x.max(0))) == 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_of_the_query_and_held_out(spark):
+    """Labelled bad rows that pass the fixed limits: as the query judges them, and with half of the labels never seen."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL")
+    rows = queries.op5_quality_rules(spark, sf).join(labels, "doc_id").where("NOT base_failed").collect()
+    bad, good = [r for r in rows if r["quality"] == 0], [r for r in rows if r["quality"] == 1]
+    assert len(bad) >= 27 and sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
+    assert sum(not r["kept"] for r in good) <= 0.01 * len(good)
+    for half in (0, 1):
+        judged = quality_rules.judge(docs, labels.where(f"pmod(xxhash64(doc_id), 2) = {half}"))
+        rows = judged.join(labels.where(f"pmod(xxhash64(doc_id), 2) <> {half}"), "doc_id").where("NOT base_failed").collect()
+        bad, good = [r for r in rows if r["quality"] == 0], [r for r in rows if r["quality"] == 1]
+        assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad) and sum(not r["kept"] for r in good) <= 0.02 * len(good)
+
+
 def test_classifier_against_brute_force(spark):
     """Vectors, pooling and the network's answer by plain loops."""
     texts = ["Red green, blue!!", "green blue RED", "", "one one two (three)", "x" * 300 + " end."] * 4
