@@ -78,11 +78,11 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the row of ``labels`` with its id: good if of quality and not toxic."""
+    """A page's outcome is the row of ``labels`` with its id: good if of quality and not toxic. ``rate`` and ``p_low`` are rounded."""
     from .url_reputation import judge_urls
 
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 WHEN quality IS NOT NULL THEN 0 END").alias("good"))
-    return judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("rate", 6).alias("rate"), F.round("p_low", 6).alias("p_low"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +128,7 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_ADDRESS = "^(?:\\d{1,3}(?:\\.\\d{1,3}){3}|\\[.*\\])$"
 _STRENGTH = """1e0 / least(0.5e0, greatest(1e0 / 1001, coalesce(
     (sum(n * pow(good / n - prior, 2) / (prior * (1 - prior))) FILTER (n > 0 AND prior > 0 AND prior < 1) - count(*) FILTER (n > 0 AND prior > 0 AND prior < 1))
     / nullif(sum(n - 1) FILTER (n > 0 AND prior > 0 AND prior < 1), 0), 0))) - 1"""
@@ -193,12 +194,16 @@ FROM a6 JOIN i USING (c) JOIN h USING (c)""",
 WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-d AS (SELECT *, coalesce(nullif(regexp_extract(host, '([^.]+\\.(?:(?:ac|co|com|edu|gov|net|org)\\.[a-z][a-z]|[^.]+))$', 1), ''), host) AS domain FROM u),
-f AS (SELECT *, regexp_extract(domain, '^[^.]*\\.(.*)$', 1) AS suffix FROM d),
+m AS (SELECT *, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':\\d*$', ''), '.') AS name FROM u),
+d AS (
+  SELECT *, regexp_matches(name, '{_ADDRESS}') AS address,
+    CASE WHEN regexp_matches(name, '{_ADDRESS}') THEN name
+      ELSE coalesce(nullif(regexp_extract(name, '([^.]+\\.(?:(?:ac|co|com|edu|gov|net|org)\\.[a-z][a-z]|[^.]+))$', 1), ''), name) END AS domain FROM m),
+f AS (SELECT *, CASE WHEN address THEN '' ELSE regexp_extract(domain, '^[^.]*\\.(.*)$', 1) END AS suffix FROM d),
 o AS (
   SELECT doc_id AS page_id, CAST(sum(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS good, CAST(count(*) AS DOUBLE) AS n
   FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, domain, suffix, coalesce(sum(good), 0) AS good, coalesce(sum(n), 0) AS n FROM f LEFT JOIN o USING (page_id) GROUP BY ALL),
+h AS (SELECT name, domain, suffix, coalesce(sum(good), 0) AS good, coalesce(sum(n), 0) AS n FROM f LEFT JOIN o USING (page_id) GROUP BY ALL),
 g AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(g.good) AS good, sum(g.n) AS n, (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM h) AS prior FROM g GROUP BY suffix),
 ss AS (SELECT {_STRENGTH} AS m FROM s),
@@ -206,20 +211,21 @@ g2 AS (SELECT g.*, (ss.m * s.prior + s.good) / (ss.m + s.n) AS prior FROM g JOIN
 gs AS (SELECT {_STRENGTH} AS m FROM g2),
 h2 AS (SELECT h.*, (gs.m * g2.prior + g2.good) / (gs.m + g2.n) AS prior FROM h JOIN g2 USING (domain, suffix), gs),
 hs AS (SELECT {_STRENGTH} AS m FROM h2),
-ab AS (SELECT host, hs.m * prior + good AS a, hs.m * (1 - prior) + n - good AS b FROM h2, hs),
-z AS (SELECT host, a, b, (0.5e0 - a / (a + b)) / sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS z FROM ab),
+ab AS (SELECT name, hs.m * prior + good AS a, hs.m * (1 - prior) + n - good AS b FROM h2, hs),
+z AS (SELECT name, a, b, (0.5e0 - a / (a + b)) / sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS z FROM ab),
 t AS (
-  SELECT host, a, b, z, exp(sum(ln(0.5e0 * (a + b + k) / (a + 1 + k))) OVER w) AS below, exp(sum(ln(0.5e0 * (a + b + k) / (b + 1 + k))) OVER w) AS above
-  FROM z, unnest(range(0, 400)) AS s(k) WINDOW w AS (PARTITION BY host ORDER BY k)),
+  SELECT name, a, b, z, exp(sum(ln(0.5e0 * (a + b + k) / (a + 1 + k))) OVER w) AS below, exp(sum(ln(0.5e0 * (a + b + k) / (b + 1 + k))) OVER w) AS above
+  FROM z, unnest(range(0, 400)) AS s(k) WINDOW w AS (PARTITION BY name ORDER BY k)),
 up AS (
-  SELECT host, CASE WHEN a + b <= 500 THEN (1 + sum(below)) / a / ((1 + sum(below)) / a + (1 + sum(above)) / b)
-    ELSE 1 / (1 + exp(-(1.5976e0 * z + 0.07056e0 * pow(z, 3)))) END AS p_low FROM t GROUP BY host, a, b, z),
+  SELECT name, a / (a + b) AS rate, CASE WHEN a + b <= 500 THEN (1 + sum(below)) / a / ((1 + sum(below)) / a + (1 + sum(above)) / b)
+    ELSE 1 / (1 + exp(-(1.5976e0 * z + 0.07056e0 * pow(z, 3)))) END AS p_low FROM t GROUP BY name, a, b, z),
 r AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN p_low > 0.95 THEN 'block' ELSE 'allow' END AS verdict
-FROM r LEFT JOIN up USING (host)""",
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM m)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN p_low > 0.95 THEN 'block' ELSE 'allow' END AS verdict,
+  round(rate, 6) AS rate, round(p_low, 6) AS p_low
+FROM r LEFT JOIN up USING (name)""",
 }

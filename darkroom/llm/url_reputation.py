@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, spread_join, written
 
 #: Labels under which two-letter country suffixes register names.
 SECOND_LEVEL = "ac|co|com|edu|gov|net|org"
@@ -21,15 +21,24 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "://[^/?#]*([^?#]*)", 1)
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: a host without dots is its own."""
-    found = F.regexp_extract(host, REGISTERED, 1)
-    return F.when(found == "", host).otherwise(found)
+#: An address of numbers, or one in brackets.
+ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\])$"
+
+
+def name_of(host: Column) -> Column:
+    """The host without user name, port and final dots: what its reputation goes by."""
+    return F.rtrim(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", ""), F.lit("."))
+
+
+def domain_of(name: Column) -> Column:
+    """The registered domain; a name without dots and an address are their own."""
+    found = F.regexp_extract(name, REGISTERED, 1)
+    return F.when(name.rlike(ADDRESS) | (found == ""), name).otherwise(found)
 
 
 def suffix_of(domain: Column) -> Column:
-    """What follows the first dot; empty if there is none."""
-    return F.regexp_extract(domain, r"^[^.]*\.(.*)$", 1)
+    """What follows the first dot; empty if there is none, and for an address."""
+    return F.when(domain.rlike(ADDRESS), "").otherwise(F.regexp_extract(domain, r"^[^.]*\.(.*)$", 1))
 
 
 def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -75,20 +84,22 @@ def beta_below(a: Column, b: Column, x: float) -> Column:
     return F.when(a + b <= LARGE, below / (below + above)).otherwise(1 / (1 + F.exp(-(1.5976 * z + 0.07056 * F.pow(z, F.lit(3))))))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, min_rate: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(host, rate, p_low): the posterior mean of the rate of good pages of each host, and how likely it is below ``min_rate``.
+def host_reputation(pages: DataFrame, outcomes: DataFrame, min_rate: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(name, rate, p_low): the posterior mean of the rate of good pages of each host name, and how likely it is below ``min_rate``;
+    and (name, n): how many pages each has.
 
-    ``outcomes`` is (page_id, good 0/1, n outcomes counted). Rates shrink from the host to its registered
-    domain, to the suffix, to all: each level's posterior mean is the prior mean of the level below. A host
-    without outcomes takes its domain's prior, and if there are no outcomes at all the rate is one half.
+    ``pages`` is (page_id, name), ``outcomes`` (page_id, good, n): good ones among n counted. Rates shrink from the name to its
+    registered domain, to the suffix, to all: each level's posterior mean is the prior mean of the level below. A name
+    without outcomes takes its domain's prior, and if there are no outcomes at all the rate is one half. Pages are counted by id and name before
+    they meet their outcomes, and ids that many names share are dealt over salts.
     """
-    host = host_of(F.col(url_col))
-    labelled = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host")).join(outcomes, "page_id", "left")
-    hosts = written(
-        labelled.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"))
-        .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain"))),
-        "hosts",
-    )
+    counted = written(pages.groupBy("page_id", "name").agg(F.count(F.lit(1)).alias("pages")), "pages")
+    known = spread_join(counted.where("page_id IS NOT NULL"), outcomes, "page_id", "name")
+    known = known.select("name", F.lit(0).cast("long").alias("pages"), (F.col("pages") * F.col("good")).alias("good"), (F.col("pages") * F.col("n")).alias("n"))
+    nothing = F.lit(0).cast("long")
+    both = counted.select("name", "pages", nothing.alias("good"), nothing.alias("n")).unionByName(known)
+    hosts = both.groupBy("name").agg(F.sum("pages").alias("pages"), F.sum("good").cast("double").alias("good"), F.sum("n").cast("double").alias("n"))
+    hosts = written(hosts.withColumn("domain", domain_of(F.col("name"))).withColumn("suffix", suffix_of(F.col("domain"))), "hosts")
     sums = F.sum("good").alias("good"), F.sum("n").alias("n")
     domains = hosts.groupBy("suffix", "domain").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
@@ -100,21 +111,25 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, min_rate: float = 0.5
         nodes = children.join(parents, level)
     strength = _strength(nodes)
     a, b = F.expr(f"{strength!r}D * prior + good"), F.expr(f"{strength!r}D * (1 - prior) + n - good")
-    out = nodes.select("host", a.alias("a"), b.alias("b"))
-    return out.select("host", F.expr("a / (a + b)").alias("rate"), beta_below(F.col("a"), F.col("b"), min_rate).alias("p_low"))
+    out = nodes.select("name", a.alias("a"), b.alias("b"))
+    rated = out.select("name", F.expr("a / (a + b)").alias("rate"), beta_below(F.col("a"), F.col("b"), min_rate).alias("p_low"))
+    return rated, hosts.select("name", F.col("pages").alias("n"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], min_rate: float = 0.5, level: float = 0.95, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, rate, p_low) of every row.
 
     The longest rule that fits decides; else a host is blocked if its rate of good pages is below ``min_rate`` with a
-    posterior probability of over ``level``, so that the upper bound of the rate at that level is below it. Null urls have empty host and path and share the reputation of the empty host;
-    null and repeated ids stay as they are, and an id with several outcomes counts each. An empty table gives no rows.
+    posterior probability of over ``level``, so that the upper bound of the rate at that level is below it; a host exactly at ``level`` is allowed.
+    Hosts that differ in user name, port or final dots alone share one reputation; addresses have no domain but themselves. Null
+    urls have empty host and path and share the reputation of the empty host; null and repeated ids stay as they are, a repeated row
+    counts each time, and an id with several outcomes counts each. Urls of any length are read whole. An empty table gives no rows.
     """
     counted = outcomes.where("page_id IS NOT NULL AND good IS NOT NULL").groupBy("page_id").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n"))
-    reputation = host_reputation(pages, counted, min_rate, id_col, url_col)
-    parts = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    host = host_of(F.col(url_col))
+    parts = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("name", name_of(F.col("host")))
+    reputation, sizes = host_reputation(parts.select("page_id", "name"), counted, min_rate)
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
-    judged = parts.withColumns({"rule": rule, "action": action}).join(reputation, "host", "left")
+    judged = spread_join(parts.withColumns({"rule": rule, "action": action}), reputation, "name", "path", "left", sizes=sizes)
     verdict = F.coalesce("action", F.when(F.col("p_low") > level, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "rate", "p_low")

@@ -2,6 +2,7 @@ import os
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -225,6 +226,43 @@ def test_url_rules_and_reputation(spark):
     assert {r["rate"] for r in url_reputation.judge_urls(pages, outcomes.limit(0), URL_RULES).collect()} == {0.5}
 
 
+def test_names_domains_and_suffixes(spark):
+    cases = {
+        "a.b.co.uk:80": ("a.b.co.uk", "b.co.uk", "co.uk"), "shop.com:8080": ("shop.com", "shop.com", "com"), "user:pw@www.shop.com": ("www.shop.com", "shop.com", "com"), "www.evil.com.": ("www.evil.com", "evil.com", "com"),
+        "192.168.0.1": ("192.168.0.1", "192.168.0.1", ""), "10.9.0.1:8080": ("10.9.0.1", "10.9.0.1", ""), "[2001:db8::1]:443": ("[2001:db8::1]", "[2001:db8::1]", ""), "localhost": ("localhost", "localhost", ""),
+        "": ("", "", ""), "...": ("", "", ""), "x.y.z.org.:80": ("x.y.z.org", "z.org", "org"), "1.2.3.com": ("1.2.3.com", "3.com", "com"),
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "host string").withColumn("name", url_reputation.name_of(F.col("host")))
+    frame = frame.withColumn("domain", url_reputation.domain_of(F.col("name"))).withColumn("suffix", url_reputation.suffix_of(F.col("domain")))
+    assert {r["host"]: (r["name"], r["domain"], r["suffix"]) for r in frame.collect()} == cases
+
+
+def test_query_where_reputation_blocks(spark, tmp_path):
+    """The query and its SQL on pages of good and bad hosts, most of them on one; ids repeat, are null or have no outcome."""
+    rng = np.random.default_rng(4)
+    hosts = ["bad.com", "bad.com:8080", "me@bad.com.", "www.bad.com", "good.org", "a.good.org", "10.0.0.1", "10.0.0.2", "other.co.uk", "new.co.uk", "", "x.net"]
+    rows, labels = [], []
+    for i in range(3000):
+        host = hosts[0] if i % 3 == 0 else hosts[int(rng.integers(len(hosts)))]
+        rows.append((None if i % 17 == 0 else i - i % 5 if i % 11 == 0 else i, None if i % 101 == 0 else f"http://{host}/p{i % 7}", "x"))
+        low = "bad" in host or host == "10.0.0.1"
+        if i % 2 and host != "new.co.uk":
+            labels.append((i, int(rng.random() < (0.1 if low else 0.9)), int(rng.random() < 0.02)))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels + labels[:9], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op8_url_reputation(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES['op8_url_reputation']})").fetchall()
+    order = lambda rows: sorted([tuple(r) for r in rows], key=str)
+    for a, b in zip(order(got.collect()), order(want), strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 2e-6 and abs(a[6] - b[6]) < 2e-6
+    verdict = {r["host"]: r["verdict"] for r in got.where("rule IS NULL").collect()}
+    assert all(verdict[h] == ("block" if "bad" in h or h == "10.0.0.1" else "allow") for h in verdict)
+    assert {r["rate"] for r in got.where("host IN ('bad.com', 'bad.com:8080', 'me@bad.com.')").collect()} == {r["rate"] for r in got.where("host = 'bad.com'").collect()}
+
+
 def test_beta_law(spark):
     cases = [(0.2, 0.3), (1.0, 1.0), (2.5, 7.0), (30.0, 60.5), (200.0, 260.0), (3000.0, 3100.0), (1.0, 999.0), (480.0, 1.5)]
     frame = spark.createDataFrame(cases, "a double, b double")
