@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, spread_join, written
+from .common import ascii_lower, gathered, spread_join, written
 
 #: Fixed value: what separates words, as the contract states it.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -67,22 +67,22 @@ def contained_windows(docs: DataFrame, windows: DataFrame, keep: list[str], most
     """
     shingles = windows.select("window_id", "words", "length", "size", F.posexplode(F.expr("sequence(0, length - size)")).alias("i", "offset"))
     hashed = F.coalesce(*[F.when(F.col("size") == k, _shingle("words", "offset", k)) for k in range(1, SHINGLE + 1)])
-    shingles = written(shingles.select("window_id", F.concat_ws(" ", "words").alias("window"), "length", "size", "offset", hashed.alias("shingle")), "shingles")
+    shingles = written(gathered(shingles.select("window_id", F.concat_ws(" ", "words").alias("window"), "length", "size", "offset", hashed.alias("shingle"))), "shingles")
     sizes = sorted(r[0] for r in shingles.select("size").distinct().collect())  # SHINGLE rows at most
     if not sizes:
         return docs.select(*keep, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("window_id")).limit(0)
     few = shingles.count() <= most_broadcast
-    names = written(shingles.select("shingle", "size").distinct(), "shingle-names")
+    names = shingles.select("shingle", "size").distinct()
     places = _places(docs, [], sizes).select("shingle", "size")
     if few:
         counts = places.join(F.broadcast(names), ["shingle", "size"]).groupBy("shingle", "size").count()
     else:
         counts = places.groupBy("shingle", "size").count().join(names, ["shingle", "size"])
-    counts = written(counts, "shingle-counts")
+    counts = written(gathered(counts) if few else counts, "shingle-counts")
     rarity = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "shingle", "offset")
     ranked = shingles.join(counts, ["shingle", "size"], "left").withColumn("rank", F.row_number().over(rarity))
     # a window whose rarest shingle is in no document is in none either
-    prefixes = written(ranked.where("rank = 1 AND count > 0").select("window_id", "window", "length", "offset", "shingle", "size"), "prefixes")
+    prefixes = written(gathered(ranked.where("rank = 1 AND count > 0").select("window_id", "window", "length", "offset", "shingle", "size")), "prefixes")
     bounds = F.expr("at >= offset AND at - offset + length <= n_words")
     start = (F.col("at") - F.col("offset")).alias("start")
     same = ascii_lower(F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("length")))) == F.col("window")
