@@ -112,20 +112,23 @@ def _least_count(counts: DataFrame, most: int, floor: int) -> int:
 
 
 class PartialMatching:
-    """The trie as sorted arrays, one for each length of string, from (length, gram, n)."""
+    """The trie as sorted arrays, one for each length of string, from (length, gram, n).
 
-    def __init__(self, length: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int):
-        self.order, self.keys, self.counts = order, [], []
-        for k in range(1, order + 2):
-            own = np.flatnonzero(length == k)
+    With ``base``, a trie of the shorter strings, its arrays are taken over as they are and only longer ones are sorted.
+    """
+
+    def __init__(self, length: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int, base: PartialMatching | None = None):
+        lists = ("keys", "counts", "contexts", "start", "escape", "excluded", "totals", "kinds")
+        for name in lists:
+            setattr(self, name, list(getattr(base, name)) if base else [])
+        self.order = order
+        for j in range(len(self.keys), order + 1):  # strings of j + 1 bytes, contexts of j
+            own = np.flatnonzero(length == j + 1)
             keys = gram[own].view(U)
             by = np.argsort(keys)
-            self.keys.append(keys[by])
-            self.counts.append(n[own][by].astype(float))
-        self.contexts, self.start, self.escape, self.excluded = [], [], [], []
-        total, kinds = [], []
-        for j in range(order + 1):  # contexts of j bytes
-            keys, counts = self.keys[j], self.counts[j]
+            keys, counts = keys[by], n[own][by].astype(float)
+            self.keys.append(keys)
+            self.counts.append(counts)
             above = keys >> U(8)
             first = np.flatnonzero(np.concatenate(([True], above[1:] != above[:-1]))) if len(keys) else np.zeros(0, np.int64)
             size = np.add.reduceat(counts, first) if len(keys) else np.zeros(0)
@@ -133,47 +136,23 @@ class PartialMatching:
             self.contexts.append(above[first])
             self.start.append(np.log10(size + kind))
             self.escape.append(np.log10(kind) - np.log10(size + kind))
-            total.append(size)
-            kinds.append(kind)
+            self.totals.append(size)
+            self.kinds.append(kind)
             if j and len(keys):  # what is left in the next shorter context without the symbols seen here
                 mask = U((1 << 8 * j) - 1)
                 lower = self.counts[j - 1][np.searchsorted(self.keys[j - 1], keys & mask)]
                 shorter = np.searchsorted(self.contexts[j - 1], self.contexts[j] & U((1 << 8 * (j - 1)) - 1))
-                left = total[j - 1][shorter] - np.add.reduceat(lower, first)
-                new = kinds[j - 1][shorter] - kind
+                left = self.totals[j - 1][shorter] - np.add.reduceat(lower, first)
+                new = self.kinds[j - 1][shorter] - kind
                 whole = np.log10(np.maximum(left + new, 1))
                 self.excluded.append((whole, np.where(new > 0, np.log10(np.maximum(new, 1)) - whole, 0.0)))
             else:
                 self.excluded.append((np.zeros(len(first)), np.zeros(len(first))))
         self.log_counts = [np.log10(c) for c in self.counts]
         self.uniform = -np.log10(max(256 - len(self.keys[0]), 1))
-        self._index()
-
-    def _index(self) -> None:
-        """A table by hash of the longest strings' log probabilities; where two meet, the more frequent one stays,
-        and the other is found as rarer strings are."""
-        keys, counts = self.keys[-1], self.counts[-1]
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        self.slot_keys = np.full(1 << self.bits, 2**64 - 1, U)
-        self.slot_values = np.zeros(1 << self.bits, np.float32)
-        if len(keys):
-            at = np.searchsorted(self.contexts[-1], keys >> U(8))
-            order = np.argsort(counts, kind="stable")
-            slots = self._slots(keys)[order]
-            self.slot_keys[slots] = keys[order]
-            self.slot_values[slots] = (self.log_counts[-1] - self.start[-1][at])[order]
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        slots = self._slots(keys)
-        out = self.slot_values[slots].astype(float)
-        rest = np.flatnonzero(self.slot_keys[slots] != keys)
-        out[rest] = self._by_escape(keys[rest])
-        return out
-
-    def _by_escape(self, keys: np.ndarray) -> np.ndarray:
+        """Of each string of ``order`` + 1 bytes that of its last byte after the others, escapes counted in."""
         out, so_far = np.zeros(len(keys)), np.zeros(len(keys))
         longer = np.full(len(keys), -1)  # place of the context that was left, one byte longer
         open_ = np.arange(len(keys))
@@ -214,7 +193,7 @@ class Frequent:
         self.bits = max(4, len(keys).bit_length())
         self.slot_keys = np.zeros(1 << self.bits, U)
         self.slot_keys[0] = 1  # an empty slot holds a string that belongs to another one
-        self.slot_values = np.zeros(1 << self.bits, np.float32)
+        self.slot_values = np.zeros(1 << self.bits)
         order = np.argsort(n, kind="stable").astype(np.int32)
         slots = self._slots(keys)[order]
         self.slot_keys[slots] = keys[order]
@@ -229,7 +208,7 @@ class Frequent:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log probabilities, 0 where there is none; places where there is none)."""
         slots = self._slots(keys)
-        out = self.slot_values[slots].astype(float)
+        out = self.slot_values[slots]
         rest = np.flatnonzero(self.slot_keys[slots] != keys)
         out[rest] = 0.0
         if len(self.keys):
@@ -265,9 +244,9 @@ def by_escape(asked: DataFrame, strings: DataFrame, order: int) -> DataFrame:
     def score(own, wanted):
         if not wanted.num_rows:
             return pa.table({"gram": pa.array([], pa.int64()), "texts": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
-        few = kept(("short", short_dir), lambda: [_read(short_dir).column(c).to_numpy() for c in columns])
-        model = PartialMatching(*(np.concatenate([x, own.column(c).to_numpy()]) for x, c in zip(few, columns)), order)
-        logs = model._by_escape(wanted.column("gram").to_numpy().view(U))
+        base = kept(("short", short_dir), lambda: PartialMatching(*(_read(short_dir).column(c).to_numpy() for c in columns), min(order, 2)))
+        model = PartialMatching(*(own.column(c).to_numpy() for c in columns), order, base)
+        logs = model.log_probabilities(wanted.column("gram").to_numpy().view(U))
         return pa.table({"gram": wanted.column("gram"), "texts": wanted.column("texts"), "log": pa.array(logs)})
 
     dealt = strings.where("length > 3").select(part, F.col("length").cast("long").alias("length"), "gram", "n").groupBy("part")
@@ -293,7 +272,7 @@ def _loaded(grams: str, words: str) -> tuple[Frequent, dict]:
     return kept(("model", grams, words), load)
 
 
-def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: int = 8_000_000, most_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: int = 4_000_000, most_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, learning from rows where ``train_where``.
 
     Null texts are empty: one token, their end. Repeated rows are learnt from and scored each; null ids stay null and
@@ -314,7 +293,7 @@ def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: i
     longest = strings.where(F.col("length") == order + 1)
     frequent = _least_count(longest, most_grams, 1)
     after = Window.partitionBy(F.shiftrightunsigned("gram", 8))  # the symbols after a context, 256 at most
-    log = (F.log10("n") - F.log10(F.sum("n").over(after) + F.count("n").over(after))).cast("float").alias("log")
+    log = (F.log10("n") - F.log10(F.sum("n").over(after) + F.count("n").over(after))).alias("log")
     grams = written(longest.select("gram", "n", log).where(F.col("n") >= frequent).repartition(8), "grams")
     often = _least_count(vocabulary, most_words, 1)
     head = written(vocabulary.where(F.col("n") >= often).repartition(4), "head")
