@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,23 +46,18 @@ def sample_key(content: Column, width: Column, height: Column) -> Column:
 
 
 def debounced(events: DataFrame, gap: str = "500 milliseconds", time: str = "event_time") -> DataFrame:
-    """(start, end, paths, n_events): a batch for each run of events of any path that no quiet time of ``gap`` breaks.
+    """(start, end, path, n_events): the paths of each run of events of any path that no quiet time of ``gap`` breaks.
 
-    The quiet time is global, as one channel has it. Works on tables and, with a watermark on ``time``, on streams, where
-    a session without a key isn't allowed: hence one that is always 0, and which the optimizer can't fold away. On
-    tables the runs are found as in ``debounced_counts``; ``paths`` holds a run's paths in one array, which that avoids.
+    The quiet time is global, as one channel has it. A run has a row for each of its paths and no array of them, and no task
+    holds a whole run. For streams see ``state.QuietBatches``, which does the same over micro-batches, and ``timers.settled``.
     """
-    if not events.isStreaming:
-        by_path = _by_session_and_path(events, gap, time)
-        return by_path.groupBy("start").agg(_end(gap), F.sort_array(F.collect_list("path")).alias("paths"), F.sum("n").alias("n_events"))
-    window = F.session_window(F.col(time), gap)
-    grouped = events.groupBy(window, F.pmod(F.hash("path"), F.lit(1)).alias("all")).agg(F.sort_array(F.collect_set("path")).alias("paths"), F.count(F.lit(1)).alias("n_events"))
-    return grouped.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "paths", "n_events")
+    by_path = by_session_and_path(events, gap, time)
+    return by_path.join(by_path.groupBy("start").agg(_end(gap)), "start").select("start", "end", "path", F.col("n").alias("n_events"))
 
 
 def debounced_counts(events: DataFrame, gap: str = "500 milliseconds", time: str = "event_time") -> DataFrame:
     """(start, end, n_events, n_paths, first_path) of the runs of a table, of any length: no task or array holds a whole run."""
-    by_path = _by_session_and_path(events, gap, time)
+    by_path = by_session_and_path(events, gap, time)
     return by_path.groupBy("start").agg(_end(gap), F.sum("n").alias("n_events"), F.count("path").alias("n_paths"), F.min("path").alias("first_path"))
 
 
@@ -73,7 +65,7 @@ def _end(gap: str) -> Column:
     return (F.max("last") + F.expr(f"INTERVAL '{gap}'")).alias("end")
 
 
-def _by_session_and_path(events: DataFrame, gap: str, time: str) -> DataFrame:
+def by_session_and_path(events: DataFrame, gap: str, time: str) -> DataFrame:
     """(start, path, n, last): the events of a path in the run that begins at ``start``, and the last one's time.
 
     Times are dealt by range; a part takes over the last time and the last start of those before it, so that no
@@ -101,33 +93,6 @@ def unseen(events: DataFrame, time: str = "event_time") -> DataFrame:
     return events.withColumn("_seen", F.max("mtime").over(before)).where("_seen IS NULL OR mtime > _seen").drop("_seen")
 
 
-def unseen_live(events: DataFrame) -> DataFrame:
-    """``unseen`` for a stream of (path, mtime, ..): the latest mtime of each path is state, kept over restarts."""
-
-    def fresh(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for frame in frames:
-            keep = []
-            for i, at in enumerate(frame["mtime"]):
-                now = int(pd.Timestamp(at).value) // 1000
-                if last is None or now > last:
-                    last = now
-                    keep.append(i)
-            yield frame.iloc[keep]
-        if last is not None:
-            state.update((last,))
-
-    return events.groupBy("path").applyInPandasWithState(fresh, events.schema, "last long", "append", "NoTimeout")
-
-
-def start(events: DataFrame, targets: list[tuple[str, str, str]], handle: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts the watch: files that changed, each with its first target's pipeline, go to ``handle`` batch by batch.
-
-    A batch that fails is handed over again on restart, so that failures are tried again; stop() ends it.
-    """
-    return routed(unseen_live(watchable(events)), targets).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).start()
-
-
 def type_matches(file_type: Column, of: Column) -> Column:
     """Unknown and empty types match everything."""
     return F.when(file_type.isin("image", "video", "audio", "pdf"), of == file_type).otherwise(F.lit(True))

@@ -109,7 +109,7 @@ def test_scan_and_png_header(spark, tmp_path):
 def test_watch_rules(spark):
     rows = [(1, "/in/a.png", 0.0, 1), (2, "/in/b.png", 0.4, 1), (3, "/in/.c.png", 0.5, 1), (4, "/in/a.png", 2.0, 1), (5, "/in/a.png", 3.0, 5)]
     events = spark.createDataFrame(rows, "event_id int, path string, t double, mtime int").withColumn("event_time", F.col("t").cast("timestamp"))
-    assert sorted(r["n_events"] for r in watch.debounced(events).collect()) == [1, 1, 3]
+    assert sorted((r["path"], r["n_events"]) for r in watch.debounced(events).collect()) == [("/in/.c.png", 1), ("/in/a.png", 1), ("/in/a.png", 1), ("/in/a.png", 1), ("/in/b.png", 1)]
     assert sorted(r["event_id"] for r in watch.unseen(events).collect()) == [1, 2, 3, 5]
     routed = watch.routed(events, [("/inn", "all", "x"), ("/in", "video", "y"), ("/in", "image", "z")])
     assert {r["pipeline"] for r in routed.collect()} == {"z"} and routed.count() == 4
@@ -127,20 +127,11 @@ def test_debounce_deals_a_run_over_tasks(spark):
         last = x
     want = sorted((len(r), sorted(set(r) - {None})) for r in runs)
     got = watch.debounced(events).collect()
-    assert sorted((r["n_events"], r["paths"]) for r in got) == want
+    of = {s: [r for r in got if r["start"] == s] for s in {r["start"] for r in got}}
+    assert sorted((sum(r["n_events"] for r in own), sorted({r["path"] for r in own} - {None})) for own in of.values()) == want
     counts = watch.debounced_counts(events)
     assert sorted((r["n_events"], r["n_paths"], r["first_path"] or "") for r in counts.collect()) == sorted((n, len(p), min(p, default="")) for n, p in want)
     assert {(r["start"], r["end"]) for r in counts.collect()} == {(r["start"], r["end"]) for r in got}
-    dealt = watch._by_session_and_path(events, "500 milliseconds", "event_time")
+    dealt = watch.by_session_and_path(events, "500 milliseconds", "event_time")
     assert dealt.where("n > 0").count() == sum(len(set(r)) for r in runs)
     assert watch.debounced_counts(events.limit(0)).count() == 0
-
-
-def test_debounce_on_a_stream(spark, tmp_path):
-    rows = [(f"/in/{i}.png", float(t)) for i, t in enumerate((0, 0.2, 5, 5.3, 60))]
-    spark.createDataFrame(rows, "path string, t double").withColumn("event_time", F.col("t").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("path string, t double, event_time timestamp").parquet(str(tmp_path / "in")).withWatermark("event_time", "1 second")
-    query = watch.debounced(stream).writeStream.outputMode("append").format("memory").queryName("debounced").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(r["n_events"] for r in spark.sql("SELECT * FROM debounced").collect()) == [2, 2]  # the last run stays open

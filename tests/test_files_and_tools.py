@@ -236,20 +236,3 @@ def test_image_source(spark, tmp_path):
     (row,) = decoded(spark, str(tmp_path)).collect()
     assert (row["width"], row["height"], row["nChannels"]) == (8, 4, 3)
     assert (np.frombuffer(row["data"], np.uint8).reshape(4, 8, 3)[:, :, ::-1] == gradient(8, 4)).all()
-
-
-def test_live_watch(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    a = tmp_path / "in" / "a.png"
-    a.write_bytes(b"1")
-    (tmp_path / "in" / "b.txt").write_bytes(b"1")
-    spark.dataSource.register(FileListing)
-    seen = []
-    events = spark.readStream.format("darkroom_files").option("path", str(tmp_path / "in")).load()
-    query = watch.start(events, [(str(tmp_path / "in"), "image", "optimise")], lambda df, _: seen.extend(map(tuple, df.select("path", "pipeline").collect())), str(tmp_path / "cp"))
-    query.processAllAvailable()
-    time.sleep(0.05)
-    a.write_bytes(b"22")
-    query.processAllAvailable()
-    query.stop()
-    assert seen == [(str(a), "optimise")] * 2
