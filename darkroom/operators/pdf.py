@@ -11,6 +11,9 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .graph import inherited, reachable
 
 OBJECT = re.compile(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 NUMBER = rb"[-+]?\d*\.?\d+"
@@ -106,6 +109,12 @@ def is_dct_image(head: bytes) -> bool:
     return bool(re.search(rb"/Filter\s*(/DCTDecode(?![A-Za-z])|\[[^\]]*/DCTDecode(?![A-Za-z])[^\]]*\])", head))
 
 
+def _refs(body: bytes) -> list[int]:
+    """The objects that an object names, outside its stream."""
+    dictionary = body.split(b"stream", 1)[0] if b">>" in body else body
+    return [int(n) for n in re.findall(rb"(?<!\d)(\d+)\s+\d+\s+R(?![A-Za-z])", dictionary)]
+
+
 def pruned(data: bytes, found: dict) -> dict:
     """The objects that the catalogue leads to."""
     root = re.findall(rb"/Root\s+(\d+)\s+\d+\s+R", data)
@@ -114,8 +123,7 @@ def pruned(data: bytes, found: dict) -> dict:
         number = open_.pop()
         if number in found and number not in kept:
             kept[number] = found[number]
-            dictionary = found[number][1].split(b"stream", 1)[0] if b">>" in found[number][1] else found[number][1]
-            open_ += [int(n) for n in re.findall(rb"(?<!\d)(\d+)\s+\d+\s+R(?![A-Za-z])", dictionary)]
+            open_ += _refs(found[number][1])
     return kept
 
 
@@ -148,6 +156,40 @@ def recompressed(data: bytes, jpeg=None) -> bytes:
     return out if len(out) < len(data) else data
 
 
+def object_table(files: DataFrame) -> DataFrame:
+    """(file, object, parent, box, is_page, is_root, refs) of each object of ``files`` (path, content); none of those that can't be read."""
+    schema = "file string, object long, parent long, box array<double>, is_page boolean, is_root boolean, refs array<long>"
+
+    def each(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    found = objects(content or b"")
+                except PdfError:
+                    continue
+                root = re.findall(rb"/Root\s+(\d+)\s+\d+\s+R", content)
+                rows = []
+                for number, (_, body) in found.items():
+                    above = re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", body)
+                    rows.append((path, number, int(above[1]) if above else None, _box(body, b"MediaBox"), _is_page(body), bool(root) and number == int(root[-1]), _refs(body)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.bool_(), pa.list_(pa.int64())))], [c.split()[0] for c in schema.split(", ")])
+
+    return files.select("path", "content").mapInArrow(each, schema)
+
+
+def page_boxes(table: DataFrame) -> DataFrame:
+    """(file, object, box) of each page of an ``object_table``: its own box, else its nearest parent's, by rounds over the whole table."""
+    boxes = inherited(table.select("file", "object", "parent", F.col("box").alias("value")))
+    letter = F.array(*map(F.lit, LETTER))
+    return boxes.join(table.where("is_page").select("file", "object"), ["file", "object"], "left_semi").select("file", "object", F.coalesce("value", letter).alias("box"))
+
+
+def kept_objects(table: DataFrame) -> DataFrame:
+    """(file, object): what the catalogues lead to, of all files at once."""
+    edges = table.select("file", F.col("object").alias("from"), F.explode("refs").alias("to"))
+    return reachable(edges, table.where("is_root")).join(table.select("file", "object"), ["file", "object"], "left_semi")
+
+
 def edited(files: DataFrame, edit, *args) -> DataFrame:
     """(path, old_size, new_size, content, error) of ``files`` (path, content) after ``with_crop`` or ``recompressed``."""
 

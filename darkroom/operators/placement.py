@@ -7,21 +7,27 @@ import shutil
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import backup_name, extension, file_name, original_of_backup, stem, with_extension, with_name
 from ..functions.text import counter_uses, expand_template
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder of spark.checkpoint.dir: its partitions and order then stay as they are."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a local session without one gets a temporary folder."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder, local = context.getConf().get("spark.checkpoint.dir"), context.master == "local" or context.master.startswith("local[")
         if not folder and not local:
             raise ValueError(f"spark.checkpoint.dir is not set, and {context.master} needs a folder that all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="darkroom-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the folder of spark.checkpoint.dir: its partitions and order then stay as they are."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

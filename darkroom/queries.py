@@ -569,4 +569,4 @@ def parse_kinds(spark, sf_dir):
     return spark.range(1).select(F.explode(F.array(*map(F.lit, _KINDS))).alias("name")).select("name", paths.parse_kind(C("name")).alias("kind"))
 
 
-from . import media_queries  # noqa: E402, F401  registers its queries here
+from . import live_queries, media_queries  # noqa: E402, F401  register their queries here

@@ -29,7 +29,7 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True, kinds: list[s
     """(path, modificationTime, length[, content], ext, kind, optimisable) of the files below a folder.
 
     Spark's file source reads the content only if it is asked for, and pushes down filters on length and time. It
-    leaves out names that start with a dot or an underscore; ``sources.files`` lists those too.
+    leaves out names that start with a dot or an underscore; ``sources.listing`` lists those too.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return collect(read if content else read.drop("content"), kinds)

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from darkroom.operators import external, images
 from darkroom.plans import commands, dsl, options
-from darkroom.sources.files import FileListing
-from darkroom.streaming import watch
 
 
 def gradient(w=96, h=96, n=3):
@@ -82,35 +80,6 @@ def test_tools(spark, tmp_path):
     assert "loudnorm=I=-16.0:TP=-1.5:LRA=11" in args["n"] and "setpts=0.50000*PTS" in args["s"] and "-r600" in args["p"] and "-sDEVICE=jpeg" in args["p"]
 
 
-def test_listing_and_changes(spark, tmp_path):
-    (tmp_path / "in" / "sub").mkdir(parents=True)
-    for name in ("a.png", ".a.png.orig", "sub/b.png"):
-        (tmp_path / "in" / name).write_bytes(b"x" * 9)
-    spark.dataSource.register(FileListing)
-    folder = str(tmp_path / "in")
-    rows = spark.read.format("darkroom_files").option("path", folder).load()
-    assert sorted(os.path.relpath(r["path"], folder) for r in rows.collect()) == [".a.png.orig", "a.png", "sub/b.png"]
-    assert spark.read.format("darkroom_files").option("path", folder).option("recursive", "false").load().count() == 2
-    stream = watch.watchable(spark.readStream.format("darkroom_files").option("path", folder).load())
-    query = stream.writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    time.sleep(0.05)
-    (tmp_path / "in" / "a.png").write_bytes(b"y")
-    query.processAllAvailable()
-    query.stop()
-    got = sorted((os.path.relpath(r["path"], folder), r["length"]) for r in spark.sql("SELECT * FROM changes").collect())
-    assert got == [("a.png", 1), ("a.png", 9), ("sub/b.png", 9)]
-
-
-def test_listing_in_slices(spark, tmp_path):
-    (tmp_path / "sub").mkdir()
-    for i in range(40):
-        (tmp_path / ("sub" if i % 2 else ".") / f"{i}.png").write_bytes(b"x")
-    spark.dataSource.register(FileListing)
-    rows = spark.read.format("darkroom_files").option("path", str(tmp_path)).option("slices", "3").load()
-    assert rows.rdd.getNumPartitions() == 6 and sorted(os.path.basename(r["path"]) for r in rows.collect()) == sorted(f"{i}.png" for i in range(40))
-
-
 def test_bmp_round_trips():
     for n in (3, 4):
         image = gradient(31, 17, n)

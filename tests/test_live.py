@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from darkroom.sources.files import FileListing
+from darkroom.sources import listing
 from darkroom.streaming import state, timers, watch
 
 T0 = 1_700_000_000
@@ -162,23 +162,62 @@ def test_adjacent_repeats_on_a_stream(spark, tmp_path, rocks):
     assert got == [("1", "x", 0), ("1", "x", 4), ("1", "y", 3), ("2", "x", 1)]
 
 
+def test_listing_finds_old_times_and_changes(spark, tmp_path):
+    root, roots = tmp_path / "in", spark.createDataFrame([(str(tmp_path / "in") + "/",), (str(tmp_path / "in" / "sub"),), (str(tmp_path / "gone"),)], "path string")
+    (root / "sub" / "deep" / "er").mkdir(parents=True)
+    for name in ("a.png", ".a.png.orig", "sub/b.png", "sub/deep/er/c.png"):
+        (root / name).write_bytes(b"x" * 9)
+    os.symlink(root, root / "sub" / "loop")
+    names = lambda rows: sorted((os.path.relpath(r["path"], root), r["event"]) for r in rows.collect())
+    snapshots = listing.Snapshots(spark, str(tmp_path / "s"))
+    first = [(n, "create") for n in (".a.png.orig", "a.png", "sub/b.png", "sub/deep/er/c.png")]
+    assert names(snapshots.step(roots, 0)) == first and names(snapshots.step(roots, 0)) == first  # the second as after a crash
+    assert names(snapshots.step(roots, 1)) == []
+    (root / "old.png").write_bytes(b"y")
+    os.utime(root / "old.png", (1000, 1000))
+    (root / "a.png").write_bytes(b"longer than before")
+    os.rename(root / "sub" / "b.png", root / "sub" / "deep" / "b.png")
+    second = [("a.png", "modify"), ("old.png", "create"), ("sub/deep/b.png", "create")]
+    assert names(snapshots.step(roots, 2)) == second and names(snapshots.step(roots, 2)) == second
+    assert names(snapshots.step(roots, 5)) == []
+    flat = listing.tree(roots.limit(1), recursive=False)
+    assert sorted(os.path.basename(r["path"]) for r in flat.collect()) == [".a.png.orig", "a.png", "old.png"]
+    assert sorted(os.path.basename(r["path"]) for r in listing.removed(flat.limit(0), flat).collect()) == [".a.png.orig", "a.png", "old.png"]
+    assert listing.tree(roots.limit(0)).count() == 0
+    (row,) = listing.tree(roots.limit(1)).where("path LIKE '%old.png'").select("length", F.unix_seconds("mtime")).collect()
+    assert tuple(row) == (1, 1000)
+
+
+def test_a_large_folder_is_looked_at_by_many_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.png").write_bytes(b"x")
+    files = listing.tree(spark.createDataFrame([(str(tmp_path),)], "path string"), parts=6)
+    parts = files.select(F.spark_partition_id().alias("part")).groupBy("part").count().collect()
+    assert len(parts) == 6 and sum(r["count"] for r in parts) == 300 and max(r["count"] for r in parts) < 100
+
+
 def test_live_watch_of_a_folder(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    a = tmp_path / "in" / "a.png"
-    a.write_bytes(b"1")
-    (tmp_path / "in" / "b.txt").write_bytes(b"1")
-    spark.dataSource.register(FileListing)
-    seen = []
+    root, seen = tmp_path / "in", []
+    root.mkdir()
+    (root / "a.png").write_bytes(b"1")
+    (root / "b.txt").write_bytes(b"1")
 
     def handle(batch, number):
-        seen.extend(map(tuple, batch.select("path", "pipeline").collect()))
+        seen.extend((os.path.basename(p), pipeline) for p, pipeline in batch.select("path", "pipeline").collect())
         return results(batch, [], in_place=False)
 
-    events = spark.readStream.format("darkroom_files").option("path", str(tmp_path / "in")).load()
-    query = state.start(events, lambda e: watch.routed(e, [(str(tmp_path / "in"), "image", "optimise")]), handle, str(tmp_path / "state"), str(tmp_path / "cp"))
-    query.processAllAvailable()
-    time.sleep(0.05)
-    a.write_bytes(b"22")
-    query.processAllAvailable()
+    query = listing.watch(spark, [str(root)], lambda e: watch.routed(e, [(str(root), "image", "optimise")]), handle, str(tmp_path / "state"), str(tmp_path / "cp"), every="200 milliseconds")
+
+    def wait(n):
+        until = time.time() + 60
+        while len(seen) < n and time.time() < until and query.isActive:
+            time.sleep(0.2)
+
+    wait(1)
+    (root / "c.png").write_bytes(b"2")
+    os.utime(root / "c.png", (1000, 1000))  # moved in with an old time
+    wait(2)
+    (root / "a.png").write_bytes(b"22")
+    wait(3)
     query.stop()
-    assert seen == [(str(a), "optimise")] * 2
+    assert seen == [("a.png", "optimise"), ("c.png", "optimise"), ("a.png", "optimise")]
