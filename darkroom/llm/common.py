@@ -8,9 +8,11 @@ import threading
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_keys, per_salt, salted, spread_join  # noqa: F401  the operators take them from here
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For bytes.translate: lower-cases A-Z alone.
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -68,49 +70,6 @@ def gathered(df: DataFrame) -> DataFrame:
     return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
-#: A key with more than 1 / HOT_KEYS of all rows, and more than HOT_ROWS, is hot, so that there are fewer such keys than HOT_KEYS.
-HOT_KEYS, HOT_ROWS = 5_000, 200
-
-
-def hot_keys(sizes: DataFrame, key: str) -> DataFrame | None:
-    """(_hot, _salts): the hot keys of a table whose keys have the ``sizes`` (key, n), and over how many salts each is dealt.
-
-    They come to the driver, fewer than HOT_KEYS whatever the size of the table; None if there are none.
-    """
-    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
-    part = max(HOT_ROWS, (total or 0) // HOT_KEYS)
-    if not most or most <= part:
-        return None
-    rows = sizes.where(F.col("n") > part).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / part).cast("long").alias("_salts"))
-    return sizes.sparkSession.createDataFrame(rows.collect(), rows.schema)
-
-
-def salted(large: DataFrame, key: str, spread: str, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(``large`` with a column _salt, hot keys): rows of hot keys are dealt over salts by a hash of ``spread``.
-
-    ``sizes`` (key, n) has the rows of each key if they are known; else they are counted.
-    """
-    hot = hot_keys(large.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes, key)
-    if hot is None:
-        return large.withColumn("_salt", F.lit(0).cast("long")), None
-    out = large.join(F.broadcast(hot), large[key] == hot["_hot"], "left")
-    return out.withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1).cast("long")))).drop("_hot", "_salts"), hot
-
-
-def per_salt(small: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """``small`` (a few rows a key) with each row once for every _salt of its key; ``hot`` as ``salted`` gave it."""
-    if hot is None:
-        return small.withColumn("_salt", F.lit(0).cast("long"))
-    known = small.join(F.broadcast(hot), small[key] == hot["_hot"], "left")
-    return known.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1))).drop("_hot", "_salts")
-
-
-def spread_join(large: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
-    """``large`` joined with ``small``, which has a row or a few for each key, with hot keys dealt over several tasks."""
-    dealt, hot = salted(large, key, spread, sizes)
-    return large.join(small, key, how) if hot is None else dealt.join(per_salt(small, key, hot), [key, "_salt"], how).drop("_salt")
-
-
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_as_empty: bool = True) -> DataFrame:
     """(doc_id, text); other columns, whatever their names, play no part."""
     text = docs[text_col].cast("string")

@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from darkroom.llm import common
 from darkroom.llm.lm_scoring import PartialMatching, Tally, contexts, score_texts
+from darkroom.operators import skew
 
 
 def counted(data, order):
@@ -99,7 +99,7 @@ def test_scores_against_brute_force_with_rare_strings_kept_out(spark):
 
 @pytest.mark.parametrize("most_grams, hot_rows", [(8_000_000, 200), (10, 200), (0, 1)])  # with 1, all strings of two texts are dealt over salts
 def test_scores_do_not_depend_on_what_workers_look_up(spark, monkeypatch, most_grams, hot_rows):
-    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     texts = ["the cat sat", "the cat sat on", "a mat", "the mat", "on the mat", "zebra", "", "été 中文"]
     other = ["the bat sat on a zebra", "xyz", "the cats", "", "中文字"]
     docs = spark.createDataFrame(list(enumerate(texts + other)), "doc_id long, text string")

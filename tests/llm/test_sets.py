@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from darkroom.llm import common, decontamination, near_dedup, sharding
+from darkroom.operators import skew
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,7 +39,7 @@ def brute_decontamination(docs, items, window):
 def test_decontamination(spark, odd_docs, most_broadcast, monkeypatch):
     whole = decontamination.contained_windows
     monkeypatch.setattr(decontamination, "contained_windows", lambda d, w, keep: whole(d, w, keep, most_broadcast))
-    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
     rng = random.Random(4)
     vocabulary = ["a", "B", "c", "É", "é", "kK", "İ", "x1", "the", "dog"]
     docs = [(r["doc_id"], r["text"]) for r in odd_docs.where("doc_id IS NULL OR doc_id NOT IN (5, 6)").select("doc_id", "text").collect()]
@@ -94,7 +95,7 @@ def near_docs():
 
 @pytest.mark.parametrize("leaders, most_broadcast", [(2, 1000), (0, 0)])
 def test_near_duplicates(spark, odd_docs, leaders, most_broadcast, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 3)  # so that keys of a few rows are dealt over salts
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)  # so that keys of a few rows are dealt over salts
     docs = near_docs() + [(1000 + (r["doc_id"] or 0), r["text"]) for r in odd_docs.where("doc_id NOT IN (1, 7)").select("doc_id", "text").collect()]
     sets = {i: shingles(t) for i, t in docs}
     root = {i: i for i in sets}
@@ -124,7 +125,7 @@ def test_near_duplicates_of_an_id_with_two_texts(spark, leaders):
 
 
 def test_spread_join(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
     large = spark.range(500).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), F.col("id").alias("x"))
     small = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c"), (99, "d")], "k long, v string")
     dealt, hot = common.salted(large, "k", "x")
