@@ -24,7 +24,7 @@ class Step:
 
 def _number(kind, text: str, what: str):
     plain = {int: r"[+-]?\d+", float: r"[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)"}[kind]
-    if not re.fullmatch(plain, text, re.I):
+    if not re.fullmatch(plain, text, re.I) or kind is int and not -(2**31) <= int(text) < 2**31:
         raise DslError(what)
     return kind(text)
 
@@ -61,7 +61,7 @@ def shown(value) -> str:
     return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)
 
 
-# Each step: its names, then its arguments as (names, reader, default); REQUIRED has no default, OPTIONAL may be left out.
+# The steps, each with its names, then its arguments as (names, reader, default); REQUIRED has no default, OPTIONAL may be left out.
 REQUIRED, OPTIONAL = object(), None
 _text = str
 STEPS = {
