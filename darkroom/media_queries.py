@@ -2,47 +2,43 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import functions as F
 
 from .functions import dial, dims, geometry, text
 from .operators import dispatch, external, report
-from .plans import commands, dsl, options
-from .queries import _CRF, _PRESET, FX, GRID, C, _events, _factors, _files, _I, _query, _results, _sql_list
+from .plans import commands, dsl_columns, options
+from .queries import _CRF, _PRESET, FX, GRID, IDS, C, _chosen, _events, _factors, _files, _I, _pick, _pick_sql, _query, _results
 from .sources.catalog import fixture
 from .streaming import watch
 
 
-def _rows(spark, values, name):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
-
-
 # Parts of the dial and of geometry
 
 
-@_query(f"""WITH {GRID} SELECT factor, factor = {dial.NORMAL} AS normal, factor = {dial.AGGRESSIVE} AS aggressive, CASE WHEN factor >= 50 THEN 60 ELSE 90 END AS gif_quality FROM f""")
+@_query(f"""WITH {GRID} SELECT file_id, factor, factor = {dial.NORMAL} AS normal, factor = {dial.AGGRESSIVE} AS aggressive, CASE WHEN factor >= 50 THEN 60 ELSE 90 END AS gif_quality FROM f""")
 def dial_presets(spark, sf_dir):
     f = C("factor")
-    return _factors(spark).select("factor", (f == dial.NORMAL).alias("normal"), (f == dial.AGGRESSIVE).alias("aggressive"), dial.gif_from_video_quality(f >= 50).alias("gif_quality"))
+    return _factors(spark, sf_dir).select("file_id", "factor", (f == dial.NORMAL).alias("normal"), (f == dial.AGGRESSIVE).alias("aggressive"), dial.gif_from_video_quality(f >= 50).alias("gif_quality"))
 
 
-@_query("""SELECT audio, kbps FROM (VALUES ('same', [56, 64, 80, 96, 128, 160, 192, 256, 320]), ('aac', [56, 64, 80, 96, 128, 160, 192, 256]), ('mp3', [56, 64, 80, 96, 128, 160, 192, 256, 320]),
-  ('opus', [32, 48, 64, 80, 96, 128])) AS t(audio, allowed), unnest(allowed) AS u(kbps)""")
+@_query(f"""WITH {IDS}, t(audio, allowed) AS (VALUES ('same', [56, 64, 80, 96, 128, 160, 192, 256, 320]), ('aac', [56, 64, 80, 96, 128, 160, 192, 256]), ('mp3', [56, 64, 80, 96, 128, 160, 192, 256, 320]),
+  ('opus', [32, 48, 64, 80, 96, 128])), c AS (SELECT file_id, {_pick_sql(list(dims.AUDIO_ALLOWED_KBPS))} AS audio FROM ids) SELECT file_id, audio, kbps FROM c JOIN t USING (audio), unnest(allowed) AS u(kbps)""")
 def audio_allowed_kbps(spark, sf_dir):
-    each = [F.struct(F.lit(a).alias("audio"), F.array(*map(F.lit, k)).cast("array<int>").alias("allowed")) for a, k in dims.AUDIO_ALLOWED_KBPS.items()]
-    return spark.range(1).select(F.inline(F.array(*each))).select("audio", F.explode("allowed").alias("kbps"))
+    """The bit rates that each file's audio format may have; formats without a loss have none."""
+    allowed = F.create_map(*[x for a, k in dims.AUDIO_ALLOWED_KBPS.items() for x in (F.lit(a), F.array(*map(F.lit, k)).cast("array<int>"))])
+    return _chosen(spark, sf_dir, "audio", list(dims.AUDIO_ALLOWED_KBPS)).select("file_id", "audio", F.explode(F.try_element_at(allowed, C("audio"))).alias("kbps"))
 
 
 _RATIOS = ["16:9", " 4 : 3 ", "0:5", "1.91:1", "abc", "1:", "5", "2:1:3", "-1:2"]
 
 
-@_query(f"""WITH s AS (SELECT unnest([{_sql_list(_RATIOS)}]) AS ratio), p AS (SELECT ratio, CASE WHEN contains(ratio, ':') THEN trim(split_part(ratio, ':', 1)) END AS a, CASE WHEN contains(ratio, ':') THEN trim(substr(ratio, strpos(ratio, ':') + 1)) END AS b FROM s),
-n AS (SELECT ratio, CASE WHEN regexp_full_match(a, '\\d+') THEN CAST(a AS INT) END AS wi, CASE WHEN regexp_full_match(b, '\\d+') THEN CAST(b AS INT) END AS hi, TRY_CAST(a AS DOUBLE) AS wd, TRY_CAST(b AS DOUBLE) AS hd FROM p)
-SELECT ratio, CASE WHEN hi IS NOT NULL THEN wi END AS w, CASE WHEN wi IS NOT NULL THEN hi END AS h, CASE WHEN hd >= 0 AND wd >= 0 THEN wd END AS wide, CASE WHEN hd >= 0 AND wd >= 0 THEN hd END AS high FROM n""")
+@_query(f"""WITH {IDS}, s AS (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN {_pick_sql(_RATIOS, 2)} ELSE file_id % 40 || ':' || file_id % 23 END AS ratio FROM ids), p AS (SELECT file_id, ratio, CASE WHEN contains(ratio, ':') THEN trim(split_part(ratio, ':', 1)) END AS a, CASE WHEN contains(ratio, ':') THEN trim(substr(ratio, strpos(ratio, ':') + 1)) END AS b FROM s),
+n AS (SELECT file_id, ratio, CASE WHEN regexp_full_match(a, '\\d+') THEN CAST(a AS INT) END AS wi, CASE WHEN regexp_full_match(b, '\\d+') THEN CAST(b AS INT) END AS hi, TRY_CAST(a AS DOUBLE) AS wd, TRY_CAST(b AS DOUBLE) AS hd FROM p)
+SELECT file_id, ratio, CASE WHEN hi IS NOT NULL THEN wi END AS w, CASE WHEN wi IS NOT NULL THEN hi END AS h, CASE WHEN hd >= 0 AND wd >= 0 THEN wd END AS wide, CASE WHEN hd >= 0 AND wd >= 0 THEN hd END AS high FROM n""")
 def parse_ratios(spark, sf_dir):
-    rows = _rows(spark, _RATIOS, "ratio").withColumns({"i": text.parse_ratio(C("ratio")), "d": text.parse_ratio(C("ratio"), "double")})
-    return rows.select("ratio", C("i.w").alias("w"), C("i.h").alias("h"), C("d.w").alias("wide"), C("d.h").alias("high"))
+    own = F.concat((C("file_id") % 40).cast("string"), F.lit(":"), (C("file_id") % 23).cast("string"))
+    rows = _chosen(spark, sf_dir, "ratio", _RATIOS, 2).withColumn("ratio", F.when(C("file_id") % 2 == 0, C("ratio")).otherwise(own)).withColumns({"i": text.parse_ratio(C("ratio")), "d": text.parse_ratio(C("ratio"), "double")})
+    return rows.select("file_id", "ratio", C("i.w").alias("w"), C("i.h").alias("h"), C("d.w").alias("wide"), C("d.h").alias("high"))
 
 
 @_query(f"""WITH {FX} SELECT file_id, CASE WHEN file_id % 3 = 0 THEN height WHEN file_id % 3 = 1 THEN width ELSE greatest(width, 0) END AS long_edge, (width - least(width, 100)) // 2 AS x, (height - least(height, 90)) // 2 AS y FROM fx""")
@@ -55,10 +51,10 @@ def long_edges(spark, sf_dir):
 _SPEEDS = [0.1, 0.25, 0.5, 1.0, 1.25, 2.0, 3.2, 8.0, 20.0]
 
 
-@_query(f"""WITH s AS (SELECT unnest([{", ".join(f"{v}e0" for v in _SPEEDS)}]) AS factor), c AS (SELECT factor, greatest(0.25e0, least(8e0, factor)) AS f FROM s)
-SELECT factor, printf('setpts=%.5f*PTS', 1e0 / f) AS video, printf('atempo=%.5f', f) AS audio FROM c""")
+@_query(f"""WITH {IDS}, s AS (SELECT file_id, {_pick_sql(_SPEEDS)} AS factor FROM ids), c AS (SELECT *, greatest(0.25e0, least(8e0, factor)) AS f FROM s)
+SELECT file_id, factor, printf('setpts=%.5f*PTS', 1e0 / f) AS video, printf('atempo=%.5f', f) AS audio FROM c""")
 def speed_texts(spark, sf_dir):
-    return _rows(spark, _SPEEDS, "factor").withColumn("s", geometry.speed_filters(C("factor"))).select("factor", "s.video", "s.audio")
+    return _chosen(spark, sf_dir, "factor", _SPEEDS).withColumn("s", geometry.speed_filters(C("factor"))).select("file_id", "factor", "s.video", "s.audio")
 
 
 @_query(f"""WITH {FX} SELECT file_id, 6 AS n, true AS well_formed, true AS repeats FROM fx""")
@@ -79,50 +75,75 @@ _CHAINS = [
 ]
 
 
-def _literal(v) -> str:
-    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+@_query(f"WITH {IDS} SELECT file_id, {_pick_sql([c for c, *_ in _CHAINS])} AS chain, {_pick_sql([t for _, t, _ in _CHAINS])} AS canonical, {_pick_sql([e for *_, e in _CHAINS])} AS error FROM ids")
+def dsl_canonical(spark, sf_dir):
+    """Chains of a list, read as columns, and printed."""
+    rows = _chosen(spark, sf_dir, "chain", [c for c, *_ in _CHAINS]).withColumn("p", dsl_columns.parsed(C("chain")))
+    return rows.select("file_id", "chain", dsl_columns.canonical(C("p.steps")).alias("canonical"), "p.error")
+
+
+# Chains with numbers of their own: (the chain, its canonical print, its error) as SQL over ``n``, a document's id.
+_OWN = [
+    ("'crop(width: ' || (100 + n % 900) || ', height:' || (50 + n % 700) || ') -> optimise'", "'crop(width: ' || (100 + n % 900) || ', height: ' || (50 + n % 700) || ') -> optimise'", None),
+    ("' downscale( factor : ' || (n % 99 + 1) || '% )'", "'downscale(factor: ' || rtrim(rtrim(printf('%.2f', (n % 99 + 1) / 100e0), '0'), '.') || ')'", None),
+    ("'convert(to: \"w' || n || '\")->stripexif'", "'convert(to: w' || n || ') -> stripExif'", None),
+    ("'crop(ratio: ' || (1 + n % 16) || ' :' || (1 + n % 9) || ', smart: true, ratio: 1:1)'", "'crop(ratio: ' || (1 + n % 16) || ':' || (1 + n % 9) || ', smart: true)'", None),
+    ("'crop(smart: true, x: ' || n || ')'", None, "'crop requires width:, height:, longEdge: or ratio:'"),
+    ("'optimise -> blur' || n || '(x: 1)'", None, "'unknown step `blur' || n || '`'"),
+    ("'capFps(fps: ' || (n % 60) || ') -> remove_audio -> lowerBitrate(kbps: +' || (64 + n % 200) || ')'", "'capFps(fps: ' || (n % 60) || ') -> removeAudio -> lowerBitrate(kbps: ' || (64 + n % 200) || ')'", None),
+    ("'watermark(image: m' || n || '.png, scale: 0.' || (1 + n % 9) || ')'", "'watermark(image: \"m' || n || '.png\", position: bottomRight, opacity: 1, scale: 0.' || (1 + n % 9) || ')'", None),
+    ("'targetSize(kb: ' || (n % 500) || 'KB) -> -> adaptive'", "'targetSize(bytes: ' || (n % 500 * 1000) || ') -> adaptive'", None),
+    ("'downscale(factor: x' || n || ')'", None, "'bad factor `x' || n || '`'"),
+    ("'normalise(lufs: -' || (n % 30) || '.5)'", "'normalize(lufs: -' || (n % 30) || '.5)'", None),
+    ("'adaptive -> optimise(a' || n", None, "'missing `)` in step `optimise(a' || n || '`'"),
+    ("'crop(width ' || n || ')'", None, "'expected `key: value` in `width ' || n || '`'"),
+    ("'runScript(code: `go ' || n || '`)'", "'runScript(code: \"go ' || n || '\")'", None),
+]
 
 
-@_query(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, c)) + ')' for c in _CHAINS)}) AS t(chain, canonical, error)")
-def dsl_canonical(spark, sf_dir):
-    rows = []
-    for chain, *_ in _CHAINS:
-        try:
-            told = dsl.to_dsl(dsl.parse(chain))
-            rows.append((chain, told if dsl.to_dsl(dsl.parse(told)) == told else "no round trip", None))
-        except dsl.DslError as e:
-            rows.append((chain, None, str(e)))
-    return spark.createDataFrame(rows, "chain string, canonical string, error string")
+def _own_sql(k: int) -> str:
+    """A grave accent stands for an apostrophe, which the two engines quote differently."""
+    cases = " ".join(f"WHEN {i} THEN {c[k]}" for i, c in enumerate(_OWN) if c[k])
+    return f"replace(CASE n % {len(_OWN)} {cases} END, chr(96), chr(39))"
+
+
+@_query(f"WITH i AS (SELECT doc_id AS n FROM documents) SELECT n AS file_id, {_own_sql(1)} AS canonical, {_own_sql(2)} AS error FROM i")
+def dsl_parse(spark, sf_dir):
+    """Chains with each document's own numbers in them, read and printed."""
+    names = spark.read.parquet(f"{sf_dir}/documents.parquet").select(C("doc_id").cast("long").alias("n"))
+    rows = names.withColumn("p", dsl_columns.parsed(F.expr(_own_sql(0))))
+    return rows.select(C("n").alias("file_id"), dsl_columns.canonical(C("p.steps")).alias("canonical"), "p.error")
 
 
 # Options
 
-_FLAGS = [(None, 10, 180), (True, False), (True, False), (30, 55), (True, False), (True, False), (True, False)]
+_FLAGS = {"compression": ([None, 10, 180], 1), "aggressive": ([True, False], 3), "saved_aggressive": ([True, False], 6), "saved_compression": ([30, 55], 12), "no_backup": ([True, False], 24), "saved_backup": ([True, False], 48), "strip": ([True, False], 96)}
 
 
-@_query("""SELECT compression, aggressive, saved_aggressive, saved_compression, no_backup, saved_backup, strip, CASE WHEN aggressive OR saved_aggressive THEN 64 ELSE least(100, coalesce(compression, saved_compression)) END AS factor,
-  saved_backup AND NOT no_backup AS backup, strip OR NOT saved_backup AS strips, saved_backup AND NOT strip AS dates FROM (VALUES (NULL), (10), (180)) AS a(compression), (VALUES (true), (false)) AS b(aggressive),
-  (VALUES (true), (false)) AS c(saved_aggressive), (VALUES (30), (55)) AS d(saved_compression), (VALUES (true), (false)) AS e(no_backup), (VALUES (true), (false)) AS g(saved_backup), (VALUES (true), (false)) AS h(strip)""")
+@_query(f"""WITH {IDS}, o AS (SELECT file_id, {", ".join(f"{_pick_sql(*v)} AS {k}" for k, v in _FLAGS.items())} FROM ids)
+SELECT *, CASE WHEN aggressive OR saved_aggressive THEN 64 ELSE least(100, coalesce(compression, saved_compression)) END AS factor,
+  saved_backup AND NOT no_backup AS backup, strip OR NOT saved_backup AS strips, saved_backup AND NOT strip AS dates FROM o""")
 def option_precedence(spark, sf_dir):
-    rows = []
-    for compression, aggressive, saved_aggressive, saved, no_backup, backup, strip in itertools.product(*_FLAGS):
-        got = options.resolve(options.Config(saved, saved_aggressive, backup, not backup, backup), compression, aggressive, no_backup, strip, no_dates=strip)
-        rows.append((compression, aggressive, saved_aggressive, saved, no_backup, backup, strip, got["factor"], got["backup"], got["strip_metadata"], got["preserve_dates"]))
-    return spark.createDataFrame(rows, "compression int, aggressive boolean, saved_aggressive boolean, saved_compression int, no_backup boolean, saved_backup boolean, strip boolean, factor int, backup boolean, strips boolean, dates boolean")
+    """Flags and saved options of each file's run, all combinations of them in turn."""
+    rows = fixture(spark, sf_dir).select("file_id").withColumns({k: _pick(*v) for k, v in _FLAGS.items()})
+    got = options.resolved(
+        {"compression": C("saved_compression"), "aggressive": C("saved_aggressive"), "backup": C("saved_backup"), "strip_metadata": ~C("saved_backup"), "preserve_dates": C("saved_backup")},
+        {"compression": C("compression"), "aggressive": C("aggressive"), "no_backup": C("no_backup"), "strip_metadata": C("strip"), "no_dates": C("strip")},
+    )
+    return rows.select("*", got["factor"].alias("factor"), got["backup"].alias("backup"), got["strip_metadata"].alias("strips"), got["preserve_dates"].alias("dates"))
 
 
-@_query("SELECT * FROM (VALUES ('/a', 'image', 'crop(width: 9)'), ('/c', 'all', 'optimise')) AS t(folder, type, pipeline)")
-def watch_targets(spark, sf_dir):
-    """Saved automations with their pipelines' texts; a folder that isn't there is left out."""
-    import warnings
+_SPECS = ["small", "optimize", "blur(x: 1)", "gone", "convert(to: webp)", "bad"]
+
 
-    pipelines = options.add_pipeline(spark.createDataFrame([], "name string, dsl string"), "small", "crop(width: 9)")
-    automations = spark.createDataFrame([("/a", "image", "small"), ("/b", "pdf", "small")], "source string, file_type string, pipeline string")
-    automations = options.attach(automations, "/c", "optimise").coalesce(1)
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        found = options.targets(automations, pipelines, exists=lambda f: f != "/b")
-    return spark.createDataFrame(found, "folder string, type string, pipeline string")
+@_query(f"""WITH {IDS}, a AS (SELECT file_id, '/in/' || file_id % 40 AS folder, {_pick_sql(["all", "image", "pdf"])} AS type, {_pick_sql(_SPECS)} AS spec FROM ids)
+SELECT file_id, folder, type, CASE spec WHEN 'small' THEN 'crop(width: 9)' WHEN 'optimize' THEN 'optimise' ELSE spec END AS pipeline FROM a WHERE file_id % 40 % 3 <> 0 AND spec IN ('small', 'optimize', 'convert(to: webp)')""")
+def watch_targets(spark, sf_dir):
+    """A saved automation for each document: those whose folder is there and whose pipeline, saved or a text, can be read."""
+    automations = _chosen(spark, sf_dir, "pipeline", _SPECS).select(C("file_id").alias("i"), F.concat(F.lit("/in/"), (C("file_id") % 40).cast("string")).alias("source"), _pick(["all", "image", "pdf"]).alias("file_type"), "pipeline")
+    pipelines = spark.createDataFrame([("small", "crop(width:9)"), ("bad", "crop()")], "name string, dsl string")
+    there = automations.select(C("source").alias("folder")).distinct().where("CAST(substr(folder, 5) AS INT) % 3 <> 0")
+    return options.target_table(automations, pipelines, there).where("error IS NULL").select(C("target").alias("file_id"), "folder", C("file_type").alias("type"), "pipeline")
 
 
 # Command lines
@@ -173,10 +194,15 @@ def convert_commands(spark, sf_dir):
     )
 
 
-@_query("SELECT tool, true AS known FROM (VALUES ('ffmpeg'), ('gs'), ('gifski'), ('heif-enc'), ('cjxl'), ('exiftool')) AS t(tool)")
+@_query(f"""WITH {FX}, t AS (SELECT CASE WHEN kind IN ('video', 'audio') THEN 'ffmpeg' WHEN kind = 'pdf' THEN 'gs' WHEN ext = 'gif' THEN 'gifski' WHEN ext IN ('heic', 'heif') THEN 'heif-enc' WHEN ext = 'jxl' THEN 'cjxl' END AS tool FROM able)
+SELECT tool, count(*) AS files, true AS known FROM t WHERE tool IS NOT NULL GROUP BY tool""")
 def doctor_report(spark, sf_dir):
-    """The tools that are run and looked for; that an architecture and a number of processors were found."""
-    return external.doctor(spark).select("tool", (C("tool").isin(dims.KNOWN_TOOLS) & C("arch").isin("arm64", "x86_64") & (C("cpus") > 0)).alias("known"))
+    """How many files of the catalogue need each external tool, and that an executor has looked for it on a machine it could name."""
+    ext, kind = C("ext"), C("kind")
+    tool = F.when(kind.isin("video", "audio"), "ffmpeg").when(kind == "pdf", "gs").when(ext == "gif", "gifski").when(ext.isin("heic", "heif"), "heif-enc").when(ext == "jxl", "cjxl")
+    needed = _files(spark, sf_dir).select(tool.alias("tool")).where("tool IS NOT NULL").groupBy("tool").agg(F.count(F.lit(1)).alias("files"))
+    looked = external.doctor(spark).select("tool", (C("tool").isin(dims.KNOWN_TOOLS) & C("arch").isin("arm64", "x86_64") & (C("cpus") > 0)).alias("known"))
+    return needed.join(F.broadcast(looked), "tool").select("tool", "files", "known")
 
 
 # Reports in the order of the input, and progress

@@ -6,11 +6,11 @@ import json
 import warnings
 from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dial import AGGRESSIVE, NORMAL
-from . import dsl
+from . import dsl, dsl_columns
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,23 @@ def resolve(config: Config, compression: int | None = None, aggressive: bool = F
     }
 
 
+def resolved(saved: dict[str, Column], flags: dict[str, Column]) -> dict[str, Column]:
+    """``resolve`` for tables: options as columns, from saved ones and flags as columns (compression, aggressive, no_backup, strip_metadata, no_dates)."""
+    wanted = F.when(flags["aggressive"] | saved["aggressive"], AGGRESSIVE).otherwise(F.coalesce(flags["compression"], saved["compression"]))
+    return {
+        "factor": F.greatest(F.lit(0), F.least(F.lit(100), wanted)), "backup": saved["backup"] & ~flags["no_backup"],
+        "strip_metadata": saved["strip_metadata"] | flags["strip_metadata"], "preserve_dates": saved["preserve_dates"] & ~flags["no_dates"],
+    }
+
+
+def target_table(automations: DataFrame, pipelines: DataFrame, there: DataFrame) -> DataFrame:
+    """(target, folder, file_type, pipeline, error) for ``streaming.routing.routed_by_table``, a row for each automation (i, source, file_type,
+    pipeline) whose folder is among ``there`` (folder). ``pipeline`` is canonical; where a text can't be read it is null, and ``error`` says why."""
+    wanted = automations.select(F.col("i").alias("target"), F.col("source").alias("folder"), "file_type", F.col("pipeline").alias("spec"))
+    found = dsl.resolve(wanted.join(there.select("folder"), "folder", "left_semi"), pipelines).withColumn("_p", dsl_columns.parsed(F.col("dsl")))
+    return found.select("target", "folder", "file_type", dsl_columns.canonical(F.col("_p.steps")).alias("pipeline"), F.col("_p.error").alias("error"))
+
+
 def to_json(config: Config) -> str:
     return json.dumps(asdict(config))
 

@@ -83,11 +83,31 @@ def url_extensions(spark, sf_dir):
 # The dial, over the factors 0 to 100
 
 
-def _factors(spark) -> DataFrame:
-    return spark.range(101).select(C("id").cast("int").alias("factor"))
+def _factors(spark, sf_dir) -> DataFrame:
+    """(file_id, factor) of every file of the catalogue; factors run over 0 .. 100."""
+    return fixture(spark, sf_dir).select("file_id", "factor")
 
 
-GRID = "f AS (SELECT CAST(range AS INT) AS factor, CAST(range AS DOUBLE) AS x FROM range(101))"
+def _chosen(spark, sf_dir, name: str, values: list, by: int = 1) -> DataFrame:
+    """(file_id, ``name``): a value of the list for each document, by its id divided by ``by``."""
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(C("doc_id").cast("long").alias("file_id"))
+    return ids.withColumn(name, _pick(values, by))
+
+
+def _pick(values: list, by: int = 1) -> F.Column:
+    return F.get(F.array(*map(F.lit, values)), (F.floor(C("file_id") / by) % len(values)).cast("int"))
+
+
+def _pick_sql(values: list, by: int = 1) -> str:
+    return f"list_extract([{', '.join(_value(v) for v in values)}], CAST(file_id // {by} % {len(values)} AS INT) + 1)"
+
+
+def _value(v) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}e0" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+IDS = "ids AS (SELECT doc_id AS file_id FROM documents)"
+GRID = "f AS (SELECT doc_id AS file_id, CAST(doc_id % 101 AS INT) AS factor, CAST(doc_id % 101 AS DOUBLE) AS x FROM documents)"
 
 
 def _fall(at, slope, low, high):
@@ -100,7 +120,7 @@ _PRESET = "CASE WHEN factor < 20 THEN 'veryfast' WHEN factor < 40 THEN 'fast' WH
 _PNG = _fall(100, "75e0 / 70e0", 25, 100)
 
 
-@_query(f"""WITH {GRID} SELECT factor, factor >= 50 AS aggressive, {_fall(85, "55e0 / 70e0", 25, 95)} AS jpeg, {_fall(90, "60e0 / 70e0", 25, 97)} AS jpeg_secondary,
+@_query(f"""WITH {GRID} SELECT file_id, factor, factor >= 50 AS aggressive, {_fall(85, "55e0 / 70e0", 25, 95)} AS jpeg, {_fall(90, "60e0 / 70e0", 25, 97)} AS jpeg_secondary,
   '0-' || {_PNG} AS png, greatest({_PNG} - 30, 0) AS png_min, CASE WHEN factor < 40 THEN 4 WHEN factor < 60 THEN 3 WHEN factor < 85 THEN 2 ELSE 1 END AS png_speed,
   '-O' || CASE WHEN factor >= 50 THEN 3 WHEN factor >= 20 THEN 2 ELSE 1 END || ' --lossy=' || least(200, greatest(0, CAST(round(30e0 + (x - 30e0) * (50e0 / 34e0)) AS INT)))
     || CASE WHEN factor >= 50 THEN ' --colors=' || least(256, greatest(32, CAST(round(256e0 - (x - 50e0) * (192e0 / 50e0)) AS INT))) ELSE '' END AS gif,
@@ -108,17 +128,17 @@ _PNG = _fall(100, "75e0 / 70e0", 25, 100)
   CASE WHEN factor >= 70 THEN 9 WHEN factor >= 50 THEN 8 ELSE 7 END AS jxl_effort FROM f""")
 def dial_image(spark, sf_dir):
     f = dial.clamped_factor(C("factor"))
-    return _factors(spark).select(
-        "factor", dial.is_aggressive(F.lit("custom"), f).alias("aggressive"), dial.jpeg_quality(f).alias("jpeg"), dial.jpeg_secondary_quality(f).alias("jpeg_secondary"), dial.png_quality(f).alias("png"),
+    return _factors(spark, sf_dir).select(
+        "file_id", "factor", dial.is_aggressive(F.lit("custom"), f).alias("aggressive"), dial.jpeg_quality(f).alias("jpeg"), dial.jpeg_secondary_quality(f).alias("jpeg_secondary"), dial.png_quality(f).alias("png"),
         dial.png_min(f).alias("png_min"), dial.png_speed(f).alias("png_speed"), F.array_join(dial.gif_args(f), " ").alias("gif"), dial.conversion_quality(f).alias("conversion"), dial.jxl_quality(f).alias("jxl"), dial.jxl_effort(f).alias("jxl_effort"),
     )
 
 
-@_query(f"""WITH {GRID} SELECT factor, {_CRF} AS crf, factor <= 0 AS auto, {_PRESET} AS preset, least(75, greatest(25, CAST(round(70e0 - {_SPAN} * 45e0) AS INT))) AS hardware,
+@_query(f"""WITH {GRID} SELECT file_id, factor, {_CRF} AS crf, factor <= 0 AS auto, {_PRESET} AS preset, least(75, greatest(25, CAST(round(70e0 - {_SPAN} * 45e0) AS INT))) AS hardware,
   24 + CAST(round({_SPAN} * 26e0) AS INT) AS av1, 24 + CAST(round({_SPAN} * 24e0) AS INT) AS vp9 FROM f""")
 def dial_video(spark, sf_dir):
     f = C("factor")
-    return _factors(spark).select("factor", dial.h264_crf(f).alias("crf"), dial.uses_auto_crf(f).alias("auto"), dial.x264_preset(f).alias("preset"), dial.hardware_quality(f).alias("hardware"), dial.av1_crf(f).alias("av1"), dial.vp9_crf(f).alias("vp9"))
+    return _factors(spark, sf_dir).select("file_id", "factor", dial.h264_crf(f).alias("crf"), dial.uses_auto_crf(f).alias("auto"), dial.x264_preset(f).alias("preset"), dial.hardware_quality(f).alias("hardware"), dial.av1_crf(f).alias("av1"), dial.vp9_crf(f).alias("vp9"))
 
 
 _AUDIO = ", ".join(f"('{k}', '{dims.AUDIO_CODEC[k]}', {dims.AUDIO_DEFAULT_KBPS[k]}, {dims.AUDIO_RANGE_KBPS.get(k, ('NULL', 'NULL'))[0]}, {dims.AUDIO_RANGE_KBPS.get(k, ('NULL', 'NULL'))[1]})" for k in dims.AUDIO_CODEC)
@@ -126,28 +146,29 @@ _AUDIO = ", ".join(f"('{k}', '{dims.AUDIO_CODEC[k]}', {dims.AUDIO_DEFAULT_KBPS[k
 
 def _audio_sql(extra: str) -> str:
     return f"""WITH {GRID}, a(audio, codec, def, lo, hi) AS (VALUES {_AUDIO}),
-k AS (SELECT *, CAST(CASE WHEN lo IS NOT NULL THEN least(hi, greatest(lo, greatest(8, CAST(round((hi - (least(100e0, greatest(5e0, x)) - 5e0) / 95e0 * (hi - lo)) / 16e0) AS INT) * 16))) END AS INT) AS kbps FROM f, a),
+g AS (SELECT *, {_pick_sql(list(dims.AUDIO_CODEC))} AS audio FROM f),
+k AS (SELECT *, CAST(CASE WHEN lo IS NOT NULL THEN least(hi, greatest(lo, greatest(8, CAST(round((hi - (least(100e0, greatest(5e0, x)) - 5e0) / 95e0 * (hi - lo)) / 16e0) AS INT) * 16))) END AS INT) AS kbps FROM g JOIN a USING (audio)),
 e AS (SELECT *, coalesce(kbps, greatest(def, 0)) AS rate FROM k) {extra}"""
 
 
-def _audio_grid(spark) -> DataFrame:
-    grid = _factors(spark).select("factor", F.explode(F.array(*map(F.lit, dims.AUDIO_CODEC))).alias("audio"))
+def _audio_grid(spark, sf_dir) -> DataFrame:
+    grid = _factors(spark, sf_dir).withColumn("audio", _pick(list(dims.AUDIO_CODEC)))
     return grid.withColumns({"kbps": dial.audio_kbps(C("audio"), C("factor")), "effective": dial.effective_kbps(F.lit(None).cast("int"), C("audio"), C("factor"))})
 
 
-@_query(_audio_sql("SELECT factor, audio, kbps, rate AS effective, CASE WHEN rate <= 64 THEN 9 WHEN rate <= 80 THEN 8 WHEN rate <= 96 THEN 7 WHEN rate <= 128 THEN 5 WHEN rate <= 160 THEN 4 WHEN rate <= 192 THEN 2 ELSE 0 END AS lame FROM e"))
+@_query(_audio_sql("SELECT file_id, factor, audio, kbps, rate AS effective, CASE WHEN rate <= 64 THEN 9 WHEN rate <= 80 THEN 8 WHEN rate <= 96 THEN 7 WHEN rate <= 128 THEN 5 WHEN rate <= 160 THEN 4 WHEN rate <= 192 THEN 2 ELSE 0 END AS lame FROM e"))
 def dial_audio(spark, sf_dir):
-    return _audio_grid(spark).select("factor", "audio", "kbps", "effective", dial.lame_quality(C("effective")).alias("lame"))
+    return _audio_grid(spark, sf_dir).select("file_id", "factor", "audio", "kbps", "effective", dial.lame_quality(C("effective")).alias("lame"))
 
 
-@_query(_audio_sql("""SELECT factor, audio, CASE audio WHEN 'aac' THEN '-c:a ' || codec || ' -b:a ' || rate || 'k -aac_at_mode cvbr'
+@_query(_audio_sql("""SELECT file_id, factor, audio, CASE audio WHEN 'aac' THEN '-c:a ' || codec || ' -b:a ' || rate || 'k -aac_at_mode cvbr'
   WHEN 'mp3' THEN '-c:a ' || codec || ' -q:a ' || CASE WHEN rate <= 64 THEN 9 WHEN rate <= 80 THEN 8 WHEN rate <= 96 THEN 7 WHEN rate <= 128 THEN 5 WHEN rate <= 160 THEN 4 WHEN rate <= 192 THEN 2 ELSE 0 END
   WHEN 'opus' THEN '-c:a ' || codec || ' -b:a ' || rate || 'k -vbr on' WHEN 'flac' THEN '-c:a ' || codec || ' -compression_level ' || CASE WHEN factor >= 50 THEN '12' ELSE '8' END
   WHEN 'wav' THEN CASE WHEN factor >= 50 THEN '-c:a adpcm_ima_wav' WHEN factor % 2 = 0 THEN '-c:a ' || codec || ' -ar 48000' ELSE '-c:a ' || codec END
   WHEN 'aiff' THEN '-c:a ' || codec || CASE WHEN factor % 2 = 0 THEN ' -ar 48000' ELSE '' END ELSE '-c:a ' || codec END AS args FROM e"""))
 def audio_args(spark, sf_dir):
     rate = F.when(C("factor") % 2 == 0, 96000.0).otherwise(44100.0)
-    return _audio_grid(spark).select("factor", "audio", F.array_join(dial.audio_args(C("audio"), C("effective"), C("factor") >= 50, rate), " ").alias("args"))
+    return _audio_grid(spark, sf_dir).select("file_id", "factor", "audio", F.array_join(dial.audio_args(C("audio"), C("effective"), C("factor") >= 50, rate), " ").alias("args"))
 
 
 _H264 = f"""CASE WHEN tier = 'lossless' THEN '-vcodec h264 -tag:v avc1 -crf 17'
@@ -155,38 +176,40 @@ _H264 = f"""CASE WHEN tier = 'lossless' THEN '-vcodec h264 -tag:v avc1 -crf 17'
   ELSE '-vcodec h264 -tag:v avc1 -preset ' || CASE WHEN tier = 'fast' THEN 'veryfast' WHEN factor <= 0 THEN 'slower' ELSE {_PRESET} END || CASE WHEN factor <= 0 THEN '' ELSE ' -crf ' || {_CRF} END END"""
 
 
-@_query(f"""WITH {GRID} SELECT factor, tier, arm, codec, CASE codec WHEN 'h264' THEN {_H264}
+_TIERS, _CODECS = ["lossless", "adaptive", "fast", "smaller", "custom"], list(dims.VIDEO_CONTAINERS)
+
+
+@_query(f"""WITH {GRID}, g AS (SELECT *, {_pick_sql(_TIERS)} AS tier, {_pick_sql([True, False], 5)} AS arm, {_pick_sql(_CODECS, 10)} AS codec FROM f) SELECT file_id, factor, tier, arm, codec, CASE codec WHEN 'h264' THEN {_H264}
   WHEN 'hevc' THEN CASE WHEN arm THEN '-vcodec hevc_videotoolbox -tag:v hvc1' ELSE '-vcodec libx265 -tag:v hvc1 -preset ' || {_PRESET} || ' -crf ' || {_CRF} END
   WHEN 'av1' THEN '-vcodec libsvtav1 -crf ' || (24 + CAST(round({_SPAN} * 26e0) AS INT)) || ' -preset 6' ELSE '-vcodec libvpx-vp9 -crf ' || (24 + CAST(round({_SPAN} * 24e0) AS INT)) || ' -b:v 0' END AS args
-  FROM f, (VALUES ('lossless'), ('adaptive'), ('fast'), ('smaller'), ('custom')) AS t(tier), (VALUES (true), (false)) AS m(arm), (VALUES ('h264'), ('hevc'), ('av1'), ('vp9')) AS c(codec)""")
+  FROM g""")
 def video_args(spark, sf_dir):
-    def each(df, name, values):
-        return df.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-
-    grid = each(each(each(_factors(spark), "tier", ["lossless", "adaptive", "fast", "smaller", "custom"]), "arm", [True, False]), "codec", list(dims.VIDEO_CONTAINERS))
+    grid = _factors(spark, sf_dir).withColumns({"tier": _pick(_TIERS), "arm": _pick([True, False], 5), "codec": _pick(_CODECS, 10)})
     return grid.withColumn("args", F.array_join(dial.video_args(C("codec"), C("tier"), C("factor"), C("arm"), F.lit(True)), " "))
 
 
 _TARGETS = ["WebP", "avif", "HEIC", "heif", "jxl", "png", "JPG", "mp4", "x265", "av1", "webm", "vp9", "m4a", "ogg", "flac", "aif", "gif", "doc"]
 
 
-@_query(f"""SELECT name, {" , ".join(f"CASE {' '.join(f"WHEN lower(name) = '{k}' THEN '{v}'" for k, v in t.items())} END AS {n}" for n, t in (("image", dims.IMAGE_TARGETS), ("video", dims.VIDEO_TARGETS), ("audio", dims.AUDIO_TARGETS)))},
+@_query(f"""WITH {IDS} SELECT file_id, name, {" , ".join(f"CASE {' '.join(f"WHEN lower(name) = '{k}' THEN '{v}'" for k, v in t.items())} END AS {n}" for n, t in (("image", dims.IMAGE_TARGETS), ("video", dims.VIDEO_TARGETS), ("audio", dims.AUDIO_TARGETS)))},
   CASE WHEN lower(name) = 'gif' THEN 'gif' WHEN lower(name) IN ({_sql_list(dims.VIDEO_TARGETS)}) THEN 'video' WHEN lower(name) IN ({_sql_list(dims.IMAGE_TARGETS)}) THEN 'image' WHEN lower(name) IN ({_sql_list(dims.AUDIO_TARGETS)}) THEN 'audio' END AS family
-  FROM (SELECT unnest([{_sql_list(_TARGETS)}]) AS name)""")
+  FROM (SELECT file_id, {_pick_sql(_TARGETS)} AS name FROM ids)""")
 def convert_targets(spark, sf_dir):
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, _TARGETS))).alias("name"))
-    return names.select("name", dial.image_target(C("name")).alias("image"), dial.video_target(C("name")).alias("video"), dial.audio_target(C("name")).alias("audio"), dial.convert_family(C("name"), F.lit(True)).alias("family"))
+    return _chosen(spark, sf_dir, "name", _TARGETS).select("file_id", "name", dial.image_target(C("name")).alias("image"), dial.video_target(C("name")).alias("video"), dial.audio_target(C("name")).alias("audio"), dial.convert_family(C("name"), F.lit(True)).alias("family"))
 
 
 _PLACES = ["topLeft", "top-right", "BOTTOM_LEFT", "centre", "center", "elsewhere", ""]
 
 
-@_query(f"""SELECT position, CASE replace(replace(lower(position), '-', ''), '_', '') WHEN 'topleft' THEN '10:10' WHEN 'topright' THEN 'W-w-10:10' WHEN 'bottomleft' THEN '10:H-h-10'
+_MARKS = [-0.5, 0.005, 0.15, 1.5]
+
+
+@_query(f"""WITH {IDS} SELECT file_id, position, CASE replace(replace(lower(position), '-', ''), '_', '') WHEN 'topleft' THEN '10:10' WHEN 'topright' THEN 'W-w-10:10' WHEN 'bottomleft' THEN '10:H-h-10'
   WHEN 'center' THEN '(W-w)/2:(H-h)/2' WHEN 'centre' THEN '(W-w)/2:(H-h)/2' ELSE 'W-w-10:H-h-10' END AS xy, least(1e0, greatest(0e0, v)) AS opacity, least(1e0, greatest(0.01e0, v)) AS scale
-  FROM (SELECT unnest([{_sql_list(_PLACES)}]) AS position), (SELECT unnest([-0.5e0, 0.005e0, 0.15e0, 1.5e0]) AS v)""")
+  FROM (SELECT file_id, {_pick_sql(_PLACES)} AS position, {_pick_sql(_MARKS, 7)} AS v FROM ids)""")
 def watermark_params(spark, sf_dir):
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, _PLACES))).alias("position")).withColumn("v", F.explode(F.array(*map(F.lit, [-0.5, 0.005, 0.15, 1.5]))))
-    return rows.select("position", dial.watermark_xy(C("position")).alias("xy"), dial.watermark_opacity(C("v")).alias("opacity"), dial.watermark_scale(C("v")).alias("scale"))
+    rows = _chosen(spark, sf_dir, "position", _PLACES).withColumn("v", _pick(_MARKS, 7))
+    return rows.select("file_id", "position", dial.watermark_xy(C("position")).alias("xy"), dial.watermark_opacity(C("v")).alias("opacity"), dial.watermark_scale(C("v")).alias("scale"))
 
 
 # Geometry
@@ -255,21 +278,26 @@ def video_filters(spark, sf_dir):
     return fixture(spark, sf_dir).select("file_id", crop.alias("crop"), geometry.capped_fps(C("factor") - 50).alias("fps"), geometry.page_dpi(C("width")).alias("dpi"))
 
 
-@_query("""SELECT CAST(range AS INT) AS n, 'scale=trunc(iw*' || printf('%.4f', least(1e0, range / 64e0)) || '/2)*2:trunc(ih*' || printf('%.4f', least(1e0, range / 64e0)) || '/2)*2' AS scale FROM range(4, 80)""")
+@_query("""SELECT file_id, CAST(range AS INT) AS n, 'scale=trunc(iw*' || printf('%.4f', least(1e0, range / 64e0)) || '/2)*2:trunc(ih*' || printf('%.4f', least(1e0, range / 64e0)) || '/2)*2' AS scale FROM (SELECT doc_id AS file_id, 4 + doc_id % 76 AS range FROM documents)""")
 def video_scale_filters(spark, sf_dir):
-    return spark.range(4, 80).select(C("id").cast("int").alias("n"), geometry.video_scale_filter(C("id") / F.lit(64.0)).alias("scale"))
+    n = 4 + C("file_id") % 76
+    return fixture(spark, sf_dir).select("file_id", n.cast("int").alias("n"), geometry.video_scale_filter(n / F.lit(64.0)).alias("scale"))
 
 
 # Strings
 
+# Texts that are read: those of a list, and for most documents one with a number of its own.
 _SIZES = ["500000", "500kb", "1.5mb", " 2 MB ", "10b", "-3kb", "x", "", "1e3", "kb", "0.4"]
+_UNITS = ["kb", " MB", ".5b", "", " gb"]
 
 
-@_query(f"""WITH s AS (SELECT unnest([{_sql_list(_SIZES)}]) AS size), t AS (SELECT size, lower(trim(size)) AS l FROM s),
-u AS (SELECT size, regexp_extract(l, '(mb|kb|b)$', 1) AS unit, TRY_CAST(trim(regexp_replace(l, '(mb|kb|b)$', '')) AS DOUBLE) AS v FROM t)
-SELECT size, CASE WHEN v IS NOT NULL THEN greatest(0, CAST(trunc(v * CASE unit WHEN 'mb' THEN 1e6 WHEN 'kb' THEN 1e3 ELSE 1e0 END) AS BIGINT)) END AS bytes FROM u""")
+@_query(f"""WITH {IDS}, s AS (SELECT file_id, CASE WHEN file_id % 3 = 0 THEN {_pick_sql(_SIZES, 3)} ELSE file_id || {_pick_sql(_UNITS)} END AS size FROM ids), t AS (SELECT file_id, size, lower(trim(size)) AS l FROM s),
+u AS (SELECT file_id, size, regexp_extract(l, '(mb|kb|b)$', 1) AS unit, TRY_CAST(trim(regexp_replace(l, '(mb|kb|b)$', '')) AS DOUBLE) AS v FROM t)
+SELECT file_id, size, CASE WHEN v IS NOT NULL THEN greatest(0, CAST(trunc(v * CASE unit WHEN 'mb' THEN 1e6 WHEN 'kb' THEN 1e3 ELSE 1e0 END) AS BIGINT)) END AS bytes FROM u""")
 def parse_sizes(spark, sf_dir):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, _SIZES))).alias("size")).select("size", text.parse_size(C("size")).alias("bytes"))
+    own = F.concat(C("file_id").cast("string"), _pick(_UNITS))
+    sizes = _chosen(spark, sf_dir, "size", _SIZES, 3).withColumn("size", F.when(C("file_id") % 3 == 0, C("size")).otherwise(own))
+    return sizes.select("file_id", "size", text.parse_size(C("size")).alias("bytes"))
 
 
 @_query(f"""WITH {FX}, s AS (SELECT file_id, length * (1 + file_id % 900000) AS size FROM fx),
@@ -288,10 +316,12 @@ def _v(c):
     return [f"coalesce(TRY_CAST(list_extract({parts}, {i}) AS BIGINT), 0)" for i in (1, 2, 3)]
 
 
-@_query(f"""WITH v AS (SELECT unnest([{_sql_list(_VERSIONS)}]) AS x) SELECT a.x AS candidate, b.x AS current, ({", ".join(_v("a.x"))}) > ({", ".join(_v("b.x"))}) AS newer FROM v AS a, v AS b""")
+@_query(f"""WITH {IDS}, v AS (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN {_pick_sql(_VERSIONS, 2)} ELSE '0.' || file_id % 7 || '.' || file_id % 5 END AS a, {_pick_sql(_VERSIONS, 24)} AS b FROM ids)
+SELECT file_id, a AS candidate, b AS current, ({", ".join(_v("a"))}) > ({", ".join(_v("b"))}) AS newer FROM v""")
 def semver_compare(spark, sf_dir):
-    one = spark.range(1).select(F.explode(F.array(*map(F.lit, _VERSIONS))).alias("candidate"))
-    return one.withColumn("current", F.explode(F.array(*map(F.lit, _VERSIONS)))).withColumn("newer", text.is_newer(C("candidate"), C("current")))
+    own = F.concat(F.lit("0."), (C("file_id") % 7).cast("string"), F.lit("."), (C("file_id") % 5).cast("string"))
+    rows = _chosen(spark, sf_dir, "candidate", _VERSIONS, 2).withColumn("candidate", F.when(C("file_id") % 2 == 0, C("candidate")).otherwise(own))
+    return rows.withColumn("current", _pick(_VERSIONS, 24)).withColumn("newer", text.is_newer(C("candidate"), C("current")))
 
 
 @_query(f"""WITH {FX}, n AS (SELECT *, row_number() OVER (ORDER BY path) AS rn FROM ext)
@@ -310,20 +340,26 @@ def backup_names(spark, sf_dir):
 _CROPS = ["1200x630", "1200x0", "0x720", "16:9", "1920", " 4 : 3 ", "0:9", "abc", "12x", "", "0x0"]
 
 
-@_query(f"""WITH s AS (SELECT unnest([{_sql_list(_CROPS)}]) AS size), t AS (SELECT size, trim(size) AS b FROM s),
+_SEPARATORS = ["x", ":", " : "]
+
+
+@_query(f"""WITH {IDS}, s AS (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN {_pick_sql(_CROPS, 2)} ELSE file_id % 3000 || {_pick_sql(_SEPARATORS)} || file_id % 700 END AS size FROM ids), t AS (SELECT file_id, size, trim(size) AS b FROM s),
 p AS (SELECT *, regexp_extract(b, '^(\\d+)\\s*([:x])\\s*(\\d+)$', 2) AS sep, TRY_CAST(regexp_extract(b, '^(\\d+)\\s*[:x]\\s*(\\d+)$', 1) AS INT) AS a, TRY_CAST(regexp_extract(b, '^(\\d+)\\s*[:x]\\s*(\\d+)$', 2) AS INT) AS c, TRY_CAST(regexp_extract(b, '^(\\d+)$', 1) AS INT) AS n FROM t)
-SELECT size, CASE WHEN sep = 'x' THEN nullif(a, 0) ELSE n END AS width, CASE WHEN sep = 'x' THEN nullif(c, 0) ELSE n END AS height, CASE WHEN sep = ':' AND a > 0 AND c > 0 THEN a END AS aw, CASE WHEN sep = ':' AND a > 0 AND c > 0 THEN c END AS ah FROM p""")
+SELECT file_id, size, CASE WHEN sep = 'x' THEN nullif(a, 0) ELSE n END AS width, CASE WHEN sep = 'x' THEN nullif(c, 0) ELSE n END AS height, CASE WHEN sep = ':' AND a > 0 AND c > 0 THEN a END AS aw, CASE WHEN sep = ':' AND a > 0 AND c > 0 THEN c END AS ah FROM p""")
 def parse_crop_sizes(spark, sf_dir):
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, _CROPS))).alias("size")).withColumn("p", text.parse_crop_size(C("size")))
-    return rows.select("size", "p.width", "p.height", "p.aw", "p.ah")
+    own = F.concat((C("file_id") % 3000).cast("string"), _pick(_SEPARATORS), (C("file_id") % 700).cast("string"))
+    rows = _chosen(spark, sf_dir, "size", _CROPS, 2).withColumn("size", F.when(C("file_id") % 2 == 0, C("size")).otherwise(own)).withColumn("p", text.parse_crop_size(C("size")))
+    return rows.select("file_id", "size", "p.width", "p.height", "p.aw", "p.ah")
 
 
 _FACTORS = ["50%", "0.5", " 12.5 %", "x%", "1", "abc"]
 
 
-@_query(f"""SELECT factor, CASE WHEN ends_with(factor, '%') THEN TRY_CAST(trim(regexp_replace(factor, '%$', '')) AS DOUBLE) / 100e0 ELSE TRY_CAST(factor AS DOUBLE) END AS value FROM (SELECT unnest([{_sql_list(_FACTORS)}]) AS factor)""")
+@_query(f"""WITH {IDS} SELECT file_id, factor, CASE WHEN ends_with(factor, '%') THEN TRY_CAST(trim(regexp_replace(factor, '%$', '')) AS DOUBLE) / 100e0 ELSE TRY_CAST(factor AS DOUBLE) END AS value FROM (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN {_pick_sql(_FACTORS, 2)} ELSE file_id % 200 || '%' END AS factor FROM ids)""")
 def parse_factors(spark, sf_dir):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, _FACTORS))).alias("factor")).select("factor", text.parse_factor(C("factor")).alias("value"))
+    own = F.concat((C("file_id") % 200).cast("string"), F.lit("%"))
+    rows = _chosen(spark, sf_dir, "factor", _FACTORS, 2).withColumn("factor", F.when(C("file_id") % 2 == 0, C("factor")).otherwise(own))
+    return rows.select("file_id", "factor", text.parse_factor(C("factor")).alias("value"))
 
 
 # Pipelines
@@ -349,9 +385,10 @@ s AS (SELECT name, i - 1 AS n, steps[i] AS step FROM q, unnest(range(1, len(step
 o AS (SELECT name, n, CASE trim(regexp_extract(step, '^([^(]*)', 1)) {_OPS} END AS op, lower(regexp_extract(step, 'to\\s*:\\s*([A-Za-z0-9]+)', 1)) AS target FROM s)"""
 
 
-@_query(f"WITH {_STEPS_SQL} SELECT name, n, op, target FROM o")
+@_query(f"WITH {IDS}, {_STEPS_SQL} SELECT file_id, name, n, op, target FROM (SELECT file_id, {_pick_sql([n for n, _ in _PIPELINES])} AS name FROM ids) JOIN o USING (name)")
 def dsl_steps(spark, sf_dir):
-    return _pipelines(spark).select("name", F.posexplode(dsl.step_structs(C("dsl"))).alias("n", "s")).select("name", C("n").cast("long").alias("n"), "s.op", "s.target")
+    rows = _chosen(spark, sf_dir, "name", [n for n, _ in _PIPELINES]).withColumn("dsl", _pick([d for _, d in _PIPELINES]))
+    return rows.select("file_id", "name", F.posexplode(dsl.step_structs(C("dsl"))).alias("n", "s")).select("file_id", "name", C("n").cast("long").alias("n"), "s.op", "s.target")
 
 
 def _case(c, table):
@@ -564,9 +601,9 @@ def png_pipeline(spark, sf_dir):
 _KINDS = ["Image", "images", "VIDEO", "videos", "audio", "audios", "pdf", "other"]
 
 
-@_query(f"SELECT name, CASE lower(name) WHEN 'image' THEN 'image' WHEN 'images' THEN 'image' WHEN 'video' THEN 'video' WHEN 'videos' THEN 'video' WHEN 'audio' THEN 'audio' WHEN 'pdf' THEN 'pdf' END AS kind FROM (SELECT unnest([{_sql_list(_KINDS)}]) AS name)")
+@_query(f"WITH {IDS} SELECT file_id, name, CASE lower(name) WHEN 'image' THEN 'image' WHEN 'images' THEN 'image' WHEN 'video' THEN 'video' WHEN 'videos' THEN 'video' WHEN 'audio' THEN 'audio' WHEN 'pdf' THEN 'pdf' END AS kind FROM (SELECT file_id, {_pick_sql(_KINDS)} AS name FROM ids)")
 def parse_kinds(spark, sf_dir):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, _KINDS))).alias("name")).select("name", paths.parse_kind(C("name")).alias("kind"))
+    return _chosen(spark, sf_dir, "name", _KINDS).select("file_id", "name", paths.parse_kind(C("name")).alias("kind"))
 
 
 from . import live_queries, media_queries  # noqa: E402, F401  register their queries here
