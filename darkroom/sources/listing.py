@@ -120,3 +120,24 @@ def watch(spark: SparkSession, roots: list[str], route, handle, folder: str, che
         done.add(handle(route(done.due(found)), number), number)
 
     return start(spark, roots, work, f"{folder}/snapshots", checkpoint, every, recursive)
+
+
+def heads(files: DataFrame, n: int = 1 << 16) -> DataFrame:
+    """``files`` (path, ..) with ``head``: the first ``n`` bytes of each; null if a file can't be read. No more than these is read."""
+    schema = files.select("*", F.lit(None).cast("binary").alias("head")).schema
+    at = files.columns.index("path")
+
+    def read(path: str | None) -> bytes | None:
+        try:
+            with open(path.removeprefix("file://") if path else "", "rb") as f:
+                return f.read(n)
+        except OSError:
+            return None
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([read(p) for p in part.column(at).to_pylist()], pa.binary())], schema=None, names=[*part.schema.names, "head"])
+
+    return files.mapInArrow(run, schema)
