@@ -1,8 +1,9 @@
-"""Result logs: status of rows, totals, the newest results, JSON."""
+"""Result logs: status of rows, totals, the newest results, JSON, and progress."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark import AccumulatorParam, TaskContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import improved, printed_percent, saved_bytes, saved_percent
@@ -53,3 +54,44 @@ def as_json(results: DataFrame) -> DataFrame:
     )
     bad = F.struct(F.col("path").alias("source"), F.lit(False).alias("ok"), F.col("error"))
     return results.select("path", F.when(F.col("error").isNull(), F.to_json(good)).otherwise(F.to_json(bad)).alias("json"))
+
+
+class _ByPartition(AccumulatorParam):
+    """Counts of each partition; a partition that is computed again replaces its own."""
+
+    def zero(self, value):
+        return {}
+
+    def addInPlace(self, a, b):
+        a.update(b)
+        return a
+
+
+class Progress:
+    """Counts of a run while it goes on: each task that ends adds a snapshot of its partition, which the driver can read at any time.
+
+    ``watched`` passes results through and counts them. A task that is tried again, or whose partition is computed once more for another stage,
+    counts once. One object serves one run.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._counts = spark.sparkContext.accumulator({}, _ByPartition())
+
+    def watched(self, results: DataFrame) -> DataFrame:
+        """``results`` (error, ..) as they are."""
+        at, counts = results.columns.index("error"), self._counts
+
+        def run(batches):
+            done = failed = 0
+            for batch in batches:
+                done += batch.num_rows
+                failed += batch.num_rows - batch.column(at).null_count
+                yield batch
+            counts.add({TaskContext.get().partitionId(): (done, failed)})
+
+        return results.mapInArrow(run, results.schema)
+
+    def snapshot(self) -> dict[str, int]:
+        """{parts, done, failed} so far."""
+        counts = list(self._counts.value.values())
+        return {"parts": len(counts), "done": sum(c[0] for c in counts), "failed": sum(c[1] for c in counts)}
