@@ -90,9 +90,14 @@ def printed_percent(percent: Column) -> Column:
 
 
 def suffix_characters(seed: Column, n: int = 6) -> Column:
-    """``n`` characters of a-z and 0-9 that follow from the seed: the same file always gets the same suffix."""
+    """``n`` characters of a-z and 0-9 that follow from the seed: the same file always gets the same suffix.
+
+    Each comes from four digits of the seed's md5, modulo 36; eight to a digest, the next ones from that of the seed and a number.
+    """
     alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
-    return F.concat(*[F.substring(F.lit(alphabet), F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(36)).cast("int") + 1, F.lit(1)) for i in range(n)])
+    digests = [F.md5(seed if not k else F.concat(seed, F.lit(f"#{k}"))) for k in range(-(-n // 8))]
+    value = lambda i: F.conv(F.substring(digests[i // 8], i % 8 * 4 + 1, 4), 16, 10).cast("int") % 36
+    return F.concat(*[F.substring(F.lit(alphabet), value(i) + 1, F.lit(1)) for i in range(n)])
 
 
 def counter_uses(template: str) -> int:

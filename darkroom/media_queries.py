@@ -57,11 +57,16 @@ def speed_texts(spark, sf_dir):
     return _chosen(spark, sf_dir, "factor", _SPEEDS).withColumn("s", geometry.speed_filters(C("factor"))).select("file_id", "factor", "s.video", "s.audio")
 
 
-@_query(f"""WITH {FX} SELECT file_id, 6 AS n, true AS well_formed, true AS repeats FROM fx""")
+_SUFFIX = " || ".join(f"substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST('0x' || substr(md5({{0}}), {4 * k + 1}, 4) AS INT) % 36 + 1, 1)" for k in range(6))
+
+
+@_query(f"""WITH {FX} SELECT file_id, {_SUFFIX.format("path")} AS suffix, {_SUFFIX.format("path || '!'")} AS other, '/out/' || stem || '-' || {_SUFFIX.format("path")} || '.' || regexp_extract(name, '^.+\\.([^.]*)$', 1) AS output FROM ext""")
 def suffix_texts(spark, sf_dir):
-    """Suffixes of templates: six of 36 characters, the same for the same file."""
-    one, two = text.suffix_characters(C("path")), text.suffix_characters(F.concat(C("path"), F.lit("")))
-    return fixture(spark, sf_dir).select("file_id", F.length(one).alias("n"), one.rlike("^[a-z0-9]{6}$").alias("well_formed"), (one == two).alias("repeats"))
+    """Suffixes of six of 36 characters, alone and in a template: the same for the same file."""
+    from .operators.placement import resolved_output
+
+    named = resolved_output(fixture(spark, sf_dir), "/out/%f-%r.%e", False, F.lit("2024-03-07 09:05:06").cast("timestamp"))
+    return named.select("file_id", text.suffix_characters(C("path")).alias("suffix"), text.suffix_characters(F.concat("path", F.lit("!"))).alias("other"), "output")
 
 
 # The step language: texts, what they are canonically, or what is wrong with them

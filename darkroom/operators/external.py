@@ -45,19 +45,24 @@ def run_tool(tool: str, args: list[str], timeout: float | None = None, folder: s
 
 
 def capped(files: DataFrame, jobs: int | None) -> DataFrame:
-    """``files`` in at most ``jobs`` parts, so that no more run at once; None: as many as the cluster takes."""
-    return files if jobs is None else files.coalesce(max(1, jobs))
+    """``files`` in at most ``jobs`` parts, so that no more run at once; None: as many as the cluster takes. What comes before keeps its own parts."""
+    return files if jobs is None else files.repartition(max(1, jobs))
 
 
 def run_commands(plans: DataFrame, tool: str, timeout: float | None = None, folder: str | None = None) -> DataFrame:
-    """``plans`` (source, dest, args) with new_size and error. Each command writes a new path, so that a task that is run
+    """``plans`` (source, dest, args) with new_size and error. ``args`` is a command's, or an array of several tries', of which the next runs
+    when one has failed; the last one's error is told. Each command writes a new path, so that a task that is run
     again only writes it anew; nothing is moved or deleted."""
 
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
             for row in rows:
-                row["error"] = run_tool(tool, row["args"], timeout, folder)
+                tries = row["args"] if row["args"] and isinstance(row["args"][0], list) else [row["args"]]
+                for args in tries:
+                    row["error"] = run_tool(tool, args, timeout, folder)
+                    if row["error"] is None:
+                        break
                 if row["error"] is None and not os.path.exists(row["dest"]):
                     row["error"] = f"{tool} wrote no output"
                 row["new_size"] = os.path.getsize(row["dest"]) if row["error"] is None else None

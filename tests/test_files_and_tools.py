@@ -80,6 +80,21 @@ def test_tools(spark, tmp_path):
     assert "loudnorm=I=-16.0:TP=-1.5:LRA=11" in args["n"] and "setpts=0.50000*PTS" in args["s"] and "-r600" in args["p"] and "-sDEVICE=jpeg" in args["p"]
 
 
+def test_the_next_try_runs_when_one_fails(spark, tmp_path):
+    tool = tmp_path / "ffmpeg"
+    tool.write_text('#!/bin/sh\nfor last; do :; done\necho "$@" >> "$(dirname "$0")/log"\ncase "$*" in *"-c:a copy"*) exit 1;; esac\necho "$@" > "$last"\n')
+    tool.chmod(tool.stat().st_mode | stat.S_IXUSR)
+    none = F.lit(None).cast("string")
+    df = spark.createDataFrame([("/in/a.mov", str(tmp_path / "a.mp4"))], "source string, dest string")
+    plan = df.withColumn("args", commands.tries_of_video(F.col("source"), F.col("dest"), F.lit("custom"), F.lit(30), F.lit(False), none))
+    row = external.run_commands(plan, "ffmpeg", folder=str(tmp_path)).first()
+    assert row["error"] is None and row["new_size"] > 0 and "-c:a copy" not in (tmp_path / "a.mp4").read_text()
+    assert ["-c:a copy" in line for line in (tmp_path / "log").read_text().splitlines()] == [True, False]
+    failing = df.withColumn("args", F.array(F.array(F.lit("-c:a"), F.lit("copy")), F.array(F.lit("-c:a"), F.lit("copy"), F.lit("x"))))
+    assert "ended with 1" in external.run_commands(failing, "ffmpeg", folder=str(tmp_path)).first()["error"]
+    assert external.capped(spark.range(0, 100, 1, 7), 2).rdd.getNumPartitions() == 2
+
+
 def test_bmp_round_trips():
     for n in (3, 4):
         image = gradient(31, 17, n)
