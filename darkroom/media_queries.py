@@ -180,6 +180,15 @@ def video_commands(spark, sf_dir):
     )
 
 
+@_query(f"""WITH {FX} SELECT file_id, '-y -i ' || path || ' -vf fps=' || greatest(file_id % 25, 1) || CASE WHEN file_id % 2 = 0 THEN ',scale=' || width || ':-1:flags=lanczos' ELSE '' END || ' /o/f%05d.png' AS frames,
+  '-o /o.gif --fps ' || greatest(file_id % 25, 1) || ' --quality ' || CASE WHEN factor >= 50 THEN 60 ELSE 90 END || CASE WHEN file_id % 2 = 0 THEN ' --width ' || width ELSE '' END || ' /o/f1.png /o/f2.png' AS assemble FROM fx""")
+def gif_commands(spark, sf_dir):
+    """The two steps from a video to a GIF where the better tool is there."""
+    fps, width = (C("file_id") % 25).cast("int"), F.when(C("file_id") % 2 == 0, C("width"))
+    frames = F.array(F.lit("/o/f2.png"), F.lit("/o/f1.png"))
+    return fixture(spark, sf_dir).select("file_id", _line(commands.gif_frames(C("path"), F.lit("/o/f%05d.png"), fps, width)).alias("frames"), _line(commands.gif_of_frames(F.lit("/o.gif"), fps, width, C("factor") >= 50, frames)).alias("assemble"))
+
+
 @_query(f"""WITH {FX}, g AS (SELECT *, CAST(factor AS DOUBLE) AS x, ['h264', 'hevc', 'av1', 'vp9'][CAST(file_id % 4 AS INT) + 1] AS codec FROM fx)
 SELECT file_id, '-y -i ' || path || ' ' || CASE codec WHEN 'h264' THEN {_CODED} WHEN 'hevc' THEN '-vcodec libx265 -tag:v hvc1 -preset ' || {_PRESET} || ' -crf ' || {_CRF}
     WHEN 'av1' THEN '-vcodec libsvtav1 -crf ' || (24 + {_I("(greatest(x, 5e0) - 5e0) / 95e0 * 26e0")}) || ' -preset 6' ELSE '-vcodec libvpx-vp9 -crf ' || (24 + {_I("(greatest(x, 5e0) - 5e0) / 95e0 * 24e0")}) || ' -b:v 0' END

@@ -6,6 +6,7 @@ import os
 import platform
 import shutil
 import subprocess
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,3 +83,38 @@ def doctor(spark: SparkSession, folder: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([found(n, folder) for n in names], pa.string()), pa.array([arch] * k), pa.array([os.cpu_count()] * k, pa.int32())], ["tool", "path", "arch", "cpus"])
 
     return spark.range(1).select(F.explode(F.array(*map(F.lit, TOOLS))).alias("tool")).mapInArrow(look, "tool string, path string, arch string, cpus int")
+
+
+def run_gifs(plans: DataFrame, timeout: float | None = None, folder: str | None = None) -> DataFrame:
+    """(source, dest, new_size, error) of ``plans`` (source, dest, frames, assemble, one_pass): GIFs of videos.
+
+    Where gifski is found, ``frames`` writes numbered pictures into a folder beside ``dest``, in whose name a ``{}`` stands for a text of the
+    task's own, and ``assemble`` is run with these behind it; else ``one_pass`` does all. Commands are as ``plans.commands`` gives them.
+    """
+
+    def gif(row) -> str | None:
+        if found("gifski", folder) is None:
+            return run_tool("ffmpeg", row["one_pass"], timeout, folder)
+        own = uuid.uuid4().hex
+        args = [a.replace("{}", own) for a in row["frames"]]
+        place = os.path.dirname(args[-1])
+        os.makedirs(place)
+        try:
+            error = run_tool("ffmpeg", args, timeout, folder)
+            names = sorted(os.path.join(place, n) for n in os.listdir(place))
+            if error is None and not names:
+                error = "no frames were extracted"
+            return error or run_tool("gifski", [*row["assemble"], *names], timeout, folder)
+        finally:
+            shutil.rmtree(place, ignore_errors=True)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                error = gif(row)
+                if error is None and not os.path.exists(row["dest"]):
+                    error = "no output was written"
+                size = os.path.getsize(row["dest"]) if error is None else None
+                yield pa.RecordBatch.from_arrays([pa.array([row["source"]], pa.string()), pa.array([row["dest"]], pa.string()), pa.array([size], pa.int64()), pa.array([error], pa.string())], ["source", "dest", "new_size", "error"])
+
+    return plans.select("source", "dest", "frames", "assemble", "one_pass").mapInArrow(run, "source string, dest string, new_size long, error string")

@@ -51,6 +51,19 @@ def video_to_gif(src: Column, dst: Column, fps: Column, max_width: Column) -> Co
     return words(["-y", "-i"], src, ["-vf"], F.concat(F.format_string("fps=%d", fps), size), QUIET, dst)
 
 
+def gif_frames(src: Column, pattern: Column, fps: Column, max_width: Column) -> Column:
+    """The first of two steps to a GIF: numbered pictures, at least one a second."""
+    size = F.when(max_width.isNotNull(), F.format_string(",scale=%d:-1:flags=lanczos", max_width)).otherwise("")
+    return words(["-y", "-i"], src, ["-vf"], F.concat(F.format_string("fps=%d", F.greatest(fps, F.lit(1))), size), pattern)
+
+
+def gif_of_frames(dst: Column, fps: Column, max_width: Column, aggressive: Column, frames: Column) -> Column:
+    """The second step: ``frames`` (array) in the order of their names become a GIF."""
+    quality = dial.gif_from_video_quality(aggressive).cast("string")
+    width = F.when(max_width.isNotNull(), F.array(F.lit("--width"), max_width.cast("string"))).otherwise(F.array().cast("array<string>"))
+    return words(["-o"], dst, ["--fps"], F.greatest(fps, F.lit(1)).cast("string"), ["--quality"], quality, [width], [F.array_sort(frames)])
+
+
 def remove_audio(src: Column, dst: Column) -> Column:
     return words(["-y", "-i"], src, ["-c", "copy", "-an"], QUIET, dst)
 

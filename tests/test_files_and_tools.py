@@ -95,6 +95,24 @@ def test_the_next_try_runs_when_one_fails(spark, tmp_path):
     assert external.capped(spark.range(0, 100, 1, 7), 2).rdd.getNumPartitions() == 2
 
 
+def test_gifs_by_two_tools_or_one(spark, tmp_path):
+    def tool(name, text):
+        (tmp_path / name).write_text("#!/bin/sh\nfor last; do :; done\n" + text)
+        (tmp_path / name).chmod(0o755)
+
+    tool("ffmpeg", 'case "$last" in *%05d*) d=$(dirname "$last"); echo 2 > "$d/f00002.png"; echo 1 > "$d/f00001.png";; *) echo one > "$last";; esac\n')
+    df = spark.createDataFrame([("/in/a.mov", str(tmp_path / "a.gif"))], "source string, dest string")
+    fps, none, frames = F.lit(0), F.lit(None).cast("int"), F.array().cast("array<string>")
+    plan = df.select("*", commands.gif_frames(F.col("source"), F.lit(f"{tmp_path}/work-{{}}/f%05d.png"), fps, none).alias("frames"), commands.gif_of_frames(F.col("dest"), fps, none, F.lit(True), frames).alias("assemble"), commands.video_to_gif(F.col("source"), F.col("dest"), F.lit(12), none).alias("one_pass"))
+    assert external.run_gifs(plan, folder=str(tmp_path)).first()["error"] is None and (tmp_path / "a.gif").read_text() == "one\n"
+    tool("gifski", 'shift; out="$1"; shift; echo "$@" | sed "s#/[^ ]*/##g" > "$out"\n')
+    assert external.run_gifs(plan, folder=str(tmp_path)).first()["error"] is None
+    assert (tmp_path / "a.gif").read_text() == "--fps 1 --quality 60 f00001.png f00002.png\n"
+    tool("ffmpeg", "exit 0\n")
+    assert "no frames" in external.run_gifs(plan, folder=str(tmp_path)).first()["error"]
+    assert not [n for n in os.listdir(tmp_path) if n.startswith("work-")]
+
+
 def test_bmp_round_trips():
     for n in (3, 4):
         image = gradient(31, 17, n)
