@@ -154,7 +154,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, most_
 
 def only(texts: DataFrame, ids: DataFrame, most_broadcast: int) -> DataFrame:
     """Rows of ``texts`` with one of the ``ids``; these are broadcast up to a number of them, and joined by a shuffle beyond."""
-    ids = written(gathered(ids), "ids")
+    ids = written(ids, "ids")
     return texts.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, "id", "left_semi")
 
 
@@ -208,7 +208,7 @@ def _grouped(groups: DataFrame, edges: DataFrame) -> DataFrame:
     a, b = groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     between = spread_join(spread_join(edges, a, "a", "b"), b, "b", "a").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("new"))
-    return written(gathered(spread_join(groups, joined, "root", "node", "left").select("node", F.coalesce("new", "root").alias("root"))), "groups")
+    return written(spread_join(groups, joined, "root", "node", "left").select("node", F.coalesce("new", "root").alias("root")), "groups")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 36, rows: int = 5, leaders: int = 2, most_broadcast: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,14 +226,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     own_rep = spread_join(usable, classes.select("set_key", "rep"), "set_key", "doc_id", sizes=classes.select("set_key", "n"))
     members = written(own_rep.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.struct("n_shingles", "bands")).alias("own")), "members")
     entries = members.where("own IS NOT NULL").select("rep", F.col("own.n_shingles").alias("size"), F.explode("own.bands").alias("bucket"))
-    shared = written(gathered(entries.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("bucket", "n")), "buckets")
+    shared = written(entries.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("bucket", "n"), "buckets")
     dealt, hot = salted(entries, "bucket", "rep", shared)
     entries = written(dealt.join(per_salt(shared, "bucket", hot), ["bucket", "_salt"]).distinct(), "entries")
 
     one = members.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id", "low")
     same_id = members.join(one, "doc_id").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     groups = entries.select(F.col("rep").alias("node")).union(same_id.select("a")).union(same_id.select("b")).distinct()
-    groups = _grouped(written(gathered(groups.select("node", F.col("node").alias("root"))), "groups"), written(gathered(same_id.distinct()), "same-id"))
+    groups = _grouped(written(groups.select("node", F.col("node").alias("root")), "groups"), written(gathered(same_id.distinct()), "same-id"))
     texts = written(only(rows_in.select(F.col("doc_id").alias("id"), "text"), entries.select(F.col("rep").alias("id")).distinct(), most_broadcast), "texts")
 
     # a class that meets many others is near the middle of a family of copies, and leads
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
             pairs = met.select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b")).distinct()
         else:
             pairs = _sharing_rare(open_.select("rep", "root").distinct(), texts, width, percent, most_broadcast)
-        pairs = written(gathered(pairs), "met")
+        pairs = written(pairs, "met")
         pairs = pairs if tried is None else written(gathered(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
         if pairs.isEmpty():
             continue
@@ -302,7 +302,7 @@ def _sharing_rare(apart: DataFrame, texts: DataFrame, width: int, percent: int,
     rare = ranked.where(F.expr(f"n > 1 AND place <= size - ceil({percent} * size / 100)")).withColumn("head", F.expr(f"{100 + percent} * (size - place) >= {2 * percent} * size"))
     rare = written(rare.join(apart, "rep"), "rare")
     several = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("head").alias("any_head"), F.count(F.lit(1)).alias("n")).where("low < high AND any_head").select("shingle", "n")
-    several = written(gathered(several), "several")
+    several = written(several, "several")
     dealt, hot = salted(rare.drop("n"), "shingle", "rep", several)
     met = written(dealt.join(per_salt(several.select("shingle"), "shingle", hot), ["shingle", "_salt"]), "rare-shared")
     rest = (F.col("size") - F.col("place")).alias
