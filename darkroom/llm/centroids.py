@@ -164,7 +164,7 @@ def cluster(vectors: DataFrame, k: int = 40, dims: int = 64, rounds: int = 5, sc
     that of equal centroids all but the first stay empty, and as they are. A sum of distances beyond a long is null. An
     empty table gives no rows.
 
-    Each round reads the trees, which are written once, and gives the driver one sum for each centroid and dimension.
+    Other columns, whatever their names, play no part. Each round reads the trees, which are written once, and gives the driver one sum for each centroid and dimension.
     """
     spark = vectors.sparkSession
     centroids = first_centroids(vectors, dims, k, seed, scale, id_col, vector_col)

@@ -104,6 +104,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     words and no hits. Hits are found for each distinct pair of id and text, so rows that repeat, and rows
     that share an id with other texts or none, each have their own result. Without items nothing is hit, and an empty
     table gives no rows. Items with one id count once; those with a null id or no words have no windows.
+    Very long texts are split into words whole. Other columns, whatever their names, play no part.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("doc_id", "text").alias("hash")))

@@ -191,7 +191,7 @@ def identify(docs: DataFrame, held_out: tuple[int, int] | None = (4, 2), most_ro
     language whose crc32(id as text) mod ``held_out[0]`` isn't ``held_out[1]``. A null text and one without a letter is ``und``
     with a score of 0; without anything to learn from, so is every text. A null id is never held out; repeated rows each
     have their result, and equal texts the same one. Of equally likely languages the first by name is taken. Very long texts are
-    cut into windows like others, none is left out. An empty table gives no rows.
+    cut into windows like others, none is left out. An empty table gives no rows. Other columns, whatever their names, play no part.
     """
     by, left = held_out or (1, -1)
     model = fit(docs, lambda doc_id: crc_mod(doc_id, by) != left, most_rows, most_windows, id_col, text_col, lang_col)

@@ -277,7 +277,7 @@ def score_texts(docs: DataFrame, train_where=None, order: int = 5, most_grams: i
 
     Null texts are empty: one token, their end. Repeated rows are learnt from and scored each; null ids stay null and
     are rows as others are. Without training texts every byte has the probability 1/256; an empty table gives no
-    rows. Every byte string counts; with a ``least`` of more than 1, those of over 3 bytes only from so many occurrences on,
+    rows. Very long texts are scored whole. Other columns, whatever their names, play no part. Every byte string counts; with a ``least`` of more than 1, those of over 3 bytes only from so many occurrences on,
     whatever the size of the input. The ``most_grams`` most frequent of the longest strings are looked
     up in workers; all others of a text, known or not, are joined with their probabilities by a shuffle, so that the
     scores don't depend on that number. The same goes for the baseline's ``most_words`` most frequent words.

@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     Two documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more are linked. With 36
     bands of 5 rows, a pair at 0.75 shares no bucket with a probability of 6e-5, one at 0.8 of 6e-7. Null and empty
     texts have no shingles and no links. Rows with one id are one document, linked by any of its texts. A row
-    with a null id has no links, a null component, and is kept.
+    with a null id has no links, a null component, and is kept. A similarity of exactly ``percent`` / 100 is a link. Very long texts have all
+    their shingles. An empty table gives no rows. Other columns, whatever their names, play no part.
     """
     rows_in = id_and_text(docs, id_col, text_col)
     signatures = written(signed(rows_in, width, bands, rows), "signatures")

@@ -40,6 +40,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, seq_len: int = 2048,
     Null texts are empty and give the end id alone; null ids stay null; rows with the same id are packed one
     by one; an empty table gives no rows. The first pass encodes and sums tokens, the driver adds up one total
     for each partition, and the second pass cuts at every multiple of ``seq_len``: no row is shuffled.
+    Very long texts are encoded whole, and cut into as many pieces as they need. Other columns, whatever their names, play no part.
     """
     tokens = encoded(docs, tokenizer, end_id, id_col, text_col)
     bases, total = {}, 0

@@ -195,7 +195,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
     Labels of rows whose crc32(id as text) mod ``held_out[0]`` is ``held_out[1]`` are not learnt from. Null texts
     are empty, and a text without words gets the score of a zero vector. Without labels every score is one half.
     A null id is never held out, and no label is its; repeated rows each have their score; an id with several labels is
-    learnt with the least. An empty table gives no rows.
+    learnt with the least. A score of exactly ``threshold`` is predicted 1. Very long texts are pooled whole, in blocks of words. An empty
+    table gives no rows. Other columns, whatever their names, play no part.
     """
     by, left = held_out or (1, -1)
     model = fit(docs, labels, crc_mod(F.col("doc_id"), by) != left, most_rows, id_col=id_col, text_col=text_col)
@@ -216,7 +217,8 @@ def _scores(model, texts: list[str]) -> np.ndarray:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out: tuple[int, int] | None = (4, 2), most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows that ``classify`` predicts 1 for, with all their columns; all rows if there are no labels to learn from.
 
-    Each row is judged by its text alone, a null text as an empty one, whatever its id; an empty table stays empty.
+    Each row is judged by its text alone, a null text as an empty one, whatever its id, so that repeated rows stay or go together; a score of
+    exactly ``threshold`` stays. An empty table stays empty.
     """
     by, left = held_out or (1, -1)
     model = fit(docs, labels, crc_mod(F.col("doc_id"), by) != left, most_rows, id_col=id_col, text_col=text_col)

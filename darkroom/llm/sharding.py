@@ -109,6 +109,7 @@ def shard(docs: DataFrame, n_shards: int = 24, parts: int = 512, id_col: str = "
     there are. A group of more than all bytes / ``n_shards`` can't be whole, for no law of near-equal sizes could hold: it is
     cut into the fewest items of whole rows that each fit in a shard. Slots count from 0 in each shard. Ties between
     groups of a size go by a hash of their text. Null and repeated ids are rows as others are, and an empty table gives no rows.
+    Very long texts are groups as others are. Other columns, whatever their names, play no part.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = written(

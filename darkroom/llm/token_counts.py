@@ -79,7 +79,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, chunk_chars: in
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; null texts are empty, null and repeated ids stay as they are.
 
     A text of exactly ``limit`` tokens isn't over it. Texts over ``chunk_chars`` go in overlapping chunks, with the same
-    counts. An empty table gives no rows.
+    counts. An empty table gives no rows. Other columns, whatever their names, play no part.
     """
 
     def count(batches):

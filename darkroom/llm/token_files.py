@@ -129,7 +129,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     Null texts are empty; a null id comes first and stays null; rows with the same id are all written, in the
     order of a hash of their text. ``end_id`` ends each document (None: nothing does). Each task writes a file
     of a name of its own, and only files of tasks that ended well are in the manifest, so a task that is lost
-    and run again leaves no wrong rows. An empty table gives an empty manifest.
+    and run again leaves no wrong rows. An empty table gives an empty manifest. Other columns, whatever their names, play no part.
     """
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
@@ -166,7 +166,9 @@ def read_manifest(spark: SparkSession, out_dir: str) -> DataFrame:
 def read_token_files(spark: SparkSession, out_dir: str, doc_ids: list[int] | None = None, batch_tokens: int = 1 << 20) -> DataFrame:
     """(doc_id, start, ids): documents with the tokens before them in all files, and their ids as bytes.
 
-    With ``doc_ids``, only frames that hold one of them are read and decompressed.
+    With ``doc_ids``, only frames that hold one of them are read and decompressed; of an id that was written several times all
+    documents come, of one that wasn't none, and null ids only without ``doc_ids``. An empty text has its end id alone, or no bytes where none was
+    written. A document longer than a frame has one of its own. An empty manifest gives no rows.
     """
     wanted = None if doc_ids is None else np.array(sorted(set(doc_ids)), np.int64)
 

@@ -101,6 +101,8 @@ def whiten(vectors: DataFrame, components: int = 32, scale: int = 64, shift: int
     does an empty table. Eigenvalues that are equal leave their components open: any basis of their space is right.
     ``deviation`` is null where it is beyond a long. ``identity_error`` is measured over all whitened rows.
 
+    Other columns, whatever their names, play no part.
+
     The driver holds matrices of ``dims`` x 3 (components + 8) numbers; each task adds up one such matrix.
     """
     spark = vectors.sparkSession
