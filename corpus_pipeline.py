@@ -30,14 +30,14 @@ def _without(docs: DataFrame, number: str, dropped: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier takes for good ones: a score of 0.7 or more. Null texts are judged as empty ones."""
+    """Rows that the classifier takes for good ones: a score of 0.7 or more. Null texts are judged as empty ones, repeated rows alike."""
     from darkroom.llm.quality_classifier import keep_good
 
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the fixed limits and aren't odd; null and empty texts fail them."""
+    """Rows that pass the fixed limits and aren't odd; null and empty texts fail them, repeated rows are judged alike."""
     from darkroom.llm.quality_rules import keep_sound
 
     return keep_sound(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -62,7 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no window of ten words of a benchmark item; null and empty texts hold none."""
+    """Rows that hold no window of ten words of a benchmark item; null and empty texts hold none, of repeated rows all stay or none."""
     from darkroom.llm.decontamination import decontaminate
 
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
