@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import scratch, work_path, written
+from darkroom.llm.common import scratch, spread_join, work_path, written
 from darkroom.llm.queries import tokenizer_path
 
 
@@ -54,7 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicates(docs, width=5, percent=75, id_col=number).select(F.col("doc_id").alias("member"), F.col("component_id").alias("component"), "kept")
     groups = written(groups, "components")
     several = groups.where("NOT kept").select("component").distinct()
-    members = written(groups.join(several, "component", "left_semi"), "members")
+    members = written(spread_join(groups, several, "component", "member", "left_semi"), "members")  # a group may have a large share of the rows
     ids = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(number).alias("member"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "member")
     stays = members.join(ids, "member").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.member").alias("member"))
