@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions.paths import in_folder, kind, skipped_by_watch
 from ..operators.placement import stable
+from ..operators.skew import with_earlier
 
 
 def file_events(events: DataFrame) -> DataFrame:
@@ -89,8 +90,8 @@ def by_session_and_path(events: DataFrame, gap: str, time: str) -> DataFrame:
 
 def unseen(events: DataFrame, time: str = "event_time") -> DataFrame:
     """Events whose mtime is later than every earlier one of the same path: what was written itself is not taken up again."""
-    before = Window.partitionBy("path").orderBy(time, "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("_seen", F.max("mtime").over(before)).where("_seen IS NULL OR mtime > _seen").drop("_seen")
+    seen = with_earlier(events, "path", [time, "event_id"], "mtime", "_seen", largest=True)
+    return seen.where("_seen IS NULL OR mtime > _seen").drop("_seen")
 
 
 def type_matches(file_type: Column, of: Column) -> Column:
@@ -118,5 +119,5 @@ def routed(events: DataFrame, targets: list[tuple[str, str, str]]) -> DataFrame:
 
 def changed(events: DataFrame, value: Column, key: str, order: list[str]) -> DataFrame:
     """Rows whose value differs from the one before them, with the same key: adjacent repeats go."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return events.withColumn("_value", value).withColumn("_last", F.lag("_value").over(w)).where("_last IS NULL OR _value != _last").drop("_value", "_last")
+    before = with_earlier(events.withColumn("_value", value), key, order, "_value", "_last")
+    return before.where("_last IS NULL OR _value != _last").drop("_value", "_last")

@@ -99,3 +99,17 @@ def test_pdf_tables_agree_with_the_files(spark):
         assert {o: b for (f, o), b in boxes.items() if f == name} == {n: pdf.media_box(own, n) for n, (_, body) in own.items() if pdf._is_page(body)}
         kept = {r["object"] for r in pdf.kept_objects(table).where(F.col("file") == name).collect()}
         assert kept == set(pdf.pruned(bytes(files.where(F.col("path") == name).first()["content"]), own)) == {1, 2, 3, 4, 6, 7}
+
+
+def test_earlier_values_of_hot_keys(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.randrange(400), i, rng.choice([None, 1, 2, 3, 4])) for i in range(1500)] + [("one", 1, -1, 5)]
+    frame = spark.createDataFrame(rows, "k string, t int, i int, v int")
+    for largest in (False, True):
+        last, want = {}, {}
+        for k, t, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+            want[i] = last.get(k)
+            last[k] = v if not largest else max((x for x in (last.get(k), v) if x is not None), default=None)
+        got = {r["i"]: r["before"] for r in skew.with_earlier(frame, "k", ["t", "i"], "v", "before", largest).collect()}
+        assert got == want
+    assert skew.with_earlier(frame.limit(0), "k", ["t"], "v", "before").count() == 0
