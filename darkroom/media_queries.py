@@ -298,11 +298,11 @@ def _drawn(spark, sf_dir, kinds):
     return _files(spark, sf_dir).where(kinds).select("file_id", "path", "ext").mapInArrow(draw, "ord long, path string, content binary")
 
 
-@_query(f"""WITH {FX} SELECT file_id AS ord, kind, ext IN ('png', 'bmp', 'pdf') AS done, ext IN ('png', 'pdf') AS smaller,
-  CASE WHEN NOT optimisable THEN 'unsupported file: ' || path WHEN ext NOT IN ('png', 'bmp', 'pdf') THEN path || ': ' || ext || ' needs an external encoder' END AS error FROM able WHERE file_id % 3 = 0""")
+@_query(f"""WITH {FX} SELECT file_id AS ord, kind, ext IN ('png', 'bmp', 'pdf') AS done, ext IN ('png', 'bmp', 'pdf') AS never_larger,
+  CASE WHEN NOT optimisable THEN 'unsupported file: ' || path WHEN ext NOT IN ('png', 'bmp', 'pdf') THEN path || ': ' || ext || ' needs an external encoder' END AS error FROM able""")
 def dispatch_results(spark, sf_dir):
-    results = dispatch.optimise_files(_drawn(spark, sf_dir, "file_id % 3 = 0"))
-    return dispatch.in_order(results).select("ord", "kind", C("error").isNull().alias("done"), F.coalesce(C("new_size") < C("old_size"), F.lit(False)).alias("smaller"), "error")
+    results = dispatch.optimise_files(_drawn(spark, sf_dir, F.lit(True)))
+    return dispatch.in_order(results).select("ord", "kind", C("error").isNull().alias("done"), F.coalesce(C("new_size") <= C("old_size"), F.lit(False)).alias("never_larger"), "error")
 
 
 def _measured(files):
