@@ -50,8 +50,8 @@ class DoneFiles:
 
     ``add`` writes a batch's results beside those of other batches, or of an earlier try of the same one. ``known`` is each path's time
     from its last success: that of the output if it was written in place, else the file's. A failure is kept
-    as a row, but is no knowledge, so that the file's next event is due. After ``merge_after`` batches they are merged into one
-    table, by path; the tables merged stay until the next time, for readers that still have them open.
+    as a row, but is no knowledge, so that the file's next event is due. After ``merge_after`` batches those before the last one, which alone can come
+    again, are merged into one table, by path; the tables merged stay until the next time, for readers that still have them open.
     """
 
     def __init__(self, spark: SparkSession, folder: str, merge_after: int = 20):
@@ -68,9 +68,9 @@ class DoneFiles:
         """Results of the batches that aren't merged yet, failures too: RESULTS, batch and try."""
         return self._rows([x for x in self.folders.all() if x[0] == "done"], RESULTS).drop("bucket")
 
-    def known(self) -> DataFrame:
-        """(path, mtime, bucket), one row a path."""
-        found = self.folders.all()
+    def known(self, upto: int | None = None) -> DataFrame:
+        """(path, mtime, bucket), one row a path; ``upto``: after that batch."""
+        found = [x for x in self.folders.all() if upto is None or x[1] <= upto]
         merged = [x for x in found if x[0] == "known"][-1:]
         new = self._rows([x for x in found if x[0] == "done" and (not merged or x[1] > merged[0][1])], RESULTS)
         mtime = F.when(F.col("output") == F.col("path"), F.coalesce("output_mtime", "mtime")).otherwise(F.col("mtime"))
@@ -91,11 +91,11 @@ class DoneFiles:
         names = [c.split()[0] for c in RESULTS.split(", ")]
         rows = results.select(*names).withColumn("bucket", _bucket(F.col("path")))
         rows.write.partitionBy("bucket").parquet(self.folders.new("done", batch))
-        found = self.folders.all()
+        found = [x for x in self.folders.all() if x[1] < batch]
         merged = [x for x in found if x[0] == "known"]
         if len({b for k, b, _ in found if k == "done" and (not merged or b > merged[-1][1])}) > self.merge_after:
             upto = max(b for k, b, _ in found if k == "done")
-            self.known().repartition("bucket").write.partitionBy("bucket").parquet(self.folders.new("known", upto))
+            self.known(upto).repartition("bucket").write.partitionBy("bucket").parquet(self.folders.new("known", upto))
             self.folders.remove(x for x in found if merged and x[1] <= merged[-1][1])
 
 

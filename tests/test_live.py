@@ -90,9 +90,11 @@ def test_results_are_merged_and_broken_folders_dont_count(spark, tmp_path):
         done.add(results(rows, ["/v/4.png"], in_place=False), batch)
         if batch == 5:
             done.add(results(rows.limit(0), []), batch)  # comes again, with nothing left to do
+            late = spark.createDataFrame([("/v/late.png", 5)], "path string, t int").select("path", F.timestamp_seconds(F.col("t") + T0).alias("mtime"))
+            done.add(results(late, [], in_place=False), batch)  # and once more, with a file that had failed
         os.makedirs(tmp_path / "s" / f"done-{batch:012d}-0009")  # broken off
     known = {r["path"]: r["s"] - T0 for r in done.known().select("path", F.unix_seconds("mtime").alias("s")).collect()}
-    assert known == {f"/v/{b}.png": b for b in range(9) if b != 4} | {"/v/all.png": 8}
+    assert known == {f"/v/{b}.png": b for b in range(9) if b != 4} | {"/v/all.png": 8, "/v/late.png": 5}
     kinds = [k for k, *_ in done.folders.all()]
     assert 1 <= kinds.count("known") <= 2 and kinds.count("done") < 9
 
