@@ -90,7 +90,8 @@ class DoneFiles:
         """Writes ``results`` (RESULTS, one row a path); that computes them, once."""
         names = [c.split()[0] for c in RESULTS.split(", ")]
         rows = results.select(*names).withColumn("bucket", _bucket(F.col("path")))
-        rows.write.partitionBy("bucket").parquet(self.folders.new("done", batch))
+        # one task a bucket, else every task would write a file of its own for each
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(self.folders.new("done", batch))
         found = [x for x in self.folders.all() if x[1] < batch]
         merged = [x for x in found if x[0] == "known"]
         if len({b for k, b, _ in found if k == "done" and (not merged or b > merged[-1][1])}) > self.merge_after:
