@@ -39,4 +39,4 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         new = stable(met.join(seen, ["file", "object"], "left_anti"))
         if new.isEmpty():
             return seen
-        seen = stable(seen.unionByName(new))
+        seen = seen.unionByName(new)  # each round is written once
