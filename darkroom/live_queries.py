@@ -82,14 +82,19 @@ def _replay_sql() -> str:
     return f"WITH {CHANGES}, " + ", ".join(parts) + f" SELECT path, n_done, n_failed, epoch_us(known) AS known_us FROM t LEFT JOIN k{BATCHES} USING (path)"
 
 
+def _seconds(moment):
+    """The nearest whole second, as SQL's cast of ``epoch`` gives it: half a second before midnight it is the next day's first."""
+    return F.rint(F.unix_micros(moment) / F.lit(1e6)).cast("long")
+
+
 @_query(_replay_sql())
 def watch_replay(spark, sf_dir):
     """Batches of changes against state that each leaves: a fifth fails, files with an even path are written in place a day later."""
     events = _changes(spark, sf_dir)
-    number = ((F.octet_length("path") + F.expr("unix_seconds(event_time) div 86400")) % BATCHES).cast("int")
+    number = ((F.octet_length("path") + F.floor(_seconds(C("event_time")) / 86400)) % BATCHES).cast("int")
     latest = events.groupBy("path", number.alias("n")).agg(F.max("mtime").alias("mtime"))
     done = state.DoneFiles(spark, _new_folder(spark, "watch"))
-    fails = (F.octet_length("path") + F.expr("unix_seconds(mtime) div 7")) % 5 == 0
+    fails = (F.octet_length("path") + F.floor(_seconds(C("mtime")) / 7)) % 5 == 0
     output = F.when(F.octet_length("path") % 2 == 0, C("path")).otherwise(F.concat("path", F.lit(".webp")))
     for batch in range(BATCHES):
         todo = done.due(latest.where(C("n") == batch).select("path", "mtime"))
