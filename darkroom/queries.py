@@ -576,6 +576,12 @@ def adjacent_dedup(spark, sf_dir):
 # Pictures: small PNG files made from the catalogue go through a pipeline, and their headers are read back
 
 
+def _spread(files):
+    """``files``, dealt over all tasks: a row is small and its picture long work, and few large files of rows would be few tasks."""
+    spark = files.sparkSession
+    return files.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file_id")
+
+
 @_query(f"""WITH {FX}, p AS (SELECT file_id, CAST(16 + file_id % 40 AS INT) AS w, CAST(16 + (file_id * 7) % 50 AS INT) AS h FROM able WHERE kind = 'image'),
 c AS (SELECT file_id, greatest(2, least(w, CASE WHEN w * 1e0 / h > 4e0 / 3e0 THEN {_I("h * (4e0 / 3e0)")} ELSE w END)) AS w, greatest(2, least(h, CASE WHEN w * 1e0 / h > 4e0 / 3e0 THEN h ELSE {_I("w / (4e0 / 3e0)")} END)) AS h FROM p)
 SELECT file_id, greatest(1, {_I("w * 0.5e0")}) AS width, greatest(1, {_I("h * 0.5e0")}) AS height, false AS has_alpha FROM c""")
@@ -593,7 +599,7 @@ def png_pipeline(spark, sf_dir):
                 picture = images.encode(np.stack([2 * x, 2 * y, x + y], 2).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([str(i)]), pa.array([picture], pa.binary())], ["path", "content"])
 
-    files = _files(spark, sf_dir).where("kind = 'image'").select("file_id").mapInArrow(draw, "path string, content binary")
+    files = _spread(_files(spark, sf_dir).where("kind = 'image'").select("file_id")).mapInArrow(draw, "path string, content binary")
     done = images.run_steps(files, dsl.parse("crop(ratio: 4:3) -> downscale(factor: 50%) -> optimise -> stripExif"))
     return done.withColumns(png_header(C("content"))).select(C("path").cast("long").alias("file_id"), "width", "height", "has_alpha")
 
