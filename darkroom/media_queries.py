@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import dial, dims, geometry, text
 from .operators import dispatch, external, report
 from .plans import commands, dsl_columns, options
-from .queries import _CRF, _PRESET, FX, GRID, IDS, C, _chosen, _events, _factors, _files, _I, _pick, _pick_sql, _query, _results
+from .queries import _CRF, _PRESET, FX, GRID, IDS, C, _chosen, _events, _factors, _files, _I, _pick, _pick_sql, _query, _results, _spread
 from .sources.catalog import fixture
 from .streaming import watch
 
@@ -295,7 +295,7 @@ def _drawn(spark, sf_dir, kinds):
                 data = images.encode(picture) if ext == "png" else images.encode_bmp(picture) if ext == "bmp" else page if ext == "pdf" else b"x" * 40
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([path]), pa.array([data], pa.binary())], ["ord", "path", "content"])
 
-    return _files(spark, sf_dir).where(kinds).select("file_id", "path", "ext").mapInArrow(draw, "ord long, path string, content binary")
+    return _spread(_files(spark, sf_dir).where(kinds).select("file_id", "path", "ext")).mapInArrow(draw, "ord long, path string, content binary")
 
 
 @_query(f"""WITH {FX} SELECT file_id AS ord, kind, ext IN ('png', 'bmp', 'pdf') AS done, ext IN ('png', 'bmp', 'pdf') AS never_larger,

@@ -42,5 +42,10 @@ def test_changes_in_the_last_half_second_of_a_day(spark, tmp_path):
     assert sorted(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("name", ["png_pipeline", "encoded_choice"])
+def test_pictures_of_one_file_are_work_for_all_tasks(spark, name):
+    assert entry_point.queries()[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
