@@ -129,16 +129,17 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme.lower(), scheme.lower())}://{rest}")
 
 
-def labelled_sample(labels: DataFrame, most: int, where=None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """(doc_id, label, draw) of at most ``most`` ids, those with the smallest ``draw``, a hash of the id.
-
-    Ids and labels that are null are left out; an id with several labels takes the least.
-    """
+def labelled(labels: DataFrame, where=None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(doc_id, label) of all ids. Ids and labels that are null are left out; an id with several labels takes the least."""
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     if where is not None:
         rows = rows.where(where)
-    one = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
-    return one.withColumn("draw", F.xxhash64("doc_id", F.lit(17))).orderBy("draw", "doc_id").limit(most)
+    return rows.groupBy("doc_id").agg(F.min("label").alias("label"))
+
+
+def labelled_sample(labels: DataFrame, most: int, where=None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(doc_id, label, draw) of at most ``most`` ids of ``labelled``, those with the smallest ``draw``, a hash of the id."""
+    return labelled(labels, where, id_col, label_col).withColumn("draw", F.xxhash64("doc_id", F.lit(17))).orderBy("draw", "doc_id").limit(most)
 
 
 def one_row_an_id(rows: DataFrame, text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cuts, filtered, id_and_text, labelled_sample, slices
+from .common import filtered, gathered, id_and_text, labelled, labelled_sample, slices, written
 
 BLANK, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"  # fixed values, as the contract states them
 UPPER = bytes(range(65, 91))
@@ -112,47 +112,76 @@ class IsolationForest:
         f, cut, left, right, length = zip(*nodes)
         return np.array(f), np.array(cut), np.array(left), np.array(right), np.array(length)
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        """0 to 1; higher is odder."""
-        total, each = np.zeros(len(rows)), np.arange(len(rows))
-        for f, cut, left, right, length in self.trees:
+    def leaves(self, rows: np.ndarray):
+        """For each tree, the node where each row ends."""
+        each = np.arange(len(rows))
+        for f, cut, left, right, _ in self.trees:
             node = np.zeros(len(rows), np.int64)
             for _ in range(self.depth):
                 node = np.where(rows[each, f[node]] < cut[node], left[node], right[node])
-            total += length[node]
+            yield node
+
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        """0 to 1; higher is odder."""
+        total = np.zeros(len(rows))
+        for tree, node in zip(self.trees, self.leaves(rows)):
+            total += tree[4][node]
         return 2.0 ** (-total / len(self.trees) / self.expected)
 
+    def starts(self) -> np.ndarray:
+        """The number of each tree's first node if all trees' nodes are numbered on, and at the end how many there are."""
+        return np.cumsum([0, *(len(tree[0]) for tree in self.trees)])
+
+    def weighed(self, mass: np.ndarray, rows: int, subsample: int = 256) -> None:
+        """Path lengths by how many of all ``rows`` good rows end in each leaf (``mass``, by number), and no more by those of the tree's draw."""
+        m = max(2, min(subsample, rows))
+        paths, starts = self._mean_path(np.arange(m + 1)), self.starts()
+        for k, (f, cut, left, right, length) in enumerate(self.trees):
+            level = np.zeros(len(f))
+            for node in np.flatnonzero(f >= 0):  # a node comes before those below it
+                level[left[node]] = level[right[node]] = level[node] + 1
+            own = np.interp(mass[starts[k] : starts[k + 1]] * (m / rows), np.arange(m + 1), paths)
+            self.trees[k] = f, cut, left, right, np.where(f < 0, level + own, 0.0)
 
-def calibrated_threshold(scores: np.ndarray, good: np.ndarray, most_good_lost: float) -> float:
+
+def calibrated_threshold(scores: np.ndarray, good: np.ndarray, most_good_lost: float, count: np.ndarray | None = None, step: float = 0.0) -> float:
     """The score above which rows are rejected: of those that lose at most ``most_good_lost`` of the good rows, the one with
     the most bad rows caught per class less good ones lost; between two rows' scores it lies in the middle.
 
-    Without bad rows it is the least that loses no more good rows than that; without good rows nothing is rejected.
+    Without bad rows it is the least that loses no more good rows than that; without good rows nothing is rejected. ``count``: the rows
+    that each score stands for, by default one. ``step``: scores are rounded up to multiples of it.
     """
     if not good.any():
         return float("inf")
-    kept = np.sort(scores[good])
-    least = kept[min(len(kept) - 1, int(np.ceil(len(kept) * (1 - most_good_lost))))]
+    count = np.ones(len(scores)) if count is None else count
+    levels, at = np.unique(scores, return_inverse=True)
+    kept, lost = (np.cumsum(np.bincount(at[own], count[own], len(levels))) for own in (good, ~good))  # good and bad rows up to each level
+    least = levels[np.searchsorted(kept, min(kept[-1] - 1, np.ceil(kept[-1] * (1 - most_good_lost))), "right")]
     if good.all():
         return float(least)
-    levels = np.unique(scores)
-    cuts = np.append((levels[:-1] + levels[1:]) / 2, levels[-1])
-    cuts = cuts[cuts >= least] if (cuts >= least).any() else levels[-1:]
-    bad = np.sort(scores[~good])
-    gain = (len(bad) - np.searchsorted(bad, cuts, "right")) / len(bad) - (len(kept) - np.searchsorted(kept, cuts, "right")) / len(kept)
-    return float(cuts[np.argmax(gain)])
+    cuts = np.append((levels[:-1] + levels[1:] - step) / 2, levels[-1])
+    gain = (lost[-1] - lost) / lost[-1] - (kept[-1] - kept) / kept[-1]
+    return float(cuts[np.argmax(np.where(cuts >= least, gain, -np.inf))])
 
 
 FOLDS = 5
+DRAWN = 256 * 100  # good rows that trees part: as many as all trees of a forest take
+GRID = 2**20  # scores are told apart to this part where the threshold is set
+
+
+def fold_forest(x: np.ndarray, good: np.ndarray, fold: np.ndarray, k: int, low: np.ndarray, high: np.ndarray) -> IsolationForest:
+    """Of the good rows of the other folds; without such rows, of all."""
+    others = good & (fold != k)
+    return IsolationForest(x[others if others.any() else good], seed=13 + k, low=low, high=high)
 
 
 def cross_scores(x: np.ndarray, good: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Each row's score by a forest of the good rows of the other folds; a fold without such rows is scored by a forest of all."""
     fold, scores = np.arange(len(x)) % FOLDS, np.zeros(len(x))
     for k in range(FOLDS):
-        own, others = fold == k, good & (fold != k)
+        own = fold == k
         if own.any():
-            scores[own] = IsolationForest(x[others if others.any() else good], seed=13 + k, low=low, high=high).score(x[own])
+            scores[own] = fold_forest(x, good, fold, k, low, high).score(x[own])
     return scores
 
 
@@ -161,37 +190,100 @@ def failed(n_words, n_repeat_words, min_words: int, most_repeated: int):
     return (n_words < min_words) | (100 * n_repeat_words > most_repeated * n_words)
 
 
-def fit(docs: DataFrame, labels: DataFrame, min_words: int, most_repeated: int, most_rows: int = 20_000, most_good_lost: float = 0.005, id_col: str = "doc_id", text_col: str = "text"):
-    """(forest, threshold) from at most ``most_rows`` labelled rows.
-
-    Of these, rows that pass the fixed limits count: the forest judges no others. Trees grow on good rows alone, in the
-    span of good and bad ones. The threshold is cross-fitted: each of FOLDS parts of the rows is scored by a forest that was grown on
-    the others, and ``calibrated_threshold`` sees all these scores, so that every row sets it and none is scored by trees that it
-    grew; the forest that then judges is grown on all good rows. An id with several texts gives one row, that with
-    the least statistics. The statistics of the sample, a few numbers a row, come to the driver. Without good
-    labelled rows there is no forest, and only the fixed limits hold.
-    """
-    sample = F.broadcast(labelled_sample(labels, most_rows))
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, stats) of every row."""
 
     def measure(batches):
         for batch in batches:
-            for lo, n in cuts(batch.column(1), 4 << 20):
-                part = batch.slice(lo, n)
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(text_stats(part.column(1).to_pylist()).tolist(), pa.list_(pa.int64()))], ["label", "draw", "stats"])
-
-    rows = id_and_text(docs, id_col, text_col).join(sample, "doc_id").select("doc_id", "text", "label", "draw").mapInArrow(measure, "label int, draw long, stats array<long>")
-    rows = rows.groupBy("draw", "label").agg(F.min("stats").alias("stats"))  # ``draw`` is a hash of the id
-    got = sorted((r["draw"], r["label"], *r["stats"]) for r in rows.toLocalIterator())
-    table = np.array(got, np.int64).reshape(len(got), 2 + len(STATS))
-    table = table[~failed(table[:, 2], table[:, 6], min_words, most_repeated)]
-    x, good = features(table[:, 2:]), table[:, 1] == 1
-    if not good.any():
+            for ids, texts in slices(batch, 4 << 20):
+                yield _record(doc_id=(ids, pa.int64()), stats=(text_stats(texts).tolist(), pa.list_(pa.int64())))
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(measure, "doc_id long, stats array<long>")
+
+
+def _record(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns.values()], list(columns))
+
+
+def _table(column) -> np.ndarray:
+    """An Arrow column of STATS as rows of numbers."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(STATS))
+
+
+def fit(docs: DataFrame, labels: DataFrame, min_words: int, most_repeated: int, most_rows: int | None = None, most_good_lost: float = 0.005, id_col: str = "doc_id", text_col: str = "text"):
+    """(forest, threshold) from all labelled rows, or those of at most ``most_rows`` ids if that is given."""
+    return fit_measured(written(measured(docs, id_col, text_col), "stats"), labels, min_words, most_repeated, most_rows, most_good_lost)
+
+
+def fit_measured(stats: DataFrame, labels: DataFrame, min_words: int, most_repeated: int, most_rows: int | None = None, most_good_lost: float = 0.005):
+    """``fit``, from the rows of ``measured``.
+
+    Labelled rows that pass the fixed limits count: the forest judges no others. An id with several texts gives one row, that with
+    the least statistics. Spans, the mass of each leaf and the threshold come from all these rows; of a draw of DRAWN good ones
+    each tree takes 256, as the method has it, and these only say how far its nodes are parted. Trees are weighed by good rows alone, in the
+    span of good and bad ones. The threshold is cross-fitted: each of FOLDS parts of the rows is scored by a forest that was grown and
+    weighed on the others, and ``calibrated_threshold`` sees how many rows have each score, to a GRID-th, so that every row sets it
+    and none is scored by trees that it grew; the forest that then judges is one of all good rows. The driver gets the draw, a number for each
+    leaf, and two for each score. Without good labelled rows there is no forest, and only the fixed limits hold.
+    """
+    chosen = labelled(labels) if most_rows is None else labelled_sample(labels, most_rows).drop("draw")
+    rows = stats.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("stats").alias("stats"), F.min("label").alias("label"))
+    n_words, n_repeat = F.col("stats")[STATS.index("n_words")], F.col("stats")[STATS.index("n_repeat_words")]
+    rows = rows.where(~failed(n_words, n_repeat, min_words, most_repeated)).withColumn("draw", F.xxhash64("doc_id", F.lit(17)))
+    rows = rows.select("draw", F.pmod("draw", F.lit(FOLDS)).cast("int").alias("fold"), (F.col("label") == 1).alias("good"), "stats")
+    rows = written(gathered(rows), "labelled")
+    drawn = rows.where("good").orderBy("draw", "stats").limit(DRAWN).toArrow().combine_chunks()
+    if not drawn.num_rows:
         return None, float("inf")
-    low, high = x.min(0), x.max(0)
-    return IsolationForest(x[good], low=low, high=high), calibrated_threshold(cross_scores(x, good, low, high), good, most_good_lost)
 
+    def span(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = features(_table(batch.column(0)))
+                yield _record(low=([x.min(0).tolist()], pa.list_(pa.float64())), high=([x.max(0).tolist()], pa.list_(pa.float64())))
+
+    spans, n = rows.select("stats").mapInArrow(span, "low array<double>, high array<double>"), range(features(np.zeros((1, len(STATS)))).shape[1])
+    ends = spans.agg(*[F.min(F.col("low")[k]) for k in n], *[F.max(F.col("high")[k]) for k in n]).first()
+    low, high = np.array(ends[: len(n)]), np.array(ends[len(n) :])
+    sizes = {r["fold"]: (r["n"], r["good"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.count_if("good").alias("good")).collect()}
+    n_good = sum(g for _, g in sizes.values())
+
+    draw = drawn.sort_by("draw")
+    x, fold = features(_table(draw["stats"].combine_chunks())), draw["fold"].to_numpy()
+    forests = {k: fold_forest(x, np.ones(len(x), bool), fold, k, low, high) for k in sizes} | {FOLDS: IsolationForest(x, low=low, high=high)}
+    alone = {k for k in sizes if n_good == sizes[k][1]}  # no other fold has good rows
+    first = dict(zip(forests, np.cumsum([0, *(f.starts()[-1] for f in forests.values())])))
+
+    def weigh(batches):
+        mass = np.zeros(sum(f.starts()[-1] for f in forests.values()), np.int64)
+        for batch in batches:
+            x, fold = features(_table(batch.column(1))), batch.column(0).to_numpy()
+            for k, forest in forests.items():
+                part = x if k == FOLDS or k in alone else x[fold != k]
+                for start, node in zip(first[k] + forest.starts(), forest.leaves(part)):
+                    mass[start : start + node.max(initial=0) + 1] += np.bincount(node, minlength=1)
+        at = np.flatnonzero(mass)
+        yield _record(leaf=(at, pa.int64()), n=(mass[at], pa.int64()))
+
+    found = rows.where("good").select("fold", "stats").mapInArrow(weigh, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    mass = np.zeros(sum(f.starts()[-1] for f in forests.values()))
+    mass[found["leaf"].to_numpy()] = found["n"].to_numpy()
+    for k, forest in forests.items():
+        forest.weighed(mass[first[k] : first[k] + forest.starts()[-1]], n_good - (sizes[k][1] if k != FOLDS and k not in alone else 0))
+
+    def cross(batches):
+        for batch in batches:
+            x, fold, cell = features(_table(batch.column(2))), batch.column(0).to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for k in np.unique(fold):
+                cell[fold == k] = np.ceil(forests[k].score(x[fold == k]) * GRID)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cell)], ["good", "cell"])
+
+    scores = rows.select("fold", "good", "stats").mapInArrow(cross, "good boolean, cell long").groupBy("good", "cell").agg(F.count("*").alias("n")).toArrow()
+    good = scores["good"].to_numpy(zero_copy_only=False).astype(bool) if scores.num_rows else np.zeros(0, bool)
+    return forests[FOLDS], calibrated_threshold(scores["cell"].to_numpy() / GRID, good, most_good_lost, scores["n"].to_numpy(), 1 / GRID)
 
-def judge(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_good_lost: float = 0.005, min_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def judge(docs: DataFrame, labels: DataFrame, most_rows: int | None = None, most_good_lost: float = 0.005, min_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, oddness) of every row.
 
     Null and empty texts have no words and fail the fixed limits, which are ``min_words`` and ``most_repeated``
@@ -199,17 +291,16 @@ def judge(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_good
     row as odd as the threshold is kept. Very long texts are measured whole, a few megabytes of texts or one text at a time. An
     empty table gives no rows.
     """
-    forest, threshold = fit(docs, labels, min_words, most_repeated, most_rows, most_good_lost, id_col, text_col)
+    stats = written(measured(docs, id_col, text_col), "stats")
+    forest, threshold = fit_measured(stats, labels, min_words, most_repeated, most_rows, most_good_lost)
 
-    def measure(batches):
+    def score(batches):
         for batch in batches:
-            for ids, texts in slices(batch, 4 << 20):
-                stats = text_stats(texts)
-                odd = _oddness(forest, stats)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(stats[:, k]) for k in range(N_CONTRACT)), pa.array(odd)], ["doc_id", *STATS[:N_CONTRACT], "oddness"])
+            table = _table(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(N_CONTRACT)), pa.array(_oddness(forest, table))], ["doc_id", *STATS[:N_CONTRACT], "oddness"])
 
-    measured = id_and_text(docs, id_col, text_col).mapInArrow(measure, "doc_id long, " + ", ".join(f"{s} long" for s in STATS[:N_CONTRACT]) + ", oddness double")
-    judged = measured.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"), min_words, most_repeated))
+    scored = stats.mapInArrow(score, "doc_id long, " + ", ".join(f"{s} long" for s in STATS[:N_CONTRACT]) + ", oddness double")
+    judged = scored.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"), min_words, most_repeated))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("oddness") <= float(threshold)))
 
 
@@ -217,7 +308,7 @@ def _oddness(forest: IsolationForest | None, stats: np.ndarray) -> np.ndarray:
     return forest.score(features(stats)) if forest is not None else np.zeros(len(stats))
 
 
-def keep_sound(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_good_lost: float = 0.005, min_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_sound(docs: DataFrame, labels: DataFrame, most_rows: int | None = None, most_good_lost: float = 0.005, min_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows that ``judge`` keeps, with all their columns; null texts go as empty ones do, repeated rows are judged alike, each by
     its own text whatever its id, and an empty table stays empty."""
     forest, threshold = fit(docs, labels, min_words, most_repeated, most_rows, most_good_lost, id_col, text_col)

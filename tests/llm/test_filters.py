@@ -88,6 +88,26 @@ def test_a_bound_on_rows_holds_for_an_id_that_repeats(spark, monkeypatch):
     assert seen == [1, 1, 1]  # the fold's forest and the one that judges
 
 
+def test_rules_are_set_by_all_labelled_rows(spark, monkeypatch):
+    """Also by more than trees draw from: the threshold sees every row, and leaves weigh what all good rows do."""
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.expr("concat('w', id % 97, ' x', id % 31, repeat(' y', cast(id % 7 as int)))").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    seen, own = [], quality_rules.calibrated_threshold
+    monkeypatch.setattr(quality_rules, "calibrated_threshold", lambda scores, *a: seen.append(int(sum(a[2])) if len(a) > 2 else len(scores)) or own(scores, *a))
+    quality_rules.fit(docs, labels, 1, 1000)
+    assert seen == [21_000]
+    monkeypatch.setattr(quality_rules, "DRAWN", 40)
+    few = docs.where("doc_id < 300")
+    forest, _ = quality_rules.fit(few, labels, 1, 1000)
+    x = quality_rules.features(quality_rules.text_stats([r["text"] for r in few.collect()]))
+    paths = forest._mean_path(np.arange(257))
+    for (f, _, left, right, length), node in zip(forest.trees[:5], forest.leaves(x)):
+        mass, level = np.bincount(node, minlength=len(f)), {0: 0}
+        for k in np.flatnonzero(f >= 0):
+            level[left[k]] = level[right[k]] = level[k] + 1
+        assert all(abs(length[k] - level[k] - np.interp(mass[k] * 256 / 300, np.arange(257), paths)) < 1e-9 for k in np.flatnonzero(f < 0))
+
+
 def test_kept_rows_against_brute_force(spark):
     rng = np.random.default_rng(6)
     texts = [" ".join(rng.choice([f"w{k}" for k in range(300)], 70)) + ("#" * int(rng.integers(20, 90)) if i % 6 == 0 else "") for i in range(240)] + ["short", "a b c " * 40]
