@@ -8,6 +8,8 @@ written as Parquet in the shared folder and read again. Empty tables stay empty.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,13 @@ from darkroom.llm.common import scratch, spread_join, work_path, written
 from darkroom.llm.queries import tokenizer_path
 
 
+def _released(spark: SparkSession) -> None:
+    """What earlier stages' plans, broadcasts and shuffles hold on the driver goes before the next stage adds its own. Spark asks
+    for that by itself only each spark.cleaner.periodicGC.interval, half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a number for each row, written so that it stays the same, and the name of its column."""
     name = "row_number"
@@ -33,6 +42,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Rows that the classifier takes for good ones: a score of 0.7 or more. Null texts are judged as empty ones, repeated rows alike."""
     from darkroom.llm.quality_classifier import keep_good
 
+    _released(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
@@ -40,6 +50,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rows that pass the fixed limits and aren't odd; null and empty texts fail them, repeated rows are judged alike."""
     from darkroom.llm.quality_rules import keep_sound
 
+    _released(spark)
     return keep_sound(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -50,6 +61,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from darkroom.llm.near_dedup import near_duplicates
 
+    _released(spark)
     docs, number = _numbered(docs)
     groups = near_duplicates(docs, width=5, percent=75, id_col=number).select(F.col("doc_id").alias("member"), F.col("component_id").alias("component"), "kept")
     groups = written(groups, "components")
@@ -65,6 +77,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Rows that hold no window of ten words of a benchmark item; null and empty texts hold none, of repeated rows all stay or none."""
     from darkroom.llm.decontamination import decontaminate
 
+    _released(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs, number = _numbered(docs)
     return _without(docs, number, decontaminate(docs, items, window=10, id_col=number).where("contaminated"))
@@ -74,6 +87,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows in sequences of 2048 tokens; a null text is its end token alone, a null id stays null."""
     from darkroom.llm.packing import pack
 
+    _released(spark)
     pieces = pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1, seq_len=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -181,12 +181,13 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, most_rows: int = 20_000,
                 x = np.concatenate([pooled(*_terms().of(p), shared.value) for _, p in slices(batch.select(["draw", "text"]), 2 << 20)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["draw", "label", "v"])
 
-    got = sorted((r["draw"], r["label"], bytes(r["v"])) for r in texts.mapInArrow(pool, "draw long, label int, v binary").collect())  # most_rows at most
+    got = texts.mapInArrow(pool, "draw long, label int, v binary").toArrow()  # most_rows at most, as Arrow and not as Python's rows
     texts.unpersist()
-    if not got:
+    if not got.num_rows:
         return None
-    x = np.frombuffer(b"".join(v for *_, v in got), np.float32).reshape(len(got), -1).astype(float)
-    return shared, Network(x, np.array([label for _, label, _ in got], float))
+    got = got.sort_by([(c, "ascending") for c in ("draw", "label", "v")])
+    x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float32).reshape(got.num_rows, -1).astype(float)
+    return shared, Network(x, got["label"].to_numpy().astype(float))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out: tuple[int, int] | None = (4, 2), most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

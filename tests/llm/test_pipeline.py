@@ -82,3 +82,18 @@ def test_run_against_brute_force(spark):
         assert crc == zlib.crc32(tokens[doc_id][start : start + length].tobytes())
         at += length
     assert at == sum(map(len, tokens.values())) and len({(p[2], p[3]) for p in pieces}) == len(pieces)
+
+
+def test_stages_begin_by_releasing_what_earlier_ones_hold(spark, monkeypatch):
+    """Each stage asks for it before it reads anything: the driver's memory is bounded for the whole pipeline."""
+
+    class Released(Exception):
+        pass
+
+    def released(session):
+        raise Released
+
+    monkeypatch.setattr(corpus_pipeline, "_released", released)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Released):
+            stage(spark, None, "/nowhere")
